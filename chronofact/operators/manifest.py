@@ -73,7 +73,7 @@ def violations(manifests: DataFrame, key: str = "scenario_id") -> DataFrame:
     return manifests.select(key, F.explode(broken).alias("violation"))
 
 
-def unknown_keys(lines: DataFrame, allowed: list[str], json: str = "value") -> DataFrame:
+def unknown_keys(lines: DataFrame, allowed: list[str], json: str = "value", keep: list[str] | None = None) -> DataFrame:
     """JSON lines carrying a key the closed schema does not have."""
     extra = F.array_except(F.json_object_keys(json), F.array(*[F.lit(k) for k in allowed]))
-    return lines.select(json, F.explode(extra).alias("unknown_key"))
+    return lines.select(*(keep or [json]), F.explode(extra).alias("unknown_key"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-FAMILIES = ("retrieval",)
+FAMILIES = ("retrieval", "ledgers", "values")
 
 
 def load() -> ModuleType:
