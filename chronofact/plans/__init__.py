@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-FAMILIES = ("retrieval", "ledgers", "values")
+FAMILIES = ("retrieval", "ledgers", "values", "evidences", "graphs")
 
 
 def load() -> ModuleType:
