@@ -12,9 +12,11 @@ can_correct_source_ids.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .skew import ROWS_PER_SLICE, last_before
+from .skew import last_before
 
 CLOSE, OPEN = "close", "open"
 
@@ -130,11 +132,13 @@ def _found(df: DataFrame, pos: Column, checks: dict[str, Column]) -> DataFrame:
         F.col("_f.check").alias("check"), F.col("_f.violation").alias("violation"))
 
 
-def violations(records: DataFrame, sources: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def violations(records: DataFrame, sources: DataFrame, bounds: Sequence[float] = ()) -> DataFrame:
     """Every row-level violation, assuming the rows before it were accepted.
 
     ``payload_ok`` may be given as a boolean column; it is the result of
-    comparing the declared hash with the computed one.
+    comparing the declared hash with the computed one. ``bounds`` are
+    ``slice_bounds`` of ``known_at``, for ledgers in which one assertion may
+    have a very long history.
     """
     repeated = []
     for check, keys, order in (
@@ -162,9 +166,9 @@ def violations(records: DataFrame, sources: DataFrame, rows_per_slice: int = ROW
     rows = _found(shape, F.lit(-1), checks)
 
     before = last_before(
-        history(records), ["ledger_id", "assertion_id"], ["known_at", "commit_seq", "input_order", "pos"], "known_at",
+        history(records), ["ledger_id", "assertion_id"], ["known_at", "commit_seq", "input_order", "pos"],
         {"_prior": F.struct(F.col("event").alias("event"), F.col("known_at").alias("known_at"),
-                            F.col("source_id").alias("source_id"))}, rows_per_slice)
+                            F.col("source_id").alias("source_id"))}, bounds)
     rights = before.join(sources.select("source_id", "allowed_predicates", "can_correct_source_ids"), "source_id")
     active = F.coalesce(F.col("_prior.event") == OPEN, F.lit(False))
     closing, opening = F.col("event") == CLOSE, F.col("event") == OPEN
@@ -179,9 +183,9 @@ def violations(records: DataFrame, sources: DataFrame, rows_per_slice: int = ROW
     return repeated[0].unionByName(repeated[1]).unionByName(rows).unionByName(replay)
 
 
-def validate_ledger(records: DataFrame, sources: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def validate_ledger(records: DataFrame, sources: DataFrame, bounds: Sequence[float] = ()) -> DataFrame:
     """The first violation of each ledger in replay order; valid ledgers have no row."""
-    found = violations(records, sources, rows_per_slice)
+    found = violations(records, sources, bounds)
     first = found.groupBy("ledger_id").agg(F.min(F.struct(
         "known_at", "commit_seq", "input_order", "pos", "check", "violation", "record_id")).alias("v"))
     return first.select("ledger_id", "v.violation", "v.record_id", "v.known_at", "v.commit_seq")

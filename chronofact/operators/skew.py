@@ -44,37 +44,44 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, *
     return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def with_slices(df: DataFrame, by: str, rows_per_slice: int = ROWS_PER_SLICE) -> tuple[DataFrame, bool]:
-    """Add ``_slice``, an order-preserving bucket of ``by``.
+def slice_bounds(df: DataFrame, by: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
+    """Split points of ``by``, approximate quantiles over all rows.
 
-    Bounds are approximate quantiles over all rows, so a slice holds about
-    ``rows_per_slice`` rows whichever keys they belong to; a window over
-    (key, slice) is therefore bounded however large the key is. Also tells
-    whether there is more than one slice.
+    Between two points lie about ``rows_per_slice`` rows whichever keys they
+    belong to, so a window over (key, slice) is bounded however large the key
+    is. Compute them once from a stored table and hand them to every operator
+    that orders by the same instant; counting a stored table reads metadata only.
     """
-    total = df.count()
-    wanted = min(MAX_SLICES, -(-total // rows_per_slice))
+    wanted = min(MAX_SLICES, -(-df.count() // rows_per_slice))
     if wanted <= 1:
-        return df.withColumn("_slice", F.lit(0)), False
-    numeric = F.unix_micros(F.col(by).cast("timestamp")) if isinstance(
-        df.schema[by].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(by)
-    keyed = df.withColumn("_by", numeric.cast("double"))
+        return []
     shares = [i / wanted for i in range(1, wanted)]
-    bounds = sorted(set(keyed.approxQuantile("_by", shares, 1 / (4 * wanted))))
-    bucketed = Bucketizer(
-        splits=[float("-inf"), *bounds, float("inf")], inputCol="_by", outputCol="_bucket"
-    ).transform(keyed)
-    return bucketed.withColumn("_slice", F.col("_bucket").cast("int")).drop("_by", "_bucket"), True
+    keyed = df.select(_number(df, by).alias("_by"))
+    return sorted(set(keyed.approxQuantile("_by", shares, 1 / (4 * wanted))))
 
 
-def _neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: str,
-               values: dict[str, Column], rows_per_slice: int, backwards: bool) -> DataFrame:
-    sliced, several = with_slices(df.withColumns({f"_v_{k}": v for k, v in values.items()}), slice_by, rows_per_slice)
+def _number(df: DataFrame, by: str) -> Column:
+    instant = isinstance(df.schema[by].dataType, (T.TimestampType, T.TimestampNTZType))
+    return (F.unix_micros(F.col(by).cast("timestamp")) if instant else F.col(by)).cast("double")
+
+
+def with_slices(df: DataFrame, by: str, bounds: Sequence[float]) -> DataFrame:
+    """Add ``_slice``, the order-preserving bucket of ``by`` between ``bounds``."""
+    if not bounds:
+        return df.withColumn("_slice", F.lit(0))
+    splits = [float("-inf"), *bounds, float("inf")]
+    bucketed = Bucketizer(splits=splits, inputCol="_by", outputCol="_bucket").transform(df.withColumn("_by", _number(df, by)))
+    return bucketed.withColumn("_slice", F.col("_bucket").cast("int")).drop("_by", "_bucket")
+
+
+def _neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+               bounds: Sequence[float], backwards: bool) -> DataFrame:
+    sliced = with_slices(df.withColumns({f"_v_{k}": v for k, v in values.items()}), order[0], bounds)
     ordering = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
     inside = W.partitionBy(*keys, "_slice").orderBy(*ordering).rowsBetween(W.unboundedPreceding, -1)
     names = list(values)
     found = sliced.withColumns({f"_in_{k}": F.last(f"_v_{k}", ignorenulls=True).over(inside) for k in names})
-    if not several:
+    if not bounds:
         return found.withColumns({k: F.col(f"_in_{k}") for k in names}).drop(
             "_slice", *[f"_v_{k}" for k in names], *[f"_in_{k}" for k in names])
     position = F.struct(*[F.col(c) for c in order])
@@ -92,18 +99,19 @@ def _neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_b
     return joined.withColumns({k: F.coalesce(f"_in_{k}", f"_carry_{k}") for k in names}).drop(*drop)
 
 
-def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: str,
-                values: dict[str, Column], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+                bounds: Sequence[float] = ()) -> DataFrame:
     """Add, per row, the last non-null value strictly before it within its key.
 
-    ``order`` must be total within a key and start with ``slice_by``, and
-    ``keys`` must not be null. Within a slice a window answers; the values at
-    the slice ends, one row per key and slice, carry over to later slices.
+    ``order`` must be total within a key, ``keys`` must not be null, and
+    ``bounds`` are :func:`slice_bounds` of the first order column. Within a
+    slice a window answers; the values at the slice ends, one row per key and
+    slice, carry over to later slices. Without bounds one window does it all.
     """
-    return _neighbour(df, keys, order, slice_by, values, rows_per_slice, backwards=False)
+    return _neighbour(df, keys, order, values, bounds, backwards=False)
 
 
-def first_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: str,
-                values: dict[str, Column], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def first_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+                bounds: Sequence[float] = ()) -> DataFrame:
     """Add, per row, the first non-null value strictly after it within its key."""
-    return _neighbour(df, keys, order, slice_by, values, rows_per_slice, backwards=True)
+    return _neighbour(df, keys, order, values, bounds, backwards=True)

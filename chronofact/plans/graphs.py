@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import instants
 from ..operators import graph, ledger, lexical
+from ..operators.skew import slice_bounds
 from ..session import scratch_path
 from ..sources.tables import spread, table
 from ..streaming import ingest
@@ -167,7 +168,7 @@ def stream_ledger_ingest(spark: SparkSession, sf: str) -> DataFrame:
     stored = scratch_path(spark, "ingest")
     ingest.append(arriving, f"{stored}/records", f"{stored}/checkpoint").awaitTermination()
     once = ingest.stored_once(spark.read.schema(schema).parquet(f"{stored}/records"), "event_id")
-    records = ledgers.event_records(once).drop("user_id", "props", "prev", "ts")
+    records = ledgers.event_records(once, slice_bounds(once, "ts")).drop("user_id", "props", "prev", "ts")
     return ledger.as_of_view(records, ledgers.as_of()).select(
         "assertion_id", "logical_fact_id", "source_id", F.col("assertion.object").alias("object"),
         instants.utc_text("known_from").alias("known_from"), instants.utc_text("known_to").alias("known_to"))

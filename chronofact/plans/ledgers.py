@@ -7,13 +7,14 @@ assertion; an error retracts whatever of the user is still active.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import identity, instants
 from ..operators import evaluation, ledger
-from ..operators.skew import ROWS_PER_SLICE, first_after, last_before
+from ..operators.skew import first_after, last_before, slice_bounds
 from ..sources.tables import table
 from .registry import query
 
@@ -39,11 +40,11 @@ def _stamp(condition: Column) -> Column:
     return F.when(condition, F.struct("ts", "event_id"))
 
 
-def event_records(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def event_records(events: DataFrame, bounds: Sequence[float] = ()) -> DataFrame:
     """Ledger records of the events, with ``prev`` (the user's previous event) for fault seeding."""
     seen = {f"_{s}": _stamp(F.col("event_type") == s) for s in REPORTERS}
-    looked = last_before(events, ["user_id"], ["ts", "event_id"], "ts",
-                         {**seen, "_error": _stamp(F.col("event_type") == "error"), "prev": _stamp(F.lit(True))}, rows_per_slice)
+    looked = last_before(events, ["user_id"], ["ts", "event_id"],
+                         {**seen, "_error": _stamp(F.col("event_type") == "error"), "prev": _stamp(F.lit(True))}, bounds)
 
     def active(s: str) -> Column:
         alive = F.col("_error").isNull() | (F.col(f"_{s}") > F.col("_error"))
@@ -71,7 +72,8 @@ def event_records(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Da
 
 
 def ledger_records(spark: SparkSession, sf: str) -> DataFrame:
-    return event_records(table(spark, sf, "events")).drop("user_id", "props", "prev", "ts")
+    events = table(spark, sf, "events")
+    return event_records(events, slice_bounds(events, "ts")).drop("user_id", "props", "prev", "ts")
 
 
 VIEW = f"""
@@ -114,9 +116,10 @@ SELECT event_id, min(CASE WHEN event_type = 'error' THEN ts END) OVER w AS next_
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""")
 def next_change(spark: SparkSession, sf: str) -> DataFrame:
     """First later event and first later error of the same user."""
-    found = first_after(table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type"), ["user_id"],
-                        ["ts", "event_id"], "ts",
-                        {"next_error": F.when(F.col("event_type") == "error", F.col("ts")), "next_ts": F.col("ts")})
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    error = F.when(F.col("event_type") == "error", F.col("ts"))
+    found = first_after(events, ["user_id"], ["ts", "event_id"], {"next_error": error, "next_ts": F.col("ts")},
+                        slice_bounds(events, "ts"))
     return found.select("event_id", "next_error", "next_ts")
 
 
@@ -201,7 +204,7 @@ found AS (
 """
 
 
-def faulted_records(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def faulted_records(events: DataFrame, bounds: Sequence[float] = ()) -> DataFrame:
     """One ledger per user, with rule breaks seeded by the events' own property number."""
     k = F.get_json_object("props", "$.k").cast("int")
     has_prev = F.col("prev").isNotNull()
@@ -210,7 +213,7 @@ def faulted_records(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) ->
     reopened = F.transform("assertions", lambda a: F.when(
         (k == 10) & has_prev, a.withField("assertion_id", F.col("prev.event_id").cast("string"))).otherwise(a))
     relabelled = F.transform(reopened, lambda a: F.when(k == 11, a.withField("predicate", F.lit("FORBIDDEN"))).otherwise(a))
-    return event_records(events, rows_per_slice).select(
+    return event_records(events, bounds).select(
         F.col("user_id").cast("string").alias("ledger_id"), "input_order",
         F.when((k == 0) & has_prev, F.col("prev.event_id").cast("string")).otherwise(F.col("record_id")).alias("record_id"),
         F.when(k == 6, "mystery").when((k == 9) & ~error, "view").otherwise(F.col("source_id")).alias("source_id"),
@@ -225,7 +228,9 @@ def faulted_records(events: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) ->
 SELECT ledger_id, violation, record_id, known_at, commit_seq FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id
   ORDER BY known_at, commit_seq, input_order, pos, c) AS n FROM found) WHERE n = 1""")
 def validate_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.validate_ledger(faulted_records(table(spark, sf, "events")), sources(spark))
+    events = table(spark, sf, "events")
+    bounds = slice_bounds(events, "ts")
+    return ledger.validate_ledger(faulted_records(events, bounds), sources(spark), bounds)
 
 
 @query("ledger_violations", f"""WITH {FAULTED}
@@ -233,7 +238,9 @@ def validate_ledger(spark: SparkSession, sf: str) -> DataFrame:
 SELECT violation, count(*) AS n, count(DISTINCT ledger_id) AS ledgers FROM firsts WHERE nth = 1 GROUP BY violation""")
 def ledger_violations(spark: SparkSession, sf: str) -> DataFrame:
     """How often each rule is the first one that a record, or one of its closings and openings, breaks."""
-    found = ledger.violations(faulted_records(table(spark, sf, "events")), sources(spark))
+    events = table(spark, sf, "events")
+    bounds = slice_bounds(events, "ts")
+    found = ledger.violations(faulted_records(events, bounds), sources(spark), bounds)
     return found.groupBy("violation").agg(F.count("*").alias("n"), F.countDistinct("ledger_id").alias("ledgers"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import exact, identity, instants
 from ..operators import inventory, manifest, policy
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 CENTS = "CAST(round({0} * 100) AS BIGINT)"
@@ -68,7 +68,8 @@ SELECT l_orderkey, l_linenumber, x // g AS n, q // g AS d FROM (SELECT *, gcd(x,
 def rational_normalize(spark: SparkSession, sf: str) -> DataFrame:
     """Exact unit price of every line in lowest terms."""
     price = exact.rational(cents("l_extendedprice"), F.col("l_quantity").cast("bigint"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", price.alias("r")).select(
+    lines = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"))
+    return lines.select("l_orderkey", "l_linenumber", price.alias("r")).select(
         "l_orderkey", "l_linenumber", "r.n", "r.d")
 
 
@@ -190,7 +191,8 @@ def manifests(spark: SparkSession, sf: str) -> DataFrame:
     urgent, low = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority") == "5-LOW"
     final = F.col("o_orderstatus") == "F"
     text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
-    return table(spark, sf, "orders").select(
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    return spread(orders).select(
         text("S", key).alias("scenario_id"),
         F.when(F.col("o_totalprice") > 400000, "source_conflict").when(F.col("o_totalprice") > 300000, "observation_mask")
         .when(F.col("o_totalprice") > 250000, "retraction_branch").when(F.col("o_totalprice") < 5000, "rewrite").otherwise("base").alias("mutation_type"),

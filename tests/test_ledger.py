@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronofact.operators import ledger
-from chronofact.operators.skew import first_after, last_before, with_slices
+from chronofact.operators.skew import first_after, last_before, slice_bounds
 from chronofact.plans import ledgers as plans
 
 RECORD = ("ledger_id string, record_id string, source_id string, known_at timestamp_ntz, commit_seq long, input_order long, "
@@ -133,7 +133,8 @@ def test_random_ledgers_equal_a_sequential_replay(spark, rows_per_slice):
     ledgers = {f"L{i}": random_ledger(rng, f"L{i}") for i in range(700)}
     want = {lid: sequential(rows) for lid, rows in ledgers.items()}
     rows, sources = frames(spark, [r for rows in ledgers.values() for r in rows])
-    found = ledger.validate_ledger(rows, sources, rows_per_slice).collect()
+    bounds = slice_bounds(rows, "known_at", rows_per_slice)
+    found = ledger.validate_ledger(rows, sources, bounds).collect()
     bad = {lid: v for lid, v in want.items() if isinstance(v, tuple)}
     assert {v for v, _ in bad.values()} == set(ledger.CHECKS)
     assert {r["ledger_id"]: (r["violation"], r["record_id"]) for r in found} == bad
@@ -158,10 +159,11 @@ def test_neighbours_cross_slices_and_a_hot_key(spark, rows_per_slice):
     rng = random.Random(2)
     rows = [(i, rng.choice([0, 0, 0, 1, 2]), day(rng.randrange(200)), rng.choice([None, i])) for i in range(600)]
     df = spark.createDataFrame(rows, "i int, k int, t timestamp_ntz, v int")
-    assert with_slices(df, "t", rows_per_slice)[1] is (rows_per_slice == 50)
+    bounds = slice_bounds(df, "t", rows_per_slice)
+    assert (len(bounds) > 5) is (rows_per_slice == 50)
     back = {r["i"]: (r["p"], r["q"]) for r in last_before(
-        df, ["k"], ["t", "i"], "t", {"p": F.col("v"), "q": F.col("i")}, rows_per_slice).collect()}
-    ahead = {r["i"]: r["p"] for r in first_after(df, ["k"], ["t", "i"], "t", {"p": F.col("v")}, rows_per_slice).collect()}
+        df, ["k"], ["t", "i"], {"p": F.col("v"), "q": F.col("i")}, bounds).collect()}
+    ahead = {r["i"]: r["p"] for r in first_after(df, ["k"], ["t", "i"], {"p": F.col("v")}, bounds).collect()}
     for i, k, t, _ in rows:
         group = sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[0]))
         at = [r[0] for r in group].index(i)
@@ -172,6 +174,8 @@ def test_neighbours_cross_slices_and_a_hot_key(spark, rows_per_slice):
 
 def test_event_ledger_is_the_same_in_one_slice_and_in_many(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    one, many = plans.event_records(events), plans.event_records(events, rows_per_slice=90)
+    bounds = slice_bounds(events, "ts", 90)
+    one, many = plans.event_records(events), plans.event_records(events, bounds)
+    assert bounds
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
-    assert ledger.validate_ledger(one, plans.sources(spark), 100).count() == 0
+    assert ledger.validate_ledger(one, plans.sources(spark), bounds).count() == 0
