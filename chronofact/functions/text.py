@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -80,6 +81,14 @@ def span(text: Column | str, start: Column, end: Column) -> Column:
     return F.substring(col(text), start + 1, end - start)
 
 
+def first_label(text: Column | str, labels: Sequence[str]) -> Column:
+    """The first of ``labels``, in their order, that occurs anywhere in the text.
+
+    Not the leftmost occurrence, which is what a regular expression would find.
+    """
+    return F.coalesce(*[F.when(F.contains(col(text), F.lit(label)), F.lit(label)) for label in labels])
+
+
 def running_starts(pieces: Column, gap: int = 0, block: int = 128) -> Column:
     """Start offset of every array element when elements are joined with ``gap`` characters.
 

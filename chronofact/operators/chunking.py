@@ -94,8 +94,10 @@ def overlapping(clauses: Column, start: Column, end: Column) -> Column:
     """Sorted ids of the clauses that overlap a half-open span.
 
     ``clauses`` is ``array<struct<clause_id, span_start, span_end>>``. A clause
-    without coordinates never matches; ids are not deduplicated.
+    without coordinates never matches; ids are not deduplicated. No clauses at
+    all give an empty list.
     """
+    clauses = F.coalesce(clauses, F.expr("cast(array() as array<struct<clause_id:string,span_start:int,span_end:int>>)"))
     hit = F.filter(clauses, lambda c: (c["span_start"] < end) & (c["span_end"] > start))
     return F.array_sort(F.transform(hit, lambda c: c["clause_id"].cast("string")))
 

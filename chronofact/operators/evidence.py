@@ -23,6 +23,20 @@ def _leading(items: DataFrame, keys: list[str], order: list[Column], count: int)
     return items.withColumn("_nth", nth).where(F.col("_nth") <= count).drop("_nth")
 
 
+def _cost_class(token_budget: int) -> Column:
+    """The cost, with all unaffordable costs in one class.
+
+    A filter on the cost would do as well, but the optimizer moves it down to
+    the scan, where a cost counted from text is then counted twice.
+    """
+    return F.least("token_cost", F.lit(token_budget + 1))
+
+
+def _affordable(item: Column, token_budget: int) -> Column:
+    """The item, or null, which ``collect_list`` leaves out."""
+    return F.when(F.col("token_cost") <= token_budget, item)
+
+
 def select_evidence(items: DataFrame, *, token_budget: int, per_source_cap: int = 3) -> DataFrame:
     """Greedy selection per query: an item that does not fit is skipped and the scan goes on.
 
@@ -30,12 +44,12 @@ def select_evidence(items: DataFrame, *, token_budget: int, per_source_cap: int
     token_cost. At most ``per_source_cap`` items of a source kind are taken.
     Returns query_id, evidence_id, pick (from 1), spent (tokens after the pick).
     """
-    usable = items.where((F.col("eligibility") == "eligible") & (F.col("token_cost") <= token_budget))
+    usable = items.where(F.col("eligibility") == "eligible").withColumn("_class", _cost_class(token_budget))
     order = [F.desc("score"), F.asc("rank"), F.asc("evidence_id")]
-    kept = _leading(usable, ["query_id", "source_kind", "token_cost"], order, per_source_cap)
+    kept = _leading(usable, ["query_id", "source_kind", "_class"], order, per_source_cap)
     ranked = F.struct((-F.col("score")).alias("s"), F.col("rank").alias("r"), F.col("evidence_id").alias("id"),
                       F.col("source_kind").alias("kind"), F.col("token_cost").cast("bigint").alias("cost"))
-    lists = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(ranked)).alias("items"))
+    lists = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(_affordable(ranked, token_budget))).alias("items"))
     empty = F.filter(F.transform("items", lambda i: F.struct(
         i["id"].alias("id"), i["kind"].alias("kind"), i["cost"].alias("spent"))), lambda _: F.lit(False))
 
@@ -64,12 +78,12 @@ def select_public(candidates: DataFrame, *, token_budget: int, max_items: int) -
     and the final budget state.
     """
     order = [F.desc("score"), F.asc("rank"), F.asc("evidence_id")]
-    usable = candidates.where(F.col("token_cost") <= token_budget)
-    kept = _leading(usable, ["query_id", "source_kind", "token_cost", "pinned"], order, max(max_items, 1))
+    usable = candidates.withColumn("_class", _cost_class(token_budget))
+    kept = _leading(usable, ["query_id", "source_kind", "_class", "pinned"], order, max(max_items, 1))
     item = F.struct((~F.col("pinned")).alias("late"), F.lit(0).alias("used"), F.col("source_kind").alias("kind"),
                     (-F.col("score")).alias("s"), F.col("rank").alias("r"), F.col("evidence_id").alias("id"),
                     F.col("token_cost").cast("bigint").alias("cost"))
-    lists = kept.groupBy("query_id").agg(F.collect_list(item).alias("items"))
+    lists = kept.groupBy("query_id").agg(F.collect_list(_affordable(item, token_budget)).alias("items"))
     none = F.filter("items", lambda _: F.lit(False))
 
     def step(state: Column, _: Column) -> Column:

@@ -50,7 +50,8 @@ def customer_records(spark: SparkSession, sf: str) -> DataFrame:
         assertion(2, "REPORTED_MEASURE", "integer", cents.cast("string")),
         assertion(3, "REPORTED_MEASURE", "rational", F.concat(F.lit('{"n":'), cents, F.lit(',"d":100}'))),
         assertion(4, "REPORTED_MEASURE", "boolean", F.when(F.col("c_acctbal") < 0, "true").otherwise("false")))
-    return table(spark, sf, "customer").select(
+    customers = spread(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"))
+    return customers.select(
         F.concat(F.lit("r"), "c_custkey").alias("record_id"), F.lit("registry").alias("source_id"),
         F.lit("2024-01-02").cast("timestamp_ntz").alias("known_at"), F.col("c_custkey").alias("commit_seq"),
         F.lit("assert").alias("operation"), body.alias("assertions"))
@@ -119,7 +120,7 @@ SELECT query_id, assertion_id, score, rank FROM (SELECT *, row_number() OVER (PA
 WHERE rank <= 5""")
 def graph_edge_search(spark: SparkSession, sf: str) -> DataFrame:
     """Indexed search over edge facts: one query per supplier, five edges each."""
-    made = spread(customer_edges(spark, sf).select("assertion_id", F.col("fact").alias("text")))
+    made = customer_edges(spark, sf).select("assertion_id", F.col("fact").alias("text"))
     asked = table(spark, sf, "supplier").join(
         table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", F.concat("n_name", F.lit(" #"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("text"))

@@ -30,10 +30,11 @@ def as_of() -> Column:
 
 def sources(spark: SparkSession) -> DataFrame:
     """The source registry: one row per event type, a fixed few."""
-    names = [*REPORTERS, "error"]
-    rows = [(n, REPORTERS.get(n, 0), [] if n == "error" else [PREDICATE], names if n == "error" else [n]) for n in names]
-    return spark.createDataFrame(
-        rows, "source_id string, authority_rank int, allowed_predicates array<string>, can_correct_source_ids array<string>")
+    rows = [f"('{name}', {rank}, array('{PREDICATE}'), array('{name}'))" for name, rank in REPORTERS.items()]
+    names = ", ".join(f"'{name}'" for name in [*REPORTERS, "error"])
+    rows.append(f"('error', 0, cast(array() AS array<string>), array({names}))")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} "
+                     "AS s(source_id, authority_rank, allowed_predicates, can_correct_source_ids)")
 
 
 def _stamp(condition: Column) -> Column:
@@ -99,7 +100,10 @@ decisions AS (SELECT logical_fact_id, CASE WHEN n IS NULL THEN 'missing' WHEN n
 
 
 def view(spark: SparkSession, sf: str) -> DataFrame:
-    return ledger.as_of_view(ledger_records(spark, sf), as_of())
+    """The as-of view; later events are left out in the scan, since no record depends on them."""
+    events = table(spark, sf, "events")
+    records = event_records(events.where(F.col("ts") <= as_of()), slice_bounds(events, "ts"))
+    return ledger.as_of_view(records.drop("user_id", "props", "prev", "ts"), as_of())
 
 
 @query("ledger_as_of", f"""WITH {VIEW}

@@ -274,3 +274,11 @@ def archive_member_names(spark: SparkSession, sf: str) -> DataFrame:
     """Member-name rules applied to the paths of the crawled pages."""
     names = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("name"))
     return names.select("page_id", files.safe_member("name").alias("safe"), files.base_name("name").alias("base_name"))
+
+
+@query("label_dispatch", """
+SELECT doc_id, CASE WHEN contains(text, 'tion') THEN 'tion' WHEN contains(text, 'eaux') THEN 'eaux' WHEN contains(text, 'the') THEN 'the'
+  WHEN contains(text, 'und') THEN 'und' END AS label FROM documents""")
+def label_dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    """First matching label in a fixed order of priority."""
+    return documents(spark, sf, "doc_id", "text").select("doc_id", tx.first_label("text", ("tion", "eaux", "the", "und")).alias("label"))

@@ -15,6 +15,7 @@ from . import files
 # What a complete source archive holds.
 MEMBER_COUNT = 225
 AGGREGATE_NAME = "00_Tong_hop_Tat_ca_Chinh_sach_Tin_tuc.md"
+AUDITED_ARTICLES = (154, 151, 5, 23, 172, 26)
 
 _MEMBER = "archive string, archive_sha256 string, member string, is_dir boolean, content binary"
 
@@ -65,6 +66,14 @@ def violations(member_rows: DataFrame, expected_sha256: str | None = None) -> Da
     return found.distinct()
 
 
+def article_counts(md: DataFrame, audited: tuple[int, ...] = AUDITED_ARTICLES) -> DataFrame:
+    """Individual articles, excluded aggregates and audited articles per archive."""
+    article = F.col("name") != AGGREGATE_NAME
+    return md.groupBy("archive").agg(
+        F.count_if(article).alias("real_articles"), F.count_if(~article).alias("aggregate_excluded"),
+        F.count_if(article & F.col("prefix").isin(*audited)).alias("audited"))
+
+
 def member_digest(md: DataFrame) -> DataFrame:
     """Digest per archive over name, NUL, hash and line feed, in prefix order."""
     line = F.concat("name", F.lit("\u0000"), "sha256", F.lit("\n"))

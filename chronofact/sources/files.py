@@ -25,6 +25,13 @@ def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> Non
     rows.select(identity.canonical_json(whole, dtype).alias("value")).write.mode("errorifexists").text(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """A DataFrame of exactly one row as one canonical JSON document."""
+    if df.limit(2).count() != 1:
+        raise ValueError("a JSON document is exactly one row")
+    write_jsonl(df.coalesce(1), path)
+
+
 def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Path below ``root``, length, SHA-256 and bytes of every file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)

@@ -16,7 +16,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input of few splits.
+    """Use every core on a scan of few splits. Only for plain scans: asking a
+    plan with shuffles for its partitions would run it.
 
     A scan with fewer splits than the cluster has cores is small by that very
     fact, so moving it once is cheap; any larger scan is returned unchanged.

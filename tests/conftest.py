@@ -13,7 +13,8 @@ from chronofact.session import build_session  # noqa: E402
 def spark():
     session = build_session("tests", "local[8]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g",
+        "spark.sql.maxMetadataStringLength": "10000"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

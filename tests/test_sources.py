@@ -164,3 +164,54 @@ def test_stream_resumes_after_the_last_batch_and_repeats_count_once(spark, tmp_p
     stored = spark.read.parquet(table)
     assert stored.count() == 4
     assert sorted(r["n"] for r in ingest.stored_once(stored, "record_id").collect()) == [1, 2, 3]
+
+
+def make_corpus(folder):
+    from chronofact.sources import corpus  # noqa: F401
+    root = folder / "public"
+    for sub in ("corpus_profiles/p", "documents/normalized", "documents/raw", "definitions"):
+        (root / sub).mkdir(parents=True)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    texts = {"rev1": "một hai\nba", "rev2": "bốn năm", "rev3": "not in profile"}
+    raws = {"snap-1": texts["rev1"].replace("\n", "\r\n").encode(), "rev2": texts["rev2"].encode()}
+    for name, text in texts.items():
+        (root / f"documents/normalized/{name}.md").write_bytes(text.encode())
+    for name, raw in raws.items():
+        (root / f"documents/raw/{name}.md").write_bytes(raw)
+    rows = [{"snapshot_id": "snap-1", "document_revision_id": "rev1", "normalized_sha256": digest(texts["rev1"].encode()),
+             "raw_sha256": digest(raws["snap-1"]), "clauses": [{"clause_id": "c", "span_start": 4, "span_end": 7}]},
+            {"snapshot_id": None, "document_revision_id": "rev2", "normalized_sha256": digest(texts["rev2"].encode())},
+            {"snapshot_id": "snap-3", "document_revision_id": "rev3"}]
+    (root / "documents/catalog.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n\n")
+    (root / "definitions/d1.md").write_bytes(b"# M01\n\nbody")
+    defs = [{"definition_id": "d1", "content_sha256": "0" * 64}, {"definition_id": "d1", "content_sha256": digest(b"# M01\n\nbody")}]
+    (root / "definitions/catalog.jsonl").write_text("\n".join(map(json.dumps, defs)) + "\n")
+    profile = {"corpus_profile_version": "1", "real_snapshot_ids": ["snap-1"], "shared_document_revision_ids": ["rev2"], "definition_ids": ["d1"]}
+    (root / "corpus_profiles/p/manifest.json").write_text(json.dumps(profile))
+    return root, profile
+
+
+def test_corpus_to_chunks(spark, tmp_path):
+    from chronofact.operators import chunking
+    from chronofact.sources import corpus
+    root, profile = make_corpus(tmp_path)
+    chunks = chunking.construct_chunks(corpus.corpus_sources(spark, str(root), "p"), profile_id="p").collect()
+    got = {r["source_id"]: (r["kind"], r["text"], r["raw_end"], r["clause_ids"]) for r in chunks}
+    assert got == {"snap-1": ("document", "một hai\nba", 11, ["c"]), "rev2": ("document", "bốn năm", 7, []),
+                   "d1": ("definition", "# M01\n\nbody", 11, [])}
+    (root / "documents/raw/snap-1.md").write_bytes(b"other")
+    with pytest.raises(Exception, match="raw hash mismatch"):
+        corpus.corpus_sources(spark, str(root), "p").collect()
+    (root / "corpus_profiles/p/manifest.json").write_text(json.dumps({**profile, "definition_ids": ["d1", "d9"]}))
+    with pytest.raises(Exception, match="unknown definition: d9"):
+        corpus.corpus_sources(spark, str(root), "p").where("kind = 'definition'").collect()
+
+
+def test_article_counts_and_single_document(spark, tmp_path):
+    make_archive(tmp_path)
+    row = archive.article_counts(archive.markdown(archive.members(spark, str(tmp_path)))).first()
+    assert (row["real_articles"], row["aggregate_excluded"], row["audited"]) == (224, 1, 6)
+    files.write_json(spark.createDataFrame([(1, "é")], "b int, a string"), str(tmp_path / "doc"))
+    assert b"".join(p.read_bytes() for p in (tmp_path / "doc").glob("part-*")).decode() == '{"a":"é","b":1}\n'
+    with pytest.raises(ValueError, match="exactly one row"):
+        files.write_json(spark.range(2), str(tmp_path / "two"))
