@@ -169,7 +169,8 @@ def violations(records: DataFrame, sources: DataFrame, bounds: Sequence[float] =
         history(records), ["ledger_id", "assertion_id"], ["known_at", "commit_seq", "input_order", "pos"],
         {"_prior": F.struct(F.col("event").alias("event"), F.col("known_at").alias("known_at"),
                             F.col("source_id").alias("source_id"))}, bounds)
-    rights = before.join(sources.select("source_id", "allowed_predicates", "can_correct_source_ids"), "source_id")
+    # An unknown source has no rights to judge by; the other checks still apply.
+    rights = before.join(sources.select("source_id", "allowed_predicates", "can_correct_source_ids"), "source_id", "left")
     active = F.coalesce(F.col("_prior.event") == OPEN, F.lit(False))
     closing, opening = F.col("event") == CLOSE, F.col("event") == OPEN
     replay = _found(rights, F.col("pos"), {
