@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import exact, identity
-from .skew import fits_broadcast, lookup_join
+from .skew import BROADCAST_ROWS, fits_broadcast, lookup_join
 
 
-def members(recipes: DataFrame, events: DataFrame, *, broadcast_rows: int | None = None) -> DataFrame:
+def members(recipes: DataFrame, events: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Events inside the scope of each recipe.
 
     ``recipes``: recipe_key, subject_id, window_start, window_end, source_set.
     ``events``: member_id, subject_id, source_id, event_time, outcome. Windows
     are half open. A subject with very many events is spread over tasks.
     """
-    limit = {} if broadcast_rows is None else {"rows": broadcast_rows}
     scope = recipes.select("recipe_key", "subject_id", "window_start", "window_end", "source_set")
-    fits = fits_broadcast(scope, **limit)
+    fits = fits_broadcast(scope, broadcast_rows)
     pairs = lookup_join(events, scope, ["subject_id"], "inner", small_fits=fits, salt=F.col("member_id"))
     return pairs.where(
         (F.col("window_start") <= F.col("event_time")) & (F.col("event_time") < F.col("window_end"))

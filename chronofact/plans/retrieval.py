@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import catalog, chunking, evidence, lexical
+from ..session import scratch_path
 from ..sources import files
 from ..sources.tables import spread, table
 from .registry import query
@@ -136,6 +137,16 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
                                key=["doc_id"], query_key="item_id")
 
 
+@query("bm25_index_topk", f"""WITH {bm25_sql('documents', 'doc_id', "source IN ('src0', 'src3', 'src7')")}
+SELECT query_id, doc_id, score, rank FROM top""")
+def bm25_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Build an index once, store it, and search what was stored, limited to some sources."""
+    path = scratch_path(spark, "index")
+    lexical.write_index(documents(spark, sf, "doc_id", "text", "source"), path, key=["doc_id"], carry=["source"])
+    return lexical.search_index(spark, path, table(spark, sf, "benchmark"), key=["doc_id"], query_key="item_id",
+                                allowed=F.col("source").isin("src0", "src3", "src7"))
+
+
 @query("bm25_chunk_topk", f"""WITH {CHUNKS},
 cd AS (SELECT doc_id, chunk_no, chunk_text AS text FROM chunks),
 {bm25_sql('cd', 'doc_id, chunk_no')} SELECT query_id, doc_id, chunk_no, score, rank FROM top""")

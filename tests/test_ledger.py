@@ -70,44 +70,57 @@ def test_bitemporal_incident_probe(spark):
     assert got == [claim("", v)[3] for v in (1, 1, 0, 1)]
 
 
+def latest(trail, aid):
+    """Last event of an assertion: (aid, opened?, at, source, record)."""
+    return next((e for e in reversed(trail) if e[0] == aid), None)
+
+
+def breaks(record, accepted, trail):
+    """Names of the rules a record breaks, in order; extends the trail as far as it is judged."""
+    _, rid, sid, at, seq, _, op, targets, opened, ok = record
+    whole = {
+        "duplicate record_id": any(r[1] == rid for r in accepted),
+        "replay order is not strict": any((r[3], r[4]) >= (at, seq) for r in accepted),
+        "payload hash mismatch": not ok,
+        "assert cannot target": op == "assert" and targets,
+        "retract cannot assert": op == "retract" and opened,
+        "revision requires targets": op in ("replace", "retract") and not targets,
+        "unknown source": sid not in SOURCES,
+    }
+    yield from (name for name, broken in whole.items() if broken)
+    _, predicates, corrects = SOURCES[sid]
+    for target in targets:
+        before = latest(trail, target)
+        if not (before and before[1]):
+            yield "target is not active"
+        if before[2] >= at:
+            yield "target must be known strictly earlier"
+        if before[3] not in corrects:
+            yield "unauthorized correction"
+        trail.append((target, False, at, sid, rid))
+    for aid, _, predicate, _ in opened:
+        before = latest(trail, aid)
+        if before and before[1]:
+            yield "duplicate active assertion"
+        if predicate not in predicates:
+            yield "source predicate not authorized"
+        trail.append((aid, True, at, sid, rid))
+
+
 def sequential(records):
     """First violation of one ledger, or its final state, one record at a time."""
-    active, view, seen, last = {}, {}, set(), None
-    for r in sorted(records, key=lambda r: (r[3], r[4], r[5])):
-        _, rid, sid, at, seq, _, op, targets, opened, ok = r
-        if rid in seen:
-            return "duplicate record_id", rid
-        seen.add(rid)
-        if last is not None and (at, seq) <= last:
-            return "replay order is not strict", rid
-        last = (at, seq)
-        if not ok:
-            return "payload hash mismatch", rid
-        if op == "assert" and targets:
-            return "assert cannot target", rid
-        if op == "retract" and opened:
-            return "retract cannot assert", rid
-        if op != "assert" and not targets:
-            return "revision requires targets", rid
-        if sid not in SOURCES:
-            return "unknown source", rid
-        for t in targets:
-            if t not in active:
-                return "target is not active", rid
-            if active[t][1] >= at:
-                return "target must be known strictly earlier", rid
-            if active[t][0] not in SOURCES[sid][2]:
-                return "unauthorized correction", rid
-            del active[t]
-            view[t] = (*view[t][:2], at)
-        for a in opened:
-            if a[0] in active:
-                return "duplicate active assertion", rid
-            if a[2] not in SOURCES[sid][1]:
-                return "source predicate not authorized", rid
-            active[a[0]] = (sid, at)
-            view[a[0]] = (rid, at, None)
-    return view
+    accepted, trail = [], []
+    for record in sorted(records, key=lambda r: (r[3], r[4], r[5])):
+        broken = next(breaks(record, accepted, trail), None)
+        if broken:
+            return broken, record[1]
+        accepted.append(record)
+    state = {}
+    for aid in {e[0] for e in trail}:
+        opening = next(e for e in reversed(trail) if e[0] == aid and e[1])
+        end = latest(trail, aid)
+        state[aid] = (opening[4], opening[2], None if end[1] else end[2])
+    return state
 
 
 def random_ledger(rng, lid):

@@ -11,15 +11,10 @@ from test_text import python_terms
 
 
 def spans(text, size, overlap):
-    tokens = list(re.finditer(r"\S+", text))
-    out, first = [], 0
-    while tokens and first < len(tokens):
-        part = tokens[first:first + size]
-        out.append((part[0].start(), part[-1].end(), len(part)))
-        if first + size >= len(tokens):
-            break
-        first += size - overlap
-    return out
+    """A further window starts wherever the one before it left words uncovered."""
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    windows = [words[i:i + size] for i in range(0, len(words), size - overlap) if i == 0 or i + overlap < len(words)]
+    return [(w[0][0], w[-1][1], len(w)) for w in windows]
 
 
 def random_texts(seed, count, words, letters="abcé😀ß"):
@@ -85,7 +80,7 @@ def brute_bm25(docs, queries, top_k, allowed=None, k1=1.2, b=0.75):
     return out
 
 
-@pytest.mark.parametrize("broadcast_rows", [None, 0])
+@pytest.mark.parametrize("broadcast_rows", [lexical.BROADCAST_ROWS, 0])
 def test_bm25_equals_brute_force_with_either_join(spark, broadcast_rows):
     docs = list(enumerate(random_texts(5, 80, 30, "abcdeßΣ")))
     docs += [(1000 + i, docs[i][1]) for i in range(20)]  # copies tie, the key decides
@@ -97,6 +92,22 @@ def test_bm25_equals_brute_force_with_either_join(spark, broadcast_rows):
     assert got == {(a, b, round(s, 8), r) for a, b, s, r in brute_bm25(docs, queries, 7)}
 
 
+@pytest.mark.parametrize("pushed,broadcast_rows", [(2000, lexical.BROADCAST_ROWS), (0, 0)])
+def test_stored_index_serves_many_searches(spark, tmp_path, monkeypatch, pushed, broadcast_rows):
+    monkeypatch.setattr(lexical, "PUSHED_TERMS", pushed)
+    docs = list(enumerate(random_texts(7, 60, 30, "abcdeß")))
+    path = str(tmp_path / "index")
+    lexical.write_index(spark.createDataFrame(docs, "doc_id long, text string").withColumn("even", F.col("doc_id") % 2 == 0),
+                        path, key=["doc_id"], carry=["even"])
+    for seed, allowed in ((1, None), (2, set(range(0, 60, 2)))):
+        queries = list(enumerate(random_texts(seed, 6, 8, "abcdeß")))
+        found = lexical.search_index(spark, path, spark.createDataFrame(queries, "qid long, text string"), key=["doc_id"],
+                                     query_key="qid", top_k=5, allowed=None if allowed is None else F.col("even"),
+                                     broadcast_rows=broadcast_rows).collect()
+        got = {(r["query_id"], r["doc_id"], round(r["score"], 8), r["rank"]) for r in found}
+        assert got == {(a, b, round(s, 8), r) for a, b, s, r in brute_bm25(docs, queries, 5, allowed)}
+
+
 def test_allowed_sources_do_not_change_statistics(spark):
     docs = list(enumerate(random_texts(9, 40, 20, "abcd")))
     queries = [(1, "a b"), (2, "cc d")]
