@@ -9,6 +9,8 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+FEW_SPLITS = 32
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Scan ``folder/name.parquet``; filters and columns are pushed into the scan."""
@@ -16,14 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on a scan of few splits. Only for plain scans: asking a
+    """Use more cores on a scan of few splits. Only for plain scans: asking a
     plan with shuffles for its partitions would run it.
 
-    A scan with fewer splits than the cluster has cores is small by that very
-    fact, so moving it once is cheap; any larger scan is returned unchanged.
+    A scan of fewer than ``FEW_SPLITS`` splits is a few gigabytes at most, so
+    moving it once is cheap; any larger scan is returned unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(min(cores, 4 * FEW_SPLITS)) if splits < min(cores, FEW_SPLITS) else df
 
 
 def register_views(spark: SparkSession, folder: str) -> None:
