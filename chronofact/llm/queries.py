@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import bpe, mixing, quality, sharding, token_counts
+from . import bpe, html_main_text, mixing, quality, sharding, token_counts, toxicity
 from .columns import words
 
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,20 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_html_main_text")
+def op1_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_main_text.extract(pages).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    return toxicity.detect(docs, labels).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def mix_sql() -> str:
     """The contract of the mix, with plain running sums."""
     return rf"""
