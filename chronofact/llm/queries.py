@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import bpe, html_main_text, mixing, quality, sharding, token_counts, toxicity
+from . import bpe, caps, html_main_text, jaccard, mixing, quality, sharding, token_counts, toxicity
 from .columns import words
 
 QUERIES: dict[str, Query] = {}
@@ -106,6 +106,32 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op7_ngram_jaccard", rf"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS g
+      FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id
+      JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 10 * count(*) >= 8 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.c),
+k AS (SELECT a AS doc_id, count(*) AS n FROM l GROUP BY a)
+SELECT doc_id, min(c) AS class_id, coalesce(any_value(k.n), 0) AS n_links, doc_id = min(c) AS kept
+FROM r LEFT JOIN k USING (doc_id) GROUP BY doc_id""")
+def op7_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of near copies with the number of links of each document, copies included."""
+    return jaccard.near_copies(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op9_embedding_near_dedup", f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= {caps.COSINE}),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.c),
+k AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(any_value(k.n), 0) AS n_links, min(c) AS component_id, vec_id = min(c) AS kept
+FROM r LEFT JOIN k USING (vec_id) GROUP BY vec_id""")
+def op9_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return caps.near_embeddings(table(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def shard_sql() -> str:
     """Placement looked up in the table, given as four hexadecimal digits a slot."""
     digits = sharding.packed(sharding.lookup_table(SHARDS)).hex()
