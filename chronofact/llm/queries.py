@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import bpe, caps, html_main_text, jaccard, mixing, quality, sharding, token_counts, toxicity
+from . import bpe, caps, html_main_text, jaccard, licenses, mixing, quality, sharding, token_counts, toxicity
 from .columns import words
 
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,11 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def mix_sql() -> str:
     """The contract of the mix, with plain running sums."""
     return rf"""
@@ -48,10 +53,10 @@ d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5(doc_id::VARCHAR)
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w,
         2.0::DOUBLE * source_size AS cap FROM s),
-f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
-        sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
-        sum(source_size) OVER () AS total FROM w),
-l AS (SELECT *, min(CASE WHEN (1.5::DOUBLE * total - b) / rest * w <= cap THEN (1.5::DOUBLE * total - b) / rest END) OVER () AS level FROM f),
+k AS (SELECT a.source, (1.5::DOUBLE * (SELECT sum(source_size) FROM w)
+          - coalesce((SELECT sum(b.cap) FROM w b WHERE b.cap / b.w < a.cap / a.w), 0))
+        / (SELECT sum(b.w) FROM w b WHERE b.cap / b.w >= a.cap / a.w) AS level, a.cap / a.w AS full_at FROM w a),
+l AS (SELECT w.*, (SELECT max(level) FROM k WHERE level <= full_at) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, coalesce(level * w, cap)) AS target FROM l),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS whole,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c

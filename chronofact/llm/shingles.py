@@ -32,16 +32,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """One hash per word, in order; words end at spaces and at tab to carriage return."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return byte_word_hashes((text or "").encode("utf-8", "surrogatepass"))[0]
+
+
+def byte_word_hashes(encoded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word its hash and where its bytes start and end."""
+    raw = np.frombuffer(encoded, np.uint8)
     if not len(raw):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = np.concatenate([[False], ~_blank[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     _grow(len(raw) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers[:len(raw)])])
-        return mixed((sums[ends] - sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
+        return mixed((sums[ends] - sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
 def windows(words: np.ndarray, width: int = WIDTH) -> np.ndarray:

@@ -1,7 +1,66 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: what a training corpus goes through, stage by stage.
+
+Each stage takes and returns documents; its input is what the stage before it
+kept, read back from Parquet. The last stage returns token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from chronofact.llm import bpe, jaccard, mixing, quality, toxicity
+from chronofact.llm.columns import words
+from chronofact.llm.near import stored
+from chronofact.sources.tables import table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base and every rule of the cascade accept."""
+    return quality.judge(docs).where("kept").select(*COLUMNS)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below the threshold."""
+    found = toxicity.detect(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return found.where("predicted = 0").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one with the smallest id, and of rows that repeat it any one equal to it."""
+    kept = jaccard.near_copies(docs).where("kept or doc_id is null").select("doc_id").where("doc_id is not null").distinct()
+    first = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return first.join(kept, "doc_id").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix uses them, whole, in training order."""
+    mixed = mixing.mix(docs, F.size(words(F.col("text"))).cast("bigint"), rows=docs.count())
+    return mixing.emit(mixed).select(*COLUMNS)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether decoding gives its text back."""
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"))
+    exact = F.col("decoded").eqNullSafe(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return coded.select("doc_id", "source", "n_tokens", F.col("packed_ids").alias("token_ids"), exact.alias("round_trip"))
+
+
+STAGES = [
+    ("quality rules", quality_rules), ("toxicity", toxicity_filter), ("n-gram Jaccard join", near_copies),
+    ("mixing sources to target weights", mixture), ("byte-level BPE encoding and decoding", encoding),
+]
+
+#: The toxicity classifier is learned, which SQL cannot say.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each stored in the shared folder before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for at, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs = stored(docs, f"pipeline-{at}")
+    return docs
