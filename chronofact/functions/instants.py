@@ -6,25 +6,38 @@ from pyspark.sql import Column, functions as F
 
 from .text import col
 
-UTC_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 _HAS_OFFSET = r"(?i)(z|[+-]\d{2}:?\d{2})$"
 
 
+def _shown(ntz: Column) -> Column:
+    """Zone-less timestamp as text with six digits and ``Z``."""
+    text = ntz.cast("string")
+    digits = F.rpad(F.coalesce(F.substring(text, 21, 6), F.lit("")), 6, "0")
+    return F.concat(F.translate(F.substring(text, 1, 19), " ", "T"), F.lit("."), digits, F.lit("Z"))
+
+
+def _in_utc(ts: Column) -> Column:
+    """The UTC clock at an instant, from its distance to the epoch, so whatever the zone of the session."""
+    seconds = (F.unix_micros(ts.cast("timestamp")).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def utc(text: Column | str) -> Column:
     """Offset-carrying timestamp text as UTC text with six digits and ``Z``.
 
-    Text without an offset is an error. The session time zone must be UTC.
+    Text without an offset is an error. The time zone of the session does not matter.
     """
     text = col(text)
     checked = F.when(text.rlike(_HAS_OFFSET), text).otherwise(
         F.raise_error(F.lit("timestamp must be timezone-aware"))
     )
-    return F.when(text.isNotNull(), F.date_format(F.to_timestamp(checked), UTC_FORMAT))
+    return F.when(text.isNotNull(), _shown(_in_utc(F.to_timestamp(checked))))
 
 
 def utc_text(ts: Column | str) -> Column:
     """Canonical text of a timestamp column; zone-less values count as UTC."""
-    return F.date_format(col(ts), UTC_FORMAT)
+    ts = col(ts)
+    return _shown(F.when(F.typeof(ts) == "timestamp_ntz", ts.cast("timestamp_ntz")).otherwise(_in_utc(ts)))
 
 
 def _known(known_from: Column, known_to: Column, as_of: Column) -> Column:

@@ -14,11 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.identity import payload_hash
 from .skew import last_before
 
 CLOSE, OPEN = "close", "open"
+#: Ranks beside the registered ones: before all, of a source that is not registered; after all, of one without a rank.
+_UNKNOWN, _NO_RANK = -(1 << 31), (1 << 31) - 1
 
 # Violations in the order in which a record is checked.
 CHECKS = (
@@ -47,17 +50,27 @@ def known_prefix(records: DataFrame, as_of: Column) -> DataFrame:
     return records.where(F.col("known_at") <= as_of)
 
 
+def _targets() -> Column:
+    return F.coalesce("target_assertion_ids", F.array().cast("array<string>"))
+
+
+def _assertions(records: DataFrame) -> Column:
+    return F.coalesce("assertions", F.array().cast(records.schema["assertions"].dataType))
+
+
 def history(records: DataFrame) -> DataFrame:
     """One row per closing or opening of an assertion, in replay position.
 
     Within a record every target is closed before any assertion is opened.
+    A null list counts as empty.
     """
     body = records.schema["assertions"].dataType.elementType
     none = F.lit(None).cast(body)
-    closes = F.transform("target_assertion_ids", lambda t, i: F.struct(
+    targets, asserted = _targets(), _assertions(records)
+    closes = F.transform(targets, lambda t, i: F.struct(
         i.alias("pos"), F.lit(CLOSE).alias("event"), t.alias("assertion_id"), none.alias("assertion")))
-    opens = F.transform("assertions", lambda a, i: F.struct(
-        (F.size("target_assertion_ids") + i).alias("pos"), F.lit(OPEN).alias("event"),
+    opens = F.transform(asserted, lambda a, i: F.struct(
+        (F.size(targets) + i).alias("pos"), F.lit(OPEN).alias("event"),
         a["assertion_id"].alias("assertion_id"), a.alias("assertion")))
     keep = ["ledger_id", "record_id", "source_id", "known_at", "commit_seq", "input_order"]
     return records.select(*keep, F.explode(F.concat(closes, opens)).alias("e")).select(
@@ -92,22 +105,28 @@ def select_fact(view: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFr
 
     ``accepted`` with the value when the open assertions of the best authority
     agree, ``unresolved_conflict`` when they differ, ``missing`` when none is
-    open. Objects compare by their canonical text. Two partial aggregations;
-    assertions of one fact are never gathered in one place.
+    open, ``unknown_source`` when an open assertion comes from a source that is
+    not registered, since no authority can then be the best. Objects compare
+    by their canonical text. Two partial aggregations; assertions of one fact
+    are never gathered in one place.
     """
-    ranked = view.where("known_to is null").join(sources.select("source_id", "authority_rank"), "source_id")
+    known = sources.select("source_id", F.coalesce("authority_rank", F.lit(_NO_RANK)).alias("authority_rank"))
+    ranked = view.where("known_to is null").join(known, "source_id", "left").withColumn(
+        "authority_rank", F.coalesce("authority_rank", F.lit(_UNKNOWN)))
     keys = ["ledger_id", "logical_fact_id"]
     per_rank = ranked.groupBy(*keys, "authority_rank").agg(
         F.min("assertion.object").alias("low"), F.max("assertion.object").alias("high"),
         F.count("*").alias("support"), F.min("assertion_id").alias("first_assertion_id"))
     best = per_rank.groupBy(*keys).agg(F.min_by(F.struct(
         "authority_rank", "low", "high", "support", "first_assertion_id"), "authority_rank").alias("b"))
-    agreed = F.col("b.low") == F.col("b.high")
+    unknown = F.col("b.authority_rank") == _UNKNOWN
+    agreed = (F.col("b.low") == F.col("b.high")) & ~unknown
     return facts.join(best, keys, "left").select(
         *keys,
-        F.when(F.col("b").isNull(), "missing").when(agreed, "accepted").otherwise("unresolved_conflict").alias("status"),
+        F.when(F.col("b").isNull(), "missing").when(unknown, "unknown_source").when(agreed, "accepted")
+        .otherwise("unresolved_conflict").alias("status"),
         F.when(agreed, F.col("b.low")).alias("value"),
-        F.col("b.authority_rank").alias("authority_rank"),
+        F.when(~unknown, F.col("b.authority_rank")).alias("authority_rank"),
         F.coalesce("b.support", F.lit(0).cast("bigint")).alias("support"),
         F.col("b.first_assertion_id").alias("first_assertion_id"),
     )
@@ -121,72 +140,98 @@ def supporting_assertions(view: DataFrame, sources: DataFrame, decisions: DataFr
         "ledger_id", "logical_fact_id", "status", "assertion_id", F.col("assertion.object").alias("object"))
 
 
-def _found(df: DataFrame, pos: Column, checks: dict[str, Column]) -> DataFrame:
-    """Rows of the first failing check of each row, with its position."""
-    failing = F.coalesce(*[
-        F.when(cond, F.struct(F.lit(_CHECK_NO[name]).alias("check"), F.lit(name).alias("violation")))
-        for name, cond in checks.items()
-    ])
-    return df.withColumn("_f", failing).where("_f is not null").select(
-        "ledger_id", "record_id", "known_at", "commit_seq", "input_order", pos.cast("int").alias("pos"),
-        F.col("_f.check").alias("check"), F.col("_f.violation").alias("violation"))
+def _first_check(checks: dict[str, Column]) -> Column:
+    """The number of the first check that fails; null where all hold."""
+    return F.coalesce(*[F.when(failing, F.lit(_CHECK_NO[name])) for name, failing in checks.items()])
+
+
+def payload_differs(declared: str = "payload_hash", payload: str = "raw_payload") -> Column:
+    """Whether the declared hash is not that of the record's own JSON; a missing hash differs."""
+    return ~F.coalesce(F.col(declared) == payload_hash(payload), F.lit(False))
+
+
+RECORD, PLACE = "record", "place"
 
 
-def violations(records: DataFrame, sources: DataFrame, bounds: Sequence[float] = ()) -> DataFrame:
+def violations(records: DataFrame, sources: DataFrame, bounds: Sequence[float] = (), *, check_payload: bool = True) -> DataFrame:
     """Every row-level violation, assuming the rows before it were accepted.
 
-    ``payload_ok`` may be given as a boolean column; it is the result of
-    comparing the declared hash with the computed one. ``bounds`` are
-    ``slice_bounds`` of ``known_at``, for ledgers in which one assertion may
-    have a very long history.
+    Copies of a record id or of a place in the replay order are violations
+    each, from the second on. Of a record's own checks, and of those of each
+    closing and opening, the first failing one counts. The hash of
+    ``raw_payload`` is compared with ``payload_hash`` unless ``check_payload``
+    is false. ``bounds`` are ``slice_bounds`` of ``known_at``, for ledgers in
+    which one assertion may have a very long history.
+
+    One pass: a record adds two rows of position -1 to its closings and
+    openings, keyed by its id and by its place, so the same look-back finds
+    repeated ids, repeated places and the state of assertions.
     """
-    repeated = []
-    for check, keys, order in (
-        ("duplicate record_id", ["ledger_id", "record_id"], ["known_at", "commit_seq", "input_order"]),
-        ("replay order is not strict", ["ledger_id", "known_at", "commit_seq"], ["input_order"]),
-    ):
-        # Only the second copy can be the first violation. The limit on the
-        # rank makes Spark drop further copies before the shuffle.
-        nth = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-        second = records.select("ledger_id", "record_id", "known_at", "commit_seq", "input_order") \
-            .withColumn("_nth", nth).where("_nth = 2")
-        repeated.append(_found(second, F.lit(-1), {check: F.lit(True)}))
-
-    known = sources.select("source_id", F.lit(True).alias("_known"))
-    targets, asserted = F.size("target_assertion_ids") > 0, F.size("assertions") > 0
+    known = sources.select("source_id", F.lit(True).alias("_known"), "allowed_predicates", "can_correct_source_ids")
     shape = records.join(known, "source_id", "left")
-    checks = {
-        "assert cannot target": (F.col("operation") == "assert") & targets,
-        "retract cannot assert": (F.col("operation") == "retract") & asserted,
-        "revision requires targets": F.col("operation").isin("replace", "retract") & ~targets,
+    targets, asserted = _targets(), _assertions(records)
+    own = {
+        "assert cannot target": (F.col("operation") == "assert") & (F.size(targets) > 0),
+        "retract cannot assert": (F.col("operation") == "retract") & (F.size(asserted) > 0),
+        "revision requires targets": F.col("operation").isin("replace", "retract") & (F.size(targets) == 0),
         "unknown source": F.col("_known").isNull(),
     }
-    if "payload_ok" in records.columns:
-        checks = {"payload hash mismatch": ~F.col("payload_ok"), **checks}
-    rows = _found(shape, F.lit(-1), checks)
-
+    if check_payload:
+        own = {"payload hash mismatch": payload_differs(), **own}
+
+    def entry(pos: Column, event: str, key: Column, check: Column, correct: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), F.lit(event).alias("event"), key.alias("key"), check.cast("int").alias("check"),
+                        correct.alias("can_correct"))
+
+    no_check, nobody = F.lit(None).cast("int"), F.lit(None).cast("array<string>")
+    kind = records.schema["known_at"].dataType.simpleString()
+    place = F.concat_ws("|", F.lit("place"), F.coalesce(F.col("known_at").cast("string"), F.lit(kind)), F.col("commit_seq").cast("string"))
+    marks = F.array(
+        entry(F.lit(-1), RECORD, F.concat(F.lit("record|"), F.coalesce("record_id", F.lit(""))), _first_check(own), nobody),
+        entry(F.lit(-1), PLACE, place, no_check, nobody))
+    # An unknown source has no rights to judge by; the other checks still apply.
+    closes = F.transform(targets, lambda t, i: entry(i, CLOSE, F.concat(F.lit("a|"), t), no_check, F.col("can_correct_source_ids")))
+    opens = F.transform(asserted, lambda a, i: entry(
+        F.size(targets) + i, OPEN, F.concat(F.lit("a|"), a["assertion_id"]),
+        F.when(~F.array_contains("allowed_predicates", a["predicate"]), _CHECK_NO["source predicate not authorized"]), nobody))
+    keep = ["ledger_id", "record_id", "source_id", "known_at", "commit_seq", "input_order"]
+    events = shape.select(*keep, F.explode(F.concat(marks, closes, opens)).alias("e")).select(*keep, "e.*")
     before = last_before(
-        history(records), ["ledger_id", "assertion_id"], ["known_at", "commit_seq", "input_order", "pos"],
+        events, ["ledger_id", "key"], ["known_at", "commit_seq", "input_order", "pos"],
         {"_prior": F.struct(F.col("event").alias("event"), F.col("known_at").alias("known_at"),
                             F.col("source_id").alias("source_id"))}, bounds)
-    # An unknown source has no rights to judge by; the other checks still apply.
-    rights = before.join(sources.select("source_id", "allowed_predicates", "can_correct_source_ids"), "source_id", "left")
     active = F.coalesce(F.col("_prior.event") == OPEN, F.lit(False))
     closing, opening = F.col("event") == CLOSE, F.col("event") == OPEN
-    replay = _found(rights, F.col("pos"), {
+    repeated = F.col("_prior").isNotNull()
+    replay = _first_check({
         "target is not active": closing & ~active,
         "target must be known strictly earlier": closing & (F.col("_prior.known_at") >= F.col("known_at")),
-        "unauthorized correction": closing & ~F.array_contains("can_correct_source_ids", F.col("_prior.source_id")),
+        "unauthorized correction": closing & ~F.array_contains("can_correct", F.col("_prior.source_id")),
         "duplicate active assertion": opening & active,
-        "source predicate not authorized": opening & ~F.array_contains(
-            "allowed_predicates", F.col("assertion.predicate")),
     })
-    return repeated[0].unionByName(repeated[1]).unionByName(rows).unionByName(replay)
+    failed = F.array_compact(F.array(
+        F.when((F.col("event") == RECORD) & repeated, _CHECK_NO["duplicate record_id"]),
+        F.when((F.col("event") == PLACE) & repeated, _CHECK_NO["replay order is not strict"]),
+        F.coalesce(replay, F.col("check"))))
+    return before.select(
+        "ledger_id", "record_id", "known_at", "commit_seq", "input_order", "pos", F.explode(failed).alias("check")).withColumn(
+        "violation", F.element_at(F.array(*[F.lit(c) for c in CHECKS]), F.col("check") + 1))
 
 
-def validate_ledger(records: DataFrame, sources: DataFrame, bounds: Sequence[float] = ()) -> DataFrame:
+def validate_ledger(records: DataFrame, sources: DataFrame, bounds: Sequence[float] = (), *, check_payload: bool = True) -> DataFrame:
     """The first violation of each ledger in replay order; valid ledgers have no row."""
-    found = violations(records, sources, bounds)
+    found = violations(records, sources, bounds, check_payload=check_payload)
     first = found.groupBy("ledger_id").agg(F.min(F.struct(
         "known_at", "commit_seq", "input_order", "pos", "check", "violation", "record_id")).alias("v"))
     return first.select("ledger_id", "v.violation", "v.record_id", "v.known_at", "v.commit_seq")
+
+
+def reduce_prefix(records: DataFrame, sources: DataFrame, as_of: Column, bounds: Sequence[float] = (), *,
+                  check_payload: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The as-of view of the ledgers whose prefix known at ``as_of`` is valid, and the first violation of each other ledger.
+
+    A ledger is in exactly one of the two, so an invalid history never looks like a state.
+    """
+    prefix = known_prefix(records, as_of)
+    rejected = validate_ledger(prefix, sources, bounds, check_payload=check_payload)
+    return as_of_view(prefix, as_of).join(rejected.select("ledger_id"), "ledger_id", "left_anti"), rejected

@@ -11,20 +11,43 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 20_000
 SALTS = 64
+#: The slice of null instants, which sort before all others.
+NULL_SLICE = -1
+
+
+def content_size(value: Column, kind: T.DataType) -> Column:
+    """Bytes that a value of this type holds, nested content included.
+
+    A type whose content cannot be measured is an error.
+    """
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value)
+    elif isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType,
+                           T.DayTimeIntervalType, T.YearMonthIntervalType)):
+        return F.lit(16).cast("bigint")
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+            size = F.size(value) * 16
+        else:
+            size = F.aggregate(value, F.lit(0).cast("bigint"), lambda total, x: total + content_size(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        size = (content_size(F.map_keys(value), T.ArrayType(kind.keyType))
+                + content_size(F.map_values(value), T.ArrayType(kind.valueType)))
+    elif isinstance(kind, T.StructType):
+        size = reduce(lambda a, b: a + b, [content_size(value.getField(f.name), f.dataType) for f in kind.fields], F.lit(0))
+    else:
+        raise TypeError(f"the size of {kind.simpleString()} cannot be measured")
+    return F.coalesce(size.cast("bigint"), F.lit(0)) + 16
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` is proven small: at most ``rows`` rows and ``size`` bytes.
+    """Whether ``df`` is proven small: at most ``rows`` rows and ``size`` bytes of content.
 
-    Reads no more than ``rows + 1`` rows, so the check is cheap on large inputs.
+    ``df`` is computed up to the limit of rows in each partition; hand over a
+    stored table where that is costly.
     """
-    widths = [
-        F.octet_length(f.name) if isinstance(f.dataType, T.StringType) else F.lit(16)
-        for f in df.schema.fields
-    ]
-    width = reduce(lambda a, b: a + b, [F.coalesce(w, F.lit(0)) for w in widths])
+    width = reduce(lambda a, b: a + b, [content_size(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(0))
     got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(width.cast("bigint")).alias("b")).first()
     return got["n"] <= rows and (got["b"] or 0) <= size
 
@@ -52,7 +75,7 @@ def slice_bounds(df: DataFrame, by: str, rows_per_slice: int = ROWS_PER_SLICE) -
     is. Compute them once from a stored table and hand them to every operator
     that orders by the same instant; counting a stored table reads metadata only.
     """
-    wanted = min(MAX_SLICES, -(-df.count() // rows_per_slice))
+    wanted = -(-df.count() // rows_per_slice)
     if wanted <= 1:
         return []
     shares = [i / wanted for i in range(1, wanted)]
@@ -66,12 +89,14 @@ def _number(df: DataFrame, by: str) -> Column:
 
 
 def with_slices(df: DataFrame, by: str, bounds: Sequence[float]) -> DataFrame:
-    """Add ``_slice``, the order-preserving bucket of ``by`` between ``bounds``."""
+    """Add ``_slice``, the order-preserving bucket of ``by`` between ``bounds``; nulls come first."""
     if not bounds:
         return df.withColumn("_slice", F.lit(0))
     splits = [float("-inf"), *bounds, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="_by", outputCol="_bucket").transform(df.withColumn("_by", _number(df, by)))
-    return bucketed.withColumn("_slice", F.col("_bucket").cast("int")).drop("_by", "_bucket")
+    numbered = df.withColumn("_by", _number(df, by))
+    bucketed = Bucketizer(splits=splits, inputCol="_by", outputCol="_bucket", handleInvalid="keep").transform(numbered)
+    sliced = F.when(F.col("_by").isNull(), NULL_SLICE).otherwise(F.col("_bucket").cast("int"))
+    return bucketed.withColumn("_slice", sliced).drop("_by", "_bucket")
 
 
 def _neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
@@ -94,7 +119,12 @@ def _neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], values:
     carried = ends.select(*keys, "_slice", *[
         F.last(f"_end_{k}", ignorenulls=True).over(across).alias(f"_carry_{k}") for k in names
     ])
-    joined = found.join(carried, [*keys, "_slice"])
+    renamed = carried.select("_slice", *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
+                             *[f"_carry_{k}" for k in names]).withColumnRenamed("_slice", "_at")
+    # null keys are a key like any other, and every row stays
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)],
+                  F.col("_slice") == F.col("_at"))
+    joined = found.join(renamed, same, "left").drop("_at", *[f"_key_{i}" for i in range(len(keys))])
     drop = ["_slice", *[f"_{p}_{k}" for k in names for p in ("v", "in", "carry")]]
     return joined.withColumns({k: F.coalesce(f"_in_{k}", f"_carry_{k}") for k in names}).drop(*drop)
 
@@ -103,8 +133,8 @@ def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
                 bounds: Sequence[float] = ()) -> DataFrame:
     """Add, per row, the last non-null value strictly before it within its key.
 
-    ``order`` must be total within a key, ``keys`` must not be null, and
-    ``bounds`` are :func:`slice_bounds` of the first order column. Within a
+    ``order`` must be total within a key; null keys are one key and null
+    instants come before all others, with and without bounds. ``bounds`` are :func:`slice_bounds` of the first order column. Within a
     slice a window answers; the values at the slice ends, one row per key and
     slice, carry over to later slices. Without bounds one window does it all.
     """

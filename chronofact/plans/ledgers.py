@@ -8,7 +8,6 @@ assertion; an error retracts whatever of the user is still active.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -25,7 +24,7 @@ OBJECT = """'{"type":"integer","value":' || CAST(round(value * 100) AS BIGINT) |
 
 
 def as_of() -> Column:
-    return F.lit(datetime.fromisoformat(AS_OF)).cast("timestamp_ntz")
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def sources(spark: SparkSession) -> DataFrame:
@@ -172,7 +171,9 @@ r AS (SELECT CAST(user_id AS VARCHAR) AS ledger_id, event_id AS input_order,
         CASE WHEN k = 5 THEN [] WHEN k = 7 THEN ['none'] ELSE targets END AS targets,
         CASE WHEN event_type = 'error' THEN [] WHEN k = 10 AND pid IS NOT NULL THEN [CAST(pid AS VARCHAR)]
              ELSE [CAST(event_id AS VARCHAR)] END AS opened,
-        CASE WHEN k = 11 THEN 'FORBIDDEN' ELSE '{PREDICATE}' END AS predicate, k <> 2 AS payload_ok
+        CASE WHEN k = 11 THEN 'FORBIDDEN' ELSE '{PREDICATE}' END AS predicate,
+        sha256('{{"event":' || event_id || ',"k":' || k || '}}' || chr(10)) AS computed,
+        CASE WHEN k = 2 AND event_id % 2 = 0 THEN NULL ELSE sha256('{{"event":' || event_id || ',"k":' || (CASE WHEN k = 2 THEN -2 ELSE k END) || '}}' || chr(10)) END AS declared
       FROM tg WHERE NOT (event_type = 'error' AND len(targets) = 0)),
 src AS (SELECT * FROM (VALUES ('purchase', TRUE), ('signup', TRUE), ('view', TRUE), ('click', TRUE), ('error', FALSE)) t(source_id, may_assert)),
 h AS (SELECT ledger_id, record_id, source_id, known_at, commit_seq, input_order, predicate,
@@ -184,10 +185,10 @@ hp AS (SELECT *, lag(event) OVER w AS pe, lag(known_at) OVER w AS pk, lag(source
        WINDOW w AS (PARTITION BY ledger_id, assertion_id ORDER BY known_at, commit_seq, input_order, pos)),
 found AS (
   SELECT ledger_id, record_id, known_at, commit_seq, input_order, -1 AS pos, 0 AS c, 'duplicate record_id' AS violation
-  FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id, record_id ORDER BY known_at, commit_seq, input_order) AS n FROM r) WHERE n = 2
+  FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id, record_id ORDER BY known_at, commit_seq, input_order) AS n FROM r) WHERE n > 1
   UNION ALL SELECT ledger_id, record_id, known_at, commit_seq, input_order, -1, 1, 'replay order is not strict'
-  FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id, known_at, commit_seq ORDER BY input_order) AS n FROM r) WHERE n = 2
-  UNION ALL SELECT ledger_id, record_id, known_at, commit_seq, input_order, -1, 2, 'payload hash mismatch' FROM r WHERE NOT payload_ok
+  FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id, known_at, commit_seq ORDER BY input_order) AS n FROM r) WHERE n > 1
+  UNION ALL SELECT ledger_id, record_id, known_at, commit_seq, input_order, -1, 2, 'payload hash mismatch' FROM r WHERE declared IS DISTINCT FROM computed
   UNION ALL SELECT ledger_id, record_id, known_at, commit_seq, input_order, -1, 3, 'assert cannot target' FROM r
     WHERE operation = 'assert' AND len(targets) > 0
   UNION ALL SELECT ledger_id, record_id, known_at, commit_seq, input_order, -1, 4, 'retract cannot assert' FROM r
@@ -208,9 +209,12 @@ found AS (
 """
 
 
-def faulted_records(events: DataFrame, bounds: Sequence[float] = ()) -> DataFrame:
-    """One ledger per user, with rule breaks seeded by the events' own property number."""
+def faulted_records(events: DataFrame, bounds: Sequence[float] = (), sound: Column | None = None) -> DataFrame:
+    """One ledger per user, with rule breaks seeded by the events' own property number; users that are ``sound`` break none."""
     k = F.get_json_object("props", "$.k").cast("int")
+    k = k if sound is None else F.when(sound, -1).otherwise(k)
+    shown = lambda n: F.concat(F.lit('{"event":'), "input_order", F.lit(',"k":'), n, F.lit("}"))
+    declared = F.sha2(F.concat(shown(F.when(k == 2, -2).otherwise(k)), F.lit("\n")), 256)
     has_prev = F.col("prev").isNotNull()
     error = F.size("assertions") == 0
     strings = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
@@ -225,7 +229,8 @@ def faulted_records(events: DataFrame, bounds: Sequence[float] = ()) -> DataFram
         F.when((k == 1) & has_prev, F.col("prev.event_id")).otherwise(F.col("commit_seq")).alias("commit_seq"),
         F.when(k == 3, "assert").when(k == 4, "retract").when(k == 5, "replace").otherwise(F.col("operation")).alias("operation"),
         F.when(k == 5, strings()).when(k == 7, strings("none")).otherwise(F.col("target_assertion_ids")).alias("target_assertion_ids"),
-        relabelled.alias("assertions"), (k != 2).alias("payload_ok"))
+        relabelled.alias("assertions"), shown(k).alias("raw_payload"),
+        F.when((k != 2) | (F.col("input_order") % 2 != 0), declared).alias("payload_hash"))
 
 
 @query("validate_ledger", f"""WITH {FAULTED}
@@ -248,6 +253,43 @@ def ledger_violations(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("violation").agg(F.count("*").alias("n"), F.countDistinct("ledger_id").alias("ledgers"))
 
 
+SOUND = FAULTED.replace("CAST(json_extract(props, '$.k') AS INT) AS k", "CASE WHEN user_id % 4 <> 0 THEN -1 ELSE CAST(json_extract(props, '$.k') AS INT) END AS k")
+
+
+@query("reduce_prefix", f"""WITH {SOUND}, bad AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id
+    ORDER BY known_at, commit_seq, input_order, pos, c) AS n FROM found WHERE known_at <= TIMESTAMP '{AS_OF}') WHERE n = 1),
+x AS (SELECT *, (known_at, commit_seq, pos) AS place FROM h WHERE known_at <= TIMESTAMP '{AS_OF}' AND ledger_id NOT IN (SELECT ledger_id FROM bad)),
+o AS (SELECT ledger_id, assertion_id, max(place) AS place, arg_max(known_at, place) AS known_from, arg_max(record_id, place) AS record_id
+  FROM x WHERE event = 'open' GROUP BY ALL),
+e AS (SELECT ledger_id, assertion_id, max(place) AS place, arg_max(known_at, place) AS known_to FROM x WHERE event = 'close' GROUP BY ALL)
+SELECT ledger_id, o.assertion_id, o.record_id, known_from, CASE WHEN e.place > o.place THEN known_to END AS known_to, NULL::VARCHAR AS violation
+FROM o LEFT JOIN e USING (ledger_id, assertion_id)
+UNION ALL SELECT ledger_id, NULL, record_id, known_at, NULL, violation FROM bad""")
+def reduce_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """The validated state of every ledger at the as-of time, or why a ledger has none; a quarter of the users break rules."""
+    events = table(spark, sf, "events")
+    bounds = slice_bounds(events, "ts")
+    records = faulted_records(events, bounds, sound=F.col("user_id") % 4 != 0)
+    current, rejected = ledger.reduce_prefix(records, sources(spark), as_of(), bounds)
+    return current.select("ledger_id", "assertion_id", "record_id", "known_from", "known_to", F.lit(None).cast("string").alias("violation")).unionByName(
+        rejected.select("ledger_id", F.lit(None).cast("string").alias("assertion_id"), "record_id", F.col("known_at").alias("known_from"),
+                        F.lit(None).cast("timestamp_ntz").alias("known_to"), "violation"))
+
+
+@query("ledger_payload_check", """SELECT CAST(event_id AS VARCHAR) AS record_id, CASE WHEN event_type = 'error' THEN 'absent'
+  WHEN event_type = 'view' THEN 'differs' ELSE 'equal' END AS payload FROM events""")
+def ledger_payload_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Declared against computed hashes of records that spell the same content in another order and with other spaces."""
+    content = lambda value: F.concat(F.lit('{"id":'), "event_id", F.lit(',"type":"'), value, F.lit('","user":'), "user_id", F.lit("}\n"))
+    spelled = F.concat(F.lit('{ "user" : '), "user_id", F.lit(', "commit_seq": 5, "type": "'), "event_type", F.lit('", "text":"t", "id": '),
+                       "event_id", F.lit(', "payload_hash": "old"}'))
+    declared = F.when(F.col("event_type") != "error", F.sha2(content(F.when(F.col("event_type") == "view", "x").otherwise(F.col("event_type"))), 256))
+    rows = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("record_id"), spelled.alias("raw_payload"),
+                                             declared.alias("payload_hash"))
+    state = F.when(F.col("payload_hash").isNull(), "absent").when(ledger.payload_differs(), "differs").otherwise("equal")
+    return rows.select("record_id", state.alias("payload"))
+
+
 PROBES = ("('1997-01-01', '1997-01-01'), ('1997-01-01', '1999-01-01'), ('1999-01-01', '1997-01-01'), ('1999-01-01', '2000-01-01')")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -35,12 +38,17 @@ def build_session(app: str = "chronofact", master: str | None = None, **conf: ob
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    A cluster sets ``spark.checkpoint.dir``. Only where it is unset, as in
-    local tests, is a temporary folder created and recorded in the session.
+    A cluster sets ``spark.checkpoint.dir``; without it there is no folder that
+    all executors see, which is an error. Only a local master, as in tests,
+    gets a temporary folder, recorded in the session and removed at exit.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="chronofact-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set(CHECKPOINT_CONF, path)
     return path.rstrip("/")
 
