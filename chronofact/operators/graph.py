@@ -7,9 +7,11 @@ rational or boolean. Nodes and edges are plain DataFrames.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import identity, instants
+from .skew import fits_broadcast, lookup_join
 
 # Labels of the rendered text.
 PREDICATE_LABEL = "Quan hệ/vị từ"
@@ -47,7 +49,10 @@ def edges(records: DataFrame, entities: DataFrame) -> DataFrame:
         F.concat(F.lit("value:"), "assertion_id")))
     s = entities.select(F.col("entity_id").alias("subject_id"), F.col("entity_type").alias("_st"), F.col("name").alias("_sn"))
     o = entities.select(F.col("entity_id").alias("target_id"), F.col("entity_type").alias("_ot"), F.col("name").alias("_on"))
-    joined = rows.join(s, "subject_id", "left").join(o, "target_id", "left")
+    # Few targets may own most references, and literals have no target to look up.
+    subjects = rows.join(s, "subject_id", "left")
+    looked_up = lookup_join(subjects.where(is_ref), o, ["target_id"], "left", small_fits=fits_broadcast(o), salt=F.col("assertion_id"))
+    joined = looked_up.unionByName(subjects.where(~is_ref | F.col("object_type").isNull()), allowMissingColumns=True)
     subject = named(F.coalesce("_st", F.lit("ENTITY")), F.coalesce("_sn", "subject_id"), F.col("subject_id"))
     literal = F.concat("predicate", F.lit(" = "), value_text(F.col("object_type")), F.lit(" [id="), "target_id", F.lit("]"))
     target = F.when(is_ref, named(F.coalesce("_ot", F.lit("ENTITY")), F.coalesce("_on", "target_id"), F.col("target_id"))) \
@@ -56,7 +61,7 @@ def edges(records: DataFrame, entities: DataFrame) -> DataFrame:
         identity.stable_id("edge", F.col("assertion_id")).alias("edge_id"), "record_id", "assertion_id", "pos",
         "subject_id", "predicate", "target_id", "object_type", "known_at", "source_id", "operation",
         F.concat(subject, F.lit(" "), "predicate", F.lit(" "), target).alias("fact"),
-        *[c for c in ("valid_from", "valid_to", "event_time") if c in rows.columns])
+        *[c for c in ("valid_from", "valid_to", "event_time", "source_refs", "qualifiers") if c in rows.columns])
 
 
 def nodes(edge_rows: DataFrame) -> DataFrame:
@@ -65,33 +70,69 @@ def nodes(edge_rows: DataFrame) -> DataFrame:
     return ends.distinct()
 
 
-def episodes(edge_rows: DataFrame) -> DataFrame:
-    """Text of each asserting record: provenance, then one line per assertion.
+def _valid(edge_rows: DataFrame) -> Column:
+    def shown(name: str, missing: str) -> Column:
+        return F.coalesce(instants.utc_text(name), F.lit(missing)) if name in edge_rows.columns else F.lit(missing)
 
+    interval = F.concat(F.lit("["), shown("valid_from", UNBOUNDED_LABEL), F.lit(", "), shown("valid_to", UNBOUNDED_LABEL), F.lit(")"))
+    if "event_time" not in edge_rows.columns:
+        return interval
+    return F.when(F.col("event_time").isNotNull(), instants.utc_text("event_time")).otherwise(interval)
+
+
+def _provenance(edge_rows: DataFrame) -> Column:
+    """Qualifiers, then document revisions with their clauses, of those that the assertions carry."""
+    parts = []
+    if "qualifiers" in edge_rows.columns:
+        pairs = F.array_sort(F.map_entries("qualifiers"))
+        listed = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+        parts.append(F.when(F.size("qualifiers") > 0, F.concat(F.lit("; qualifiers: "), listed)))
+    if "source_refs" in edge_rows.columns:
+        refs = F.transform("source_refs", lambda r: F.concat(
+            r["document_revision_id"], F.lit("["), F.array_join(r["clause_ids"], ","), F.lit("]")))
+        parts.append(F.when(F.size("source_refs") > 0, F.concat(F.lit("; sources: "), F.array_join(refs, ","))))
+    return F.concat(*[F.coalesce(p, F.lit("")) for p in parts]) if parts else F.lit("")
+
+
+def episodes(records: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """Text of every record: provenance, targets, then one line per assertion with its sources.
+
+    A record without assertions, such as a retraction, has its head line only.
     The assertions of a record lay in one row before, so the group is bounded.
     """
-    interval = F.concat(
-        F.lit("["), instants.utc_text("valid_from"), F.lit(", "),
-        F.coalesce(instants.utc_text("valid_to"), F.lit(UNBOUNDED_LABEL)), F.lit(")"))
-    valid = F.when(F.col("event_time").isNotNull(), instants.utc_text("event_time")).otherwise(interval)
     line = F.concat(F.lit(f"{TRIPLE_LABEL}: "), "fact", F.lit(f"; {PREDICATE_LABEL}: "), "predicate",
-                    F.lit("; valid: "), valid)
-    lines = edge_rows.select("record_id", "source_id", "known_at", "operation", "pos", line.alias("line"))
-    grouped = lines.groupBy("record_id", "source_id", "known_at", "operation").agg(
+                    F.lit("; valid: "), _valid(edge_rows), _provenance(edge_rows))
+    grouped = edge_rows.select("record_id", "pos", line.alias("line")).groupBy("record_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
     head = F.concat(F.lit("record_id="), "record_id", F.lit(" source_id="), "source_id", F.lit(" known_at="),
                     instants.utc_text("known_at"), F.lit(" operation="), "operation")
-    return grouped.select("record_id", F.size("_l").alias("assertion_count"), F.concat_ws(
-        "\n", head, F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).alias("text"))
+    if "target_assertion_ids" in records.columns:
+        targets = F.coalesce(F.array_join("target_assertion_ids", ","), F.lit(""))
+        head = F.concat(head, F.when(targets != "", F.concat(F.lit(" targets="), targets)).otherwise(F.lit("")))
+    heads = records.select("record_id", head.alias("_head"))
+    lines = F.coalesce("_l", F.array().cast(grouped.schema["_l"].dataType))
+    return heads.join(grouped, "record_id", "left").select(
+        "record_id", F.size(lines).alias("assertion_count"),
+        F.array_join(F.concat(F.array("_head"), F.transform(lines, lambda x: x["line"])), "\n").alias("text"))
 
 
 def query_text(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """Query text followed by the public context of its entity, time and snapshot."""
-    e = entities.select(F.col("entity_id").alias("entity_ref"), "entity_type", "name")
-    return queries.join(e, "entity_ref", "left").select("query_id", F.concat_ws(
-        "\n", "query", named(F.coalesce("entity_type", F.lit("ENTITY")), F.coalesce("name", "entity_ref"), F.col("entity_ref")),
-        F.concat(F.lit("known_as_of="), instants.utc_text("known_as_of")),
-        F.concat(F.lit("snapshot="), "snapshot_ref")).alias("text"))
+    """Query text followed by the public context: its entities, time scope and snapshots, each in the given order.
+
+    ``queries``: query_id, query, entity_refs array, known_as_of, snapshot_refs
+    array and, if there is one, time_scope text. Null lists are empty.
+    """
+    e = entities.select(F.col("entity_id").alias("_ref"), "entity_type", "name")
+    asked = queries.select("query_id", F.posexplode("entity_refs").alias("_pos", "_ref"))
+    shown = named(F.coalesce("entity_type", F.lit("ENTITY")), F.coalesce("name", "_ref"), F.col("_ref"))
+    found = asked.join(e, "_ref", "left").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("_pos", shown.alias("t")))).alias("_e"))
+    scope = [F.concat(F.lit("time_scope="), "time_scope")] if "time_scope" in queries.columns else []
+    named_entities = F.array_join(F.transform("_e", lambda x: x["t"]), "\n")
+    snapshots = F.array_join(F.transform("snapshot_refs", lambda x: F.concat(F.lit("snapshot="), x)), "\n")
+    return queries.join(found, "query_id", "left").select("query_id", F.concat_ws(
+        "\n", "query", named_entities, F.concat(F.lit("known_as_of="), instants.utc_text("known_as_of")), *scope,
+        F.when(F.size("snapshot_refs") > 0, snapshots)).alias("text"))
 
 
 def lineage(edge_rows: DataFrame, episode_rows: DataFrame) -> DataFrame:
@@ -100,19 +141,55 @@ def lineage(edge_rows: DataFrame, episode_rows: DataFrame) -> DataFrame:
     return edge_rows.select("edge_id", "record_id", "assertion_id").join(known, "record_id")
 
 
+def one_copy(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key: the smallest by all other columns, which must be orderable, so repeats choose alike."""
+    others = [c for c in rows.columns if c != key]
+    if not others:
+        return rows.distinct()
+    return rows.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(
+        *[F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in rows.columns])
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Idempotent write: rows whose key is new are added, repeats change nothing."""
-    fresh = incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
-    return existing.unionByName(fresh)
+    return existing.unionByName(one_copy(incoming.join(existing.select(key), key, "left_anti").select(*incoming.columns), key))
+
+
+def append_new(path: str, incoming: DataFrame, key: str) -> DataFrame:
+    """Append to the table at ``path`` what has a new key, and return the table. Writing twice adds nothing."""
+    spark = incoming.sparkSession
+    stored = spark.read.schema(incoming.schema)
+    try:
+        known = stored.parquet(path).select(key)
+    except AnalysisException:  # the first write
+        known = incoming.select(key).limit(0)
+    one_copy(incoming.join(known, key, "left_anti").select(*incoming.columns), key).write.mode("append").parquet(path)
+    return stored.parquet(path)
 
 
 def resume_violations(done: DataFrame, expected: DataFrame) -> DataFrame:
     """Positions at which what was ingested is not an exact prefix of what is expected.
 
-    Both have position and name. No row means ingestion may resume after the
-    last ingested position.
+    Both have position and name. ``problem`` is ``repeated``, ``unexpected``,
+    ``changed``, or ``missing`` for an expected position at or before the last
+    ingested one. No row means ingestion may resume after the last position.
     """
-    d = done.select("position", F.col("name").alias("done_name"))
+    last = done.agg(F.max("position")).first()[0]
+    d = done.groupBy("position").agg(F.min("name").alias("done_name"), F.count("*").alias("_n"))
     e = expected.select("position", F.col("name").alias("expected_name"))
-    return d.join(e, "position", "left").where(
-        F.col("expected_name").isNull() | (F.col("done_name") != F.col("expected_name")))
+    prefix = e.where(F.col("position") <= F.lit(last)) if last is not None else e.limit(0)
+    problem = (F.when(F.col("_n") > 1, "repeated").when(F.col("_n").isNull(), "missing").when(F.col("expected_name").isNull(), "unexpected")
+               .when(F.col("done_name") != F.col("expected_name"), "changed"))
+    return d.join(prefix, "position", "full_outer").select(
+        "position", "done_name", "expected_name", problem.alias("problem")).where("problem is not null")
+
+
+def resume_position(done: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: the first position to ingest next, null when all is done, and the number of violations before it."""
+    bad = resume_violations(done, expected)
+    first_bad = bad.agg(F.min("position").alias("p"), F.count("*").alias("n")).first()
+    last = done.agg(F.max("position")).first()[0]
+    after = expected if last is None else expected.where(F.col("position") > F.lit(last))
+    following = after.agg(F.min("position").alias("next"))
+    return following.select(F.coalesce(F.lit(first_bad["p"]), "next").cast(expected.schema["position"].dataType).alias("position"),
+                            F.lit(first_bad["n"]).alias("violations"))

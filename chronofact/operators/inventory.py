@@ -48,13 +48,19 @@ def logical_hash(rows: DataFrame, key: str, canonical: Column, by: list[str]) ->
     return ordered_digest(lines, by, key, "_line")
 
 
+def _block(key: Column | str, fanout: int) -> Column:
+    """The block of an integer key, rounded down, in integers."""
+    k, n = (F.col(key) if isinstance(key, str) else key).cast("bigint"), F.lit(fanout).cast("bigint")
+    return F.call_function("div", k, n) - F.when(k % n < 0, 1).otherwise(0)
+
+
 def block_digests(rows: DataFrame, key: str, canonical: Column, fanout: int = DIGEST_FANOUT) -> DataFrame:
     """Digest of each block of ``fanout`` consecutive keys of a unique integer key.
 
     Rows are hashed where they lie; only key and hash are shuffled, and a block
     holds at most ``fanout`` of them.
     """
-    hashed = rows.select(F.floor(F.col(key) / F.lit(fanout)).cast("bigint").alias("block"), key,
+    hashed = rows.select(_block(key, fanout).alias("block"), key,
                          identity.content_hash(canonical).alias("_h"))
     return ordered_digest(hashed, ["block"], key, "_h")
 
@@ -62,14 +68,32 @@ def block_digests(rows: DataFrame, key: str, canonical: Column, fanout: int = DI
 def tree_digest(rows: DataFrame, key: str, canonical: Column, fanout: int = DIGEST_FANOUT, levels: int = 7) -> DataFrame:
     """One digest for a table of any size, as a tree of block digests.
 
-    Seven levels of 1024 cover every 63-bit key; each level shrinks the data
+    Seven levels of 1024 cover every 64-bit key (a negative one ends in the block -1); each level shrinks the data
     by up to the fan-out, and no task sees more than ``fanout`` hashes of a block.
     """
     level = block_digests(rows, key, canonical, fanout).withColumnRenamed("entries", "rows")
     for _ in range(levels - 1):
-        parent = level.select(F.floor(F.col("block") / F.lit(fanout)).cast("bigint").alias("parent"), "block", "digest", "rows")
+        parent = level.select(_block("block", fanout).alias("parent"), "block", "digest", "rows")
         parts = F.array_sort(F.collect_list(F.struct("block", "digest")))
         joined = F.array_join(F.transform(parts, lambda p: p["digest"]), "")
         level = parent.groupBy("parent").agg(F.sha2(joined, 256).alias("digest"), F.sum("rows").alias("rows")) \
             .withColumnRenamed("parent", "block")
     return level
+
+
+def keyed_tree_digest(rows: DataFrame, key: str, canonical: Column, digits: int = 4) -> DataFrame:
+    """One digest for a table with a unique key of any type, as a tree over the digits of the key's hash.
+
+    A leaf holds the rows whose key hash begins with the same ``digits``
+    hexadecimal digits, in the order of the hash; every level above joins at
+    most sixteen digests. Choose ``digits`` so that rows / 16^digits fit a task;
+    it is part of what the digest means.
+    """
+    hashed = rows.select(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256).alias("_k"), identity.content_hash(canonical).alias("_h"))
+    level = ordered_digest(hashed.withColumn("prefix", F.substring("_k", 1, digits)), ["prefix"], "_k", "_h").withColumnRenamed("entries", "rows")
+    for size in range(digits - 1, -1, -1):
+        parts = F.array_sort(F.collect_list(F.struct("prefix", "digest")))
+        joined = F.array_join(F.transform(parts, lambda p: p["digest"]), "")
+        level = level.groupBy(F.substring("prefix", 1, size).alias("parent")).agg(
+            F.sha2(joined, 256).alias("digest"), F.sum("rows").alias("rows")).withColumnRenamed("parent", "prefix")
+    return level.select("digest", "rows")

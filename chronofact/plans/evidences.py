@@ -9,6 +9,7 @@ from ..operators import coverage, evaluation, evidence, inventory
 from ..sources.tables import spread, table
 from .registry import query
 from .retrieval import WS
+from .values import stable_sql
 
 WORDS = rf"len(regexp_extract_all(text, '[^{WS}]+'))"
 BUDGET, CAP = 1800, 3
@@ -32,16 +33,16 @@ picked AS (SELECT query_id, evidence_id, len(kinds) AS pick, spent FROM g WHERE
 
 TURNS = f"""
 items AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, 't' || turn AS evidence_id, role AS kind, CAST(length(text) AS DOUBLE) AS score,
-   CAST(turn AS INT) AS rank, role <> 'system' AS eligible, {WORDS} AS cost FROM conversations)"""
+   CAST(turn AS BIGINT) AS rank, role <> 'system' AS eligible, {WORDS} AS cost FROM conversations)"""
 DOCS = f"""
 items AS (SELECT lang AS query_id, 'd' || doc_id AS evidence_id, source AS kind, CAST(n_chars % 997 AS DOUBLE) AS score,
-   CAST(doc_id AS INT) AS rank, coalesce(toxic, 0) = 0 AS eligible, {WORDS} AS cost FROM documents LEFT JOIN labels USING (doc_id))"""
+   CAST(doc_id AS BIGINT) AS rank, coalesce(toxic, 0) = 0 AS eligible, {WORDS} AS cost FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
 def turn_items(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "conversations")).select(
         F.col("conv_id").cast("string").alias("query_id"), F.concat(F.lit("t"), "turn").alias("evidence_id"),
-        F.col("role").alias("source_kind"), F.length("text").cast("double").alias("score"), F.col("turn").cast("int").alias("rank"),
+        F.col("role").alias("source_kind"), F.length("text").cast("double").alias("score"), F.col("turn").cast("bigint").alias("rank"),
         F.when(F.col("role") == "system", "ineligible").otherwise("eligible").alias("eligibility"),
         tx.word_count("text").alias("token_cost"))
 
@@ -51,7 +52,7 @@ def document_items(spark: SparkSession, sf: str, query_id: str = "lang", kind: s
     labels = table(spark, sf, "labels").select("doc_id", "toxic")
     return docs.join(labels, "doc_id", "left").select(
         F.col(query_id).alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("evidence_id"), F.col(kind).alias("source_kind"),
-        (F.col("n_chars") % 997).cast("double").alias("score"), F.col("doc_id").cast("int").alias("rank"),
+        (F.col("n_chars") % 997).cast("double").alias("score"), F.col("doc_id").cast("bigint").alias("rank"),
         F.when(F.coalesce("toxic", F.lit(0)) == 0, "eligible").otherwise("ineligible").alias("eligibility"),
         tx.word_count("text").alias("token_cost"))
 
@@ -70,7 +71,7 @@ def select_evidence_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 PUBLIC = f"""
 c AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, 't' || turn AS evidence_id, role AS kind, CAST(length(text) AS DOUBLE) AS score,
-   CAST(turn AS INT) AS rank, {WORDS} AS cost, turn = 1 AS pinned FROM conversations),
+   CAST(turn AS BIGINT) AS rank, {WORDS} AS cost, turn = 1 AS pinned FROM conversations),
 g AS (SELECT query_id, 0 AS n, 0::BIGINT AS spent, []::VARCHAR[] AS ids, []::VARCHAR[] AS kinds FROM (SELECT DISTINCT query_id FROM c)
   UNION ALL
   SELECT query_id, n + 1, spent + cost, list_append(ids, evidence_id), list_append(kinds, kind) FROM (
@@ -170,17 +171,36 @@ def coverage_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("coverage_digests", f"""WITH {RECIPES},
-s AS (SELECT recipe_key, any_value(subject_id) AS subject_id, any_value(window_start) AS a, any_value(window_end) AS b, count(member_id) AS members,
-  coalesce(sum(CAST(CAST('0x' || substr(sha256(CAST(member_id AS VARCHAR)), 1, 15) AS BIGINT) AS HUGEINT)) FILTER (member_id IS NOT NULL), 0) AS total
-  FROM recipes LEFT JOIN members USING (recipe_key) GROUP BY recipe_key),
-m AS (SELECT *, sha256('{{"count":' || members || ',"sum":"' || total || '"}}' || chr(10)) AS members_digest FROM s)
-SELECT recipe_key, members, members_digest, sha256('{{"members_digest":"' || members_digest || '","source_set":"error,purchase,signup","subject_id":"'
-  || subject_id || '","window_end":"' || strftime(b, '%Y-%m-%d %H:%M:%S') || '","window_start":"' || strftime(a, '%Y-%m-%d %H:%M:%S') || '"}}' || chr(10)) AS content_digest FROM m""")
+h AS (SELECT recipe_key, sha256(CAST(member_id AS VARCHAR)) AS h FROM members),
+p AS (SELECT recipe_key, substr(h, 1, 3) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY ALL),
+w AS (SELECT recipe_key, sum(n)::BIGINT AS n, sha256(string_agg(d, '' ORDER BY b)) AS d FROM p GROUP BY recipe_key),
+m AS (SELECT r.*, coalesce(n, 0) AS members, coalesce(d, '{coverage.EMPTY_DIGEST}') AS members_digest FROM recipes r LEFT JOIN w USING (recipe_key)),
+c AS (SELECT recipe_key, members, members_digest, sha256('{{"members_digest":"' || members_digest || '","source_set":"error,purchase,signup","subject_id":"'
+  || subject_id || '","window_end":"' || strftime(window_end, '%Y-%m-%d %H:%M:%S') || '","window_start":"' || strftime(window_start, '%Y-%m-%d %H:%M:%S') || '"}}' || chr(10)) AS content_digest
+  FROM m)
+SELECT *, {stable_sql('coverage_artifact', 'content_digest')} AS artifact_id FROM c""")
 def coverage_digests(spark: SparkSession, sf: str) -> DataFrame:
     scope = recipes(spark, sf)
     return coverage.digests(scope, coverage.members(scope, coverage_events(spark, sf)))
 
 
+@query("coverage_violations", f"""WITH {RECIPES},
+g AS (SELECT recipe_key, right(recipe_key, 1) AS w FROM recipes),
+f AS (SELECT *, CASE w WHEN '0' THEN [] WHEN '1' THEN ['window starts late'] WHEN '2' THEN ['subject differs'] WHEN '3' THEN ['sources differ', 'source delivered nothing']
+  ELSE ['window is not declared half-open', 'recipe is not registered'] END AS v FROM g)
+SELECT recipe_key, violation, CASE WHEN violation = 'source delivered nothing' THEN 'mystery' END AS source_id FROM (SELECT recipe_key, unnest(v) AS violation FROM f)""")
+def coverage_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Recipes narrowed, turned to another subject, given a silent source or not registered, by week."""
+    registered = recipes(spark, sf)
+    week = F.right("recipe_key", F.lit(1))
+    asked = registered.withColumns({
+        "window_start": F.when(week == "1", F.col("window_start") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("window_start")),
+        "subject_id": F.when(week == "2", F.col("subject_id") + 1).otherwise(F.col("subject_id")),
+        "source_set": F.when(week == "3", F.array_append("source_set", F.lit("mystery"))).otherwise(F.col("source_set")),
+        "bounds": F.when(week == "4", "observed").otherwise("half-open")})
+    return coverage.recipe_violations(asked, coverage_events(spark, sf), registered.where(week != "4"))
+
+
 @query("coverage_rates", f"""WITH {RECIPES},
 req AS (SELECT DISTINCT user_id || ':w' || w AS recipe_key FROM events, (VALUES (0), (1), (2), (3), (4), (9)) t(w)),
 s AS (SELECT recipe_key, count(member_id) AS n, count(*) FILTER (outcome = 'cancelled') AS c, count(*) FILTER (outcome = 'completed') AS k
@@ -199,7 +219,7 @@ def coverage_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SUPPORT = f"""
-items AS (SELECT source AS query_id, 'd' || doc_id AS evidence_id, lang AS kind, CAST(n_chars % 997 AS DOUBLE) AS score, CAST(doc_id AS INT) AS rank,
+items AS (SELECT source AS query_id, 'd' || doc_id AS evidence_id, lang AS kind, CAST(n_chars % 997 AS DOUBLE) AS score, CAST(doc_id AS BIGINT) AS rank,
    coalesce(toxic, 0) = 0 AS eligible, {WORDS} AS cost FROM documents LEFT JOIN labels USING (doc_id)),
 {greedy_sql('items', BUDGET, CAP)},
 cand AS (SELECT query_id, evidence_id FROM items WHERE eligible AND cost <= 300),

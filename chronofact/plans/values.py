@@ -126,6 +126,18 @@ BLOCKS = f"""b1 AS (SELECT block, sha256(string_agg(h, '' ORDER BY o_orderkey))
   SELECT o_orderkey // 1024 AS block, o_orderkey, sha256({ORDER_JSON} || chr(10)) AS h FROM orders) GROUP BY block)"""
 
 
+@query("keyed_digest", """WITH l4 AS (SELECT sha256(c_name) AS k, sha256('{"id":' || c_custkey || ',"name":"' || c_name || '"}' || chr(10)) AS h FROM customer),
+d4 AS (SELECT substr(k, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY k)) AS d, count(*) AS n FROM l4 GROUP BY 1),
+d3 AS (SELECT substr(p, 1, 3) AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM d4 GROUP BY substr(p, 1, 3)),
+d2 AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM d3 GROUP BY substr(p, 1, 2)),
+d1 AS (SELECT substr(p, 1, 1) AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(n) AS n FROM d2 GROUP BY substr(p, 1, 1))
+SELECT sha256(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM d1""")
+def keyed_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of a table whose key is text."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return inventory.keyed_tree_digest(customers, "c_name", identity.canonical_row({"id": F.col("c_custkey"), "name": F.col("c_name")}))
+
+
 @query("block_digests", f"WITH {BLOCKS} SELECT block, digest, entries FROM b1")
 def block_digests(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.block_digests(table(spark, sf, "orders"), "o_orderkey", order_json())

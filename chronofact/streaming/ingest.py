@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.graph import one_copy
+
 
 def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append everything available to a table of files, exactly once, then stop."""
@@ -21,5 +23,5 @@ def append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def stored_once(records: DataFrame, key: str) -> DataFrame:
-    """One copy of each record, for senders that repeat themselves."""
-    return records.dropDuplicates([key])
+    """One copy of each record, the same in every run, for senders that repeat themselves."""
+    return one_copy(records, key)

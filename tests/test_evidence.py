@@ -107,7 +107,8 @@ def test_coverage_members_outcomes_digests_and_rates(spark, broadcast_rows):
     assert counts == {("trips_b", "completed"): 8, ("trips_b", "cancelled"): 2, ("trips_h", None): 0, ("incidents_b", None): 0}
     digests = {r["recipe_key"]: r for r in coverage.digests(recipes, found).collect()}
     assert digests["trips_h"]["members_digest"] == digests["incidents_b"]["members_digest"] != digests["trips_b"]["members_digest"]
-    assert len({r["content_digest"] for r in digests.values()}) == 3
+    assert digests["trips_h"]["members_digest"].startswith("37517e5f3dc66819") and digests["trips_h"]["members"] == 0
+    assert len({r["content_digest"] for r in digests.values()}) == 3 == len({r["artifact_id"] for r in digests.values()})
     asked = spark.createDataFrame([("trips_b",), ("trips_h",), ("unknown",)], "recipe_key string")
     rates = {r["recipe_key"]: tuple(r)[1:] for r in coverage.cancel_rates(asked, recipes, found).collect()}
     assert rates == {"trips_b": ("complete", 10, 1, 5), "trips_h": ("complete", 0, None, None), "unknown": ("missing_coverage", 0, None, None)}
@@ -160,3 +161,40 @@ def test_logical_hash_and_tree_digest(spark):
     again = inventory.tree_digest(big.repartition(7, "v"), "k", F.col("v"), fanout=16, levels=5).collect()
     other = inventory.tree_digest(big.where("k <> 77"), "k", F.col("v"), fanout=16, levels=5).collect()
     assert len(first) == 1 and first == again and first[0]["rows"] == 5000 and other[0]["digest"] != first[0]["digest"]
+
+
+def test_recipes_that_break_their_contract(spark):
+    from datetime import datetime, timedelta
+    day = lambda n: datetime(2026, 8, 1) + timedelta(days=n)
+    registered = spark.createDataFrame([("r", "B", day(0), day(30), ["t", "i"])], RECIPE)
+    events = spark.createDataFrame([("m", "B", "t", day(1), "completed"), ("n", "B", "i", day(2), "open")], EVENT)
+
+    def broken(*recipe, bounds="half-open", seen=events):
+        asked = spark.createDataFrame([recipe], RECIPE).withColumn("bounds", F.lit(bounds))
+        return sorted(r["violation"] for r in coverage.recipe_violations(asked, seen, registered).collect())
+
+    good = ("r", "B", day(0), day(30), ["i", "t", "t"])
+    assert broken(*good) == []
+    assert broken("r", "H", *good[2:]) == ["subject differs"]
+    assert broken("r", "B", day(1), day(30), ["t", "i"]) == ["window starts late"]
+    assert broken("r", "B", day(0), day(29), ["t", "i"]) == ["window ends early"]
+    assert broken("r", "B", day(-1), day(30), ["t", "i"]) == ["window is wider"]
+    assert broken("r", "B", None, day(30), ["t", "i"]) == ["window is empty", "window starts late"]
+    assert broken("r", "B", day(0), day(30), None) == ["no source is named", "sources differ"]
+    assert broken(*good, bounds="observed-member-min-max") == ["window is not declared half-open"]
+    assert broken(*good, seen=events.where("source_id = 't'")) == ["source delivered nothing"]
+    assert broken("x", *good[1:]) == ["recipe is not registered"]
+
+
+def test_digests_of_any_key(spark):
+    keys = [0, 1, 1023, 1024, 2**53 + 1, 2**62 + 1023, 2**62 + 1024, -1, -1024, -1025, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    blocks = {r["block"]: r["entries"] for r in inventory.block_digests(rows, "k", F.col("k").cast("string")).collect()}
+    want = {}
+    for k in keys:
+        want[k // 1024] = want.get(k // 1024, 0) + 1
+    assert blocks == want
+    named = rows.select(F.col("k").cast("string").alias("k"))
+    digest = lambda df: tuple(inventory.keyed_tree_digest(df, "k", F.col("k")).first())
+    assert digest(named) == digest(named.repartition(7)) and digest(named)[1] == len(keys)
+    assert digest(named.where("k <> '0'"))[0] != digest(named)[0]

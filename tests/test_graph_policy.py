@@ -21,12 +21,13 @@ def entities(spark):
 
 
 def test_episode_names_entities_and_keeps_provenance(spark):
-    edges = graph.edges(records(spark, "MEMBER_OF", '{"type":"entity_ref","value":"fleet-1"}'), entities(spark))
-    text = graph.episodes(edges).first()["text"]
+    rows = records(spark, "MEMBER_OF", '{"type":"entity_ref","value":"fleet-1"}')
+    edges = graph.edges(rows, entities(spark))
+    text = graph.episodes(rows, edges).first()["text"]
     for part in ('DRIVER "An" [id=driver-1]', "Quan hệ/vị từ: MEMBER_OF", 'FLEET "Depot 1" [id=fleet-1]', "2026-09-01T00:00:00.000000Z",
                  "[2026-08-01T00:00:00.000000Z, không giới hạn)", "source_id=source-1"):
         assert part in text
-    line = graph.lineage(edges, graph.episodes(edges)).first()
+    line = graph.lineage(edges, graph.episodes(rows, edges)).first()
     assert (line["record_id"], line["assertion_id"]) == ("record-1", "assertion-1")
 
 
@@ -37,24 +38,60 @@ def test_episode_names_entities_and_keeps_provenance(spark):
     ("REPORTED_MEASURE", '{"type":"rational","value":{"n":97,"d":20}}', "REPORTED_MEASURE = 97/20"),
     ("REPORTED_MEASURE", '{"type":"boolean","value":true}', "REPORTED_MEASURE = true")])
 def test_literals_become_target_nodes(spark, predicate, obj, expected):
-    edges = graph.edges(records(spark, predicate, obj), entities(spark))
-    text = graph.episodes(edges).first()["text"]
+    rows = records(spark, predicate, obj)
+    edges = graph.edges(rows, entities(spark))
+    text = graph.episodes(rows, edges).first()["text"]
     assert "Bộ ba bắt buộc:" in text and expected in text and "[id=value:assertion-1" in text
     assert {r[0] for r in graph.nodes(edges).collect()} == {"driver-1", "value:assertion-1"}
     once = graph.upsert(edges.limit(0), edges, "edge_id")
     assert graph.upsert(once, edges, "edge_id").count() == 1
 
 
-def test_query_text_and_resume(spark):
-    queries = spark.createDataFrame([("q", "Tài xế thuộc depot nào?", "driver-1", datetime(2026, 9, 1), "snap-154")],
-                                    "query_id string, query string, entity_ref string, known_as_of timestamp_ntz, snapshot_ref string")
-    text = graph.query_text(queries, entities(spark)).first()["text"]
-    assert text.startswith("Tài xế thuộc depot nào?")
-    assert all(p in text for p in ('DRIVER "An" [id=driver-1]', "2026-09-01T00:00:00.000000Z", "snap-154"))
-    rows = lambda *names: spark.createDataFrame(list(enumerate(names)), "position int, name string")
-    assert graph.resume_violations(rows("r1", "r2"), rows("r1", "r2", "r3")).count() == 0
-    assert graph.resume_violations(rows("r2"), rows("r1", "r2", "r3")).count() == 1
-    assert graph.resume_violations(rows("r1", "r2"), rows("r1")).count() == 1
+def test_every_record_has_an_episode_with_targets_and_sources(spark):
+    kind = ("assertions array<struct<assertion_id:string,subject_id:string,predicate:string,object:string,qualifiers:map<string,string>,"
+            "source_refs:array<struct<document_revision_id:string,clause_ids:array<string>>>>>")
+    claim = ("a1", "driver-1", "STATUS", '{"type":"enum","value":"active"}', {"unit": "day", "by": "x"}, [("rev-1", ["c1", "c2"]), ("rev-2", [])])
+    rows = spark.createDataFrame(
+        [("r1", "s", datetime(2026, 9, 1), 1, "assert", None, [claim]), ("r2", "s", datetime(2026, 9, 2), 2, "retract", ["a1"], []),
+         ("r3", "s", datetime(2026, 9, 3), 3, "retract", ["a1", "a2"], None)],
+        "record_id string, source_id string, known_at timestamp_ntz, commit_seq long, operation string, target_assertion_ids array<string>, " + kind)
+    got = {r["record_id"]: r for r in graph.episodes(rows, graph.edges(rows, entities(spark))).collect()}
+    assert set(got) == {"r1", "r2", "r3"} and [got[r]["assertion_count"] for r in ("r1", "r2", "r3")] == [1, 0, 0]
+    assert "qualifiers: by=x,unit=day; sources: rev-1[c1,c2],rev-2[]" in got["r1"]["text"]
+    assert got["r3"]["text"].endswith("operation=retract targets=a1,a2")
+
+
+def test_query_text_with_lists(spark):
+    queries = spark.createDataFrame(
+        [("q", "Tài xế thuộc depot nào?", ["fleet-1", "driver-1", "gone"], datetime(2026, 9, 1), ["snap-154", "snap-2"]), ("n", "?", None, None, None)],
+        "query_id string, query string, entity_refs array<string>, known_as_of timestamp_ntz, snapshot_refs array<string>")
+    got = {r["query_id"]: r["text"] for r in graph.query_text(queries, entities(spark)).collect()}
+    assert got["q"].split("\n") == ["Tài xế thuộc depot nào?", 'FLEET "Depot 1" [id=fleet-1]', 'DRIVER "An" [id=driver-1]', 'ENTITY "gone" [id=gone]',
+                                    "known_as_of=2026-09-01T00:00:00.000000Z", "snapshot=snap-154", "snapshot=snap-2"]
+    assert got["n"] == "?"
+
+
+def test_resume_needs_an_exact_prefix(spark):
+    def rows(*pairs):
+        return spark.createDataFrame(list(pairs), "position int, name string")
+
+    expected = rows((1, "a"), (2, "b"), (3, "c"))
+    problems = lambda done: sorted((r["position"], r["problem"]) for r in graph.resume_violations(done, expected).collect())
+    assert problems(rows((1, "a"), (2, "b"))) == [] == problems(expected)
+    assert problems(rows((1, "a"), (3, "c"))) == [(2, "missing")]
+    assert problems(rows((1, "x"), (2, "b"), (2, "b"), (9, "z"))) == [(1, "changed"), (2, "repeated"), (3, "missing"), (9, "unexpected")]
+    assert problems(expected.limit(0)) == []
+    assert tuple(graph.resume_position(rows((1, "a"), (2, "b")), expected).first()) == (3, 0)
+    assert tuple(graph.resume_position(expected, expected).first()) == (None, 0)
+    assert tuple(graph.resume_position(rows((1, "a"), (3, "c")), expected).first()) == (2, 1)
+
+
+def test_repeated_writes_store_each_key_once(spark, tmp_path):
+    path = str(tmp_path / "edges")
+    first = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "k int, v string")
+    assert sorted(map(tuple, graph.append_new(path, first, "k").collect())) == [(1, "a"), (2, "c")]
+    again = graph.append_new(path, spark.createDataFrame([(1, "z"), (3, "d")], "k int, v string"), "k")
+    assert sorted(map(tuple, again.collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
 def test_policies_render_exact_spans_and_tampering_is_found(spark):
