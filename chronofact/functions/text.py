@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -72,9 +72,7 @@ def word_count(text: Column | str) -> Column:
 
 def raw_offset(text: Column | str, offset: Column, crlf: Column) -> Column:
     """Offset in the raw text whose line ends were CRLF before normalisation."""
-    head = F.substring(col(text), F.lit(1), offset)
-    newlines = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
-    return F.when(crlf, offset + newlines).otherwise(offset)
+    return F.when(crlf, offset + line_feeds(F.substring(col(text), F.lit(1), offset))).otherwise(offset)
 
 
 def span(text: Column | str, start: Column, end: Column) -> Column:
@@ -89,33 +87,51 @@ def first_label(text: Column | str, labels: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(F.contains(col(text), F.lit(label)), F.lit(label)) for label in labels])
 
 
-def running_starts(pieces: Column, gap: int = 0, block: int = 128) -> Column:
-    """Start offset of every array element when elements are joined with ``gap`` characters.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` evaluated once, also where ``body`` has lambdas of its own."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_totals(numbers: Column, block: int = 128) -> Column:
+    """For every element of an integer array the sum of those before it.
 
     Two levels of partial sums: each element adds the blocks before its own
     and the elements before it in its block, so long arrays do not cost a
     quadratic number of additions.
     """
-    n = F.size(pieces)
-    lengths = F.transform(pieces, lambda p: F.length(p) + F.lit(gap))
     add = lambda a, b: a + b
+    zero = F.lit(0)
+
+    def totals(sizes: Column) -> Column:
+        last = F.floor((F.size(sizes) - 1) / F.lit(block)).cast("int")
+        sums = F.transform(F.sequence(zero, last), lambda j: F.aggregate(F.slice(sizes, j * block + 1, F.lit(block)), zero, add))
 
-    def starts(sizes: Column, blocks: Column) -> Column:
-        def start(i: Column) -> Column:
+        def total(blocks: Column, i: Column) -> Column:
             own = F.floor(i / F.lit(block)).cast("int")
-            before = F.aggregate(F.slice(blocks, F.lit(1), own), F.lit(0), add)
-            inside = F.slice(sizes, own * block + 1, i - own * block)
-            return before + F.aggregate(inside, F.lit(0), add)
+            return (F.aggregate(F.slice(blocks, F.lit(1), own), zero, add)
+                    + F.aggregate(F.slice(sizes, own * block + 1, i - own * block), zero, add))
 
-        return F.transform(F.sequence(F.lit(0), n - 1), start)
+        return let(sums, lambda blocks: F.transform(F.sequence(zero, F.size(sizes) - 1), lambda i: total(blocks, i)))
 
-    # Singleton arrays bind the intermediate arrays once inside one expression.
-    block_sums = lambda sizes: F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / F.lit(block)).cast("int")),
-        lambda j: F.aggregate(F.slice(sizes, j * block + 1, F.lit(block)), F.lit(0), add),
-    )
-    bound = F.transform(
-        F.array(lengths),
-        lambda sizes: F.transform(F.array(block_sums(sizes)), lambda blocks: starts(sizes, blocks))[0],
-    )[0]
-    return F.when(n > 0, bound).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(numbers) > 0, let(numbers, totals)).otherwise(F.array().cast("array<int>"))
+
+
+def running_starts(pieces: Column, gap: int = 0, block: int = 128) -> Column:
+    """Start offset of every array element when elements are joined with ``gap`` characters."""
+    return running_totals(F.transform(pieces, lambda p: F.length(p) + F.lit(gap)), block)
+
+
+def line_feeds(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def term_counts(terms: Column) -> Column:
+    """``array<struct<term, tf>>`` of an array of terms: each different term once, in order."""
+    def counted(ordered: Column) -> Column:
+        n = F.size(ordered)
+        first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+        return let(first, lambda starts: F.transform(starts, lambda p, j: F.struct(
+            F.get(ordered, p - 1).alias("term"), (F.coalesce(F.get(starts, j + 1), n + 1) - p).cast("bigint").alias("tf"))))
+
+    return F.when(F.size(terms) > 0, let(F.array_sort(terms), counted)).when(
+        terms.isNotNull(), F.array().cast("array<struct<term:string,tf:bigint>>"))

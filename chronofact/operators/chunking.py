@@ -49,45 +49,58 @@ def chunk_id(revision: Column, start: Column, end: Column, config: ChunkConfig)
     }))
 
 
-def chunk_spans(docs: DataFrame, *, text: str = "text", config: ChunkConfig = ChunkConfig()) -> DataFrame:
+def chunk_spans(docs: DataFrame, *, text: str = "text", config: ChunkConfig = ChunkConfig(), crlf: Column | None = None,
+                clauses: str | None = None) -> DataFrame:
     """One row per chunk: ``docs`` plus chunk_no, span_start, span_end, token_count, chunk_text.
 
-    A text without words yields no row.
+    ``crlf`` adds raw_start and raw_end, the offsets in a raw text whose line
+    ends were CRLF where it is true; ``clauses`` names an array of clauses and
+    adds clause_ids. Both are worked out from parts of the text before the
+    chunks leave the row, so a chunk carries no more than its own. A text
+    without words yields no row.
     """
+    made = ["chunk_no", "span_start", "span_end", "token_count", "chunk_text", *(["raw_start", "raw_end"] if crlf is not None else []),
+            *(["clause_ids"] if clauses else [])]
     m, s = config.max_tokens, config.stride
     words = docs.withColumn("_pieces", tx.word_pieces(text)).withColumn("_n", F.size("_pieces"))
     if s <= 0:
         guard = F.when(F.col("_n") > 0, F.raise_error(F.lit("overlap must be smaller than max_tokens")).cast("int"))
         return words.select(*docs.columns, *[
-            guard.alias(c) for c in ("chunk_no", "span_start", "span_end", "token_count")
-        ], guard.cast("string").alias("chunk_text")).where("chunk_no is not null")
+            guard.cast("string" if c == "chunk_text" else "array<string>" if c == "clause_ids" else "int").alias(c) for c in made
+        ]).where("chunk_no is not null")
     join = lambda start, size: F.array_join(F.slice("_pieces", start, size), "")
     last = F.when(F.col("_n") <= m, 0).otherwise(F.ceil((F.col("_n") - m) / F.lit(s)).cast("int"))
     words = words.withColumn("_last", last)
     # Characters in each stride-sized block; a chunk starts after the blocks before it.
     blocks = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda j: F.length(join(j * s + 1, F.lit(s))))
-    words = words.withColumn("_blocks", F.when(F.col("_n") > 0, blocks))
-    lead = F.length(F.regexp_extract(text, f"^[{tx.SPACE}]*", 0))
-    words = words.withColumn("_lead", lead)
+    words = words.withColumn("_before", F.when(F.col("_n") > 0, tx.running_totals(blocks)))
+    head = F.regexp_extract(text, f"^[{tx.SPACE}]*", 0)
+    words = words.withColumns({"_lead": F.length(head), "_lead_breaks": tx.line_feeds(head)})
+    if crlf is not None:
+        breaks = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda j: tx.line_feeds(join(j * s + 1, F.lit(s))))
+        words = words.withColumns({"_breaks": F.when(F.col("_n") > 0, tx.running_totals(breaks)), "_crlf": F.coalesce(crlf, F.lit(False))})
 
     def chunk(c: Column) -> Column:
         raw = join(c * s + 1, F.lit(m))
         tail = F.element_at("_pieces", F.least(c * s + m, F.col("_n")))
         kept = F.length(raw) - F.length(tail) + F.length(F.regexp_extract(tail, tx.WORD, 0))
-        start = F.col("_lead") + F.aggregate(F.slice("_blocks", F.lit(1), c), F.lit(0), lambda a, b: a + b)
-        return F.struct(
-            c.alias("chunk_no"), start.alias("span_start"), kept.alias("_chars"),
+        start = F.col("_lead") + F.get("_before", c)
+        fields = [
+            c.alias("chunk_no"), start.alias("span_start"), (start + kept).alias("span_end"),
             F.least(F.lit(m), F.col("_n") - c * s).alias("token_count"),
             F.left(raw, kept).alias("chunk_text"),
-        )
+        ]
+        if crlf is not None:
+            shift = F.when(F.col("_crlf"), F.col("_lead_breaks") + F.get("_breaks", c)).otherwise(0)
+            inside = F.when(F.col("_crlf"), tx.line_feeds(F.left(raw, kept))).otherwise(0)
+            fields += [(start + shift).alias("raw_start"), (start + kept + shift + inside).alias("raw_end")]
+        if clauses:
+            fields.append(overlapping(F.col(clauses), start, start + kept).alias("clause_ids"))
+        return F.struct(*fields)
 
     chunks = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.col("_last")), chunk))
     rows = words.select(*docs.columns, F.explode(chunks).alias("_c"))
-    return rows.select(
-        *docs.columns, "_c.chunk_no", "_c.span_start",
-        (F.col("_c.span_start") + F.col("_c._chars")).alias("span_end"),
-        "_c.token_count", "_c.chunk_text",
-    )
+    return rows.select(*docs.columns, *[f"_c.{c}" for c in made])
 
 
 def overlapping(clauses: Column, start: Column, end: Column) -> Column:
@@ -114,16 +127,14 @@ def construct_chunks(docs: DataFrame, *, profile_id: str, config: ChunkConfig =
     checked = docs.withColumn("normalized_sha256", F.when(
         F.col("normalized_sha256").isNull() | (F.col("normalized_sha256") == actual), actual
     ).otherwise(F.raise_error(F.concat(F.lit("normalized hash mismatch: "), "document_revision_id"))))
-    spans = chunk_spans(checked, config=config)
     crlf = (F.col("kind") == "document") & F.coalesce("crlf", F.lit(False))
+    spans = chunk_spans(checked, config=config, crlf=crlf, clauses="clauses")
     return spans.select(
         chunk_id(F.col("document_revision_id"), F.col("span_start"), F.col("span_end"), config).alias("chunk_id"),
         "kind", "source_id", "document_revision_id", F.lit(profile_id).alias("profile_id"),
         F.col("span_start").alias("normalized_start"), F.col("span_end").alias("normalized_end"),
-        tx.raw_offset("text", F.col("span_start"), crlf).alias("raw_start"),
-        tx.raw_offset("text", F.col("span_end"), crlf).alias("raw_end"),
-        "token_count", F.col("chunk_text").alias("text"), "normalized_sha256", "raw_sha256",
-        overlapping(F.col("clauses"), F.col("span_start"), F.col("span_end")).alias("clause_ids"),
+        "raw_start", "raw_end", "token_count", F.col("chunk_text").alias("text"), "normalized_sha256", "raw_sha256",
+        "clause_ids",
     )
 
 

@@ -90,10 +90,8 @@ def chunk_clause_overlap(spark: SparkSession, sf: str) -> DataFrame:
     clauses = F.transform("_lines", lambda line, i: F.struct(
         F.concat(F.col("doc_id"), F.lit(":"), i).alias("clause_id"), F.get("_starts", i).alias("span_start"),
         (F.get("_starts", i) + F.length(line)).alias("span_end")))
-    chunks = chunking.chunk_spans(docs.select("doc_id", "text", clauses.alias("clauses")))
-    ids = chunking.overlapping(F.col("clauses"), F.col("span_start"), F.col("span_end"))
-    return chunks.select("doc_id", "chunk_no", ids.alias("_ids")).select(
-        "doc_id", "chunk_no", F.size("_ids").alias("clauses"), F.array_join("_ids", ",").alias("clause_ids"))
+    chunks = chunking.chunk_spans(docs.select("doc_id", "text", clauses.alias("_clauses")), clauses="_clauses")
+    return chunks.select("doc_id", "chunk_no", F.size("clause_ids").alias("clauses"), F.array_join("clause_ids", ",").alias("clause_ids"))
 
 
 def _off(at: str) -> str:
@@ -106,10 +104,8 @@ SELECT doc_id, chunk_no, lang, span_start, span_end, {_off('span_start')} AS raw
 def raw_offset_map(spark: SparkSession, sf: str) -> DataFrame:
     """Offsets in raw texts whose line ends were CRLF, here those in German and French."""
     crlf = F.col("lang").isin("de", "fr")
-    return chunk_texts(spark, sf, "lang").select(
-        "doc_id", "chunk_no", "lang", "span_start", "span_end",
-        tx.raw_offset("text", F.col("span_start"), crlf).alias("raw_start"),
-        tx.raw_offset("text", F.col("span_end"), crlf).alias("raw_end"))
+    return chunking.chunk_spans(documents(spark, sf, "doc_id", "text", "lang"), crlf=crlf).select(
+        "doc_id", "chunk_no", "lang", "span_start", "span_end", "raw_start", "raw_end")
 
 
 @query("construct_chunks", f"""WITH {CHUNKS}

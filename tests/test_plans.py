@@ -4,10 +4,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from chronofact.plans import load
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = load().QUERIES
 
 
 def plan_of(spark, name):
@@ -23,7 +23,7 @@ def test_no_cross_join_and_no_window_without_key(spark, name):
 
 
 @pytest.mark.parametrize("name", ["bm25_topk", "bm25_chunk_topk", "select_evidence", "select_evidence_documents", "select_public",
-                                  "hybrid_union", "validate_ledger"])
+                                  "hybrid_union"])
 def test_ranks_are_limited_before_the_shuffle(spark, name):
     assert "Partial" in "".join(re.findall(r"WindowGroupLimit.*", plan_of(spark, name)))
 
@@ -49,3 +49,16 @@ def test_scans_read_only_what_is_used(spark, name, columns):
     ("hybrid_union", "IsNotNull(doc_id)")])
 def test_filters_reach_the_scan(spark, name, predicate):
     assert predicate in " ".join(re.findall(r"PushedFilters: \[([^\]]*)\]", plan_of(spark, name)))
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "bm25_chunk_topk", "bm25_allowed_sources"])
+def test_terms_are_counted_before_they_travel(spark, name):
+    plan = plan_of(spark, name)
+    assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
+
+
+@pytest.mark.parametrize("name", ["validate_ledger", "ledger_violations"])
+def test_validation_looks_back_once(spark, name):
+    plan = plan_of(spark, name)
+    # one window makes the seeded records, one looks back over closings, openings and records
+    assert len(re.findall(r"Window \[", plan)) <= 2 and plan.count("Scan parquet") <= 1

@@ -1,11 +1,13 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from chronofact.functions import text as tx
 from chronofact.operators import catalog, chunking, lexical
 from test_text import python_terms
 
@@ -92,9 +94,39 @@ def test_bm25_equals_brute_force_with_either_join(spark, broadcast_rows):
     assert got == {(a, b, round(s, 8), r) for a, b, s, r in brute_bm25(docs, queries, 7)}
 
 
-@pytest.mark.parametrize("pushed,broadcast_rows", [(2000, lexical.BROADCAST_ROWS), (0, 0)])
-def test_stored_index_serves_many_searches(spark, tmp_path, monkeypatch, pushed, broadcast_rows):
-    monkeypatch.setattr(lexical, "PUSHED_TERMS", pushed)
+def test_a_search_reads_the_partitions_of_its_terms_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = spark.range(400).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.concat(
+        F.lit("t"), (F.col("id") * 50 + i).cast("string"))), " ").alias("text"))
+    lexical.write_index(docs, path, key=["id"])
+    asked = spark.createDataFrame([(1, " ".join(f"t{i * 500}" for i in range(40)))], "qid int, text string")
+    found = lexical.search_index(spark, path, asked, key=["id"], query_key="qid", top_k=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pruned = re.findall(r"PartitionFilters: \[[^\]]*_bucket#\d+ (?:IN|INSET) \(?([^)\]]*)", plan)
+    assert pruned
+    read = spark.read.parquet(f"{path}/postings").where(F.col("_bucket").isin([int(b) for b in pruned[0].split(",")])).count()
+    assert read < 0.25 * 20_400 and found.count() == 40
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "a", "b"]), (2, []), (3, None), (4, ["x"])], "i int, t array<string>")
+    got = {r["i"]: None if r["c"] is None else [tuple(c) for c in r["c"]] for r in rows.select("i", tx.term_counts(F.col("t")).alias("c")).collect()}
+    assert got == {1: [("a", 2), ("b", 3)], 2: [], 3: None, 4: [("x", 1)]}
+
+
+def test_one_very_long_text_is_chunked_in_linear_time(spark):
+    words = " ".join(f"w{i}" + ("\n" if i % 7 == 0 else "") for i in range(1_000_000))
+    df = spark.createDataFrame([("document", "s", "r", words, None, None, True, [])],
+                               "kind string, source_id string, document_revision_id string, text string, normalized_sha256 string, raw_sha256 string, "
+                               "crlf boolean, clauses array<struct<clause_id:string,span_start:int,span_end:int>>")
+    start = time.time()
+    last = chunking.construct_chunks(df, profile_id="p").agg(F.max("normalized_end"), F.max("raw_end"), F.count("*")).first()
+    assert tuple(last) == (len(words.rstrip()), len(words.rstrip()) + words.rstrip().count("\n"), 6_667)
+    assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("broadcast_rows", [lexical.BROADCAST_ROWS, 0])
+def test_stored_index_serves_many_searches(spark, tmp_path, broadcast_rows):
     docs = list(enumerate(random_texts(7, 60, 30, "abcdeß")))
     path = str(tmp_path / "index")
     lexical.write_index(spark.createDataFrame(docs, "doc_id long, text string").withColumn("even", F.col("doc_id") % 2 == 0),
