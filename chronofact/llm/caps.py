@@ -184,10 +184,10 @@ def near_embeddings(vectors: DataFrame, *, key: str = "vec_id", embedding: str =
                                              ["root", "member", "copies", "vector"])
 
     # groups are split by label and length, so that a kernel sees one length only
-    grouped = groups.join(reps, "member").select(
-        F.xxhash64("root", "label", F.size("v")).alias("root"), "member", "copies", "v").mapInArrow(
-        packed, "root bigint, member bigint, copies bigint, vector binary")
-    classes = linked_classes(grouped, cosine_kernel(cosine), "cap-classes")
+    chosen = stored(groups.join(reps, "member").select(
+        F.xxhash64("root", "label", F.size("v")).alias("root"), "member", "copies", "v"), "cap-groups")
+    grouped = chosen.mapInArrow(packed, "root bigint, member bigint, copies bigint, vector binary")
+    classes = linked_classes(grouped, cosine_kernel(cosine), chosen.select("root", "member"), "cap-classes")
     smallest = classes.join(reps.select("member", "least_key"), "member").groupBy("root").agg(F.min("least_key").alias("component_key"))
     known = (reps.select("_print", "member", "copies", "least_key").join(classes, "member", "left").join(smallest, "root", "left")
              .select("_print", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),

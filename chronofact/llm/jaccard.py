@@ -195,7 +195,7 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sim
                 yield out.filter(right)
 
     payload = texts.mapInArrow(sets, "root bigint, member bigint, copies bigint, shingles binary").dropDuplicates(["root", "member"])
-    classes = linked_classes(payload, jaccard_kernel(similarity), "jaccard-classes")
+    classes = linked_classes(payload, jaccard_kernel(similarity), chosen.select("root", "member"), "jaccard-classes")
     smallest = classes.join(reps.select("member", "least_key"), "member").groupBy("root").agg(F.min("least_key").alias("class_key"))
     known = (reps.select("hi", "lo", "member", "copies", "least_key").join(classes, "member", "left").join(smallest, "root", "left")
              .select("hi", "lo", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.skew import fits_broadcast
 from ..session import scratch_path
 
 BUCKET_BLOCK = 1_024
@@ -30,25 +31,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_blocks(rows: DataFrame, key: str, member: str, size: int) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, member: str, size: int, light: DataFrame | None = None) -> DataFrame:
     """``rows`` grouped on disk by ``key, _i, _j``: every pair of a key's members meets in one group.
 
-    Keys of up to ``size`` rows are one group. Larger ones are dealt into
+    Keys of up to about ``size`` rows are one group. Larger ones are dealt into
     blocks by a hash of ``member``; the row of block ``b`` goes to the pairs of
-    ``b`` with every block, and ``_b`` tells the blocks of a pair apart.
+    ``b`` with every block, and ``_b`` tells the blocks of a pair apart. The
+    sizes are estimated beforehand, on the members whose hash falls into one
+    class, so that no task ever holds a whole large key. ``light`` has the keys
+    and members of ``rows`` where ``rows`` are costly to compute.
     """
-    dealt = rows.repartition(F.col(key))
-    large = dealt.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    known = dealt.join(large.withColumn("_parts", F.ceil(F.col("_n") / size).cast("int")).drop("_n"), key)
-    zero = F.lit(0)
-    small = known.where("_parts = 1").withColumns({"_i": zero, "_j": zero, "_b": zero}).drop("_parts")
-    block = F.pmod(F.xxhash64(member), F.col("_parts")).cast("int")
-    cut = (known.where("_parts > 1").withColumn("_b", block)
-           .withColumn("_other", F.explode(F.sequence(zero, F.col("_parts") - 1)))
-           .withColumns({"_i": F.least("_b", "_other"), "_j": F.greatest("_b", "_other")}).drop("_parts", "_other"))
-    spread = cut.repartition(key, "_i", "_j")
-    order = [key, "_i", "_j"]
-    return small.sortWithinPartitions(*order).unionByName(spread.sortWithinPartitions(*order))
+    rate = max(1, size // 16)
+    counted = ((rows if light is None else light).where(F.pmod(F.xxhash64(member), F.lit(rate)) == 0)
+               .groupBy(key).agg((F.count("*") * rate).alias("_n")).where(F.col("_n") > size))
+    large = stored(counted.select(key, F.ceil(F.col("_n") / size).cast("int").alias("_parts")), "large-keys")
+    known = rows.join(F.broadcast(large) if fits_broadcast(large) else large, key, "left")
+    dealt = (known.withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+             # not the hash of the estimate, whose members share a class
+             .withColumn("_b", F.pmod(F.xxhash64(F.lit("block"), member), F.col("_parts")).cast("int"))
+             .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+             .withColumns({"_i": F.least("_b", "_other"), "_j": F.greatest("_b", "_other")}).drop("_parts", "_other"))
+    return dealt.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -163,11 +166,12 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 Kernel = Callable[[pa.Table], np.ndarray]
 
 
-def exact_links(rows: DataFrame, kernel: Kernel, size: int = GROUP_BLOCK) -> DataFrame:
+def exact_links(rows: DataFrame, kernel: Kernel, light: DataFrame, size: int = GROUP_BLOCK) -> DataFrame:
     """``a, b, n``: what each member is linked with, and a forest of the links.
 
     ``rows`` has ``root`` (the candidate group), ``member``, ``copies`` and what
-    ``kernel`` needs to tell for each pair of rows of a table whether they link.
+    ``kernel`` needs to tell for each pair of rows of a table whether they link;
+    ``light`` has ``root`` and ``member`` only.
     Rows with ``b`` null carry in ``n`` the copies linked with ``a`` in one pair
     of blocks; the others are edges.
     """
@@ -195,11 +199,11 @@ def exact_links(rows: DataFrame, kernel: Kernel, size: int = GROUP_BLOCK) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(left)), pa.array(np.concatenate(right), mask=n >= 0), pa.array(n, mask=n < 0)], ["a", "b", "n"])
 
-    return in_blocks(rows, "root", "member", size).mapInArrow(run, "a bigint, b bigint, n bigint")
+    return in_blocks(rows, "root", "member", size, light).mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
-def linked_classes(rows: DataFrame, kernel: Kernel, label: str, size: int = GROUP_BLOCK) -> DataFrame:
+def linked_classes(rows: DataFrame, kernel: Kernel, light: DataFrame, label: str, size: int = GROUP_BLOCK) -> DataFrame:
     """``member, n_links, root`` for members with a link: copies linked directly, and the smallest member reachable."""
-    links = stored(exact_links(rows, kernel, size), f"{label}-links")
+    links = stored(exact_links(rows, kernel, light, size), f"{label}-links")
     counts = links.where("b is null").groupBy(F.col("a").alias("member")).agg(F.sum("n").alias("n_links")).where("n_links > 0")
     return counts.join(components(links.where("b is not null").select("a", "b"), label), "member")

@@ -73,8 +73,8 @@ def near_texts(rng):
 @pytest.mark.parametrize("blocks", [None, 5])
 def test_jaccard_join_equals_brute_force(spark, monkeypatch, blocks):
     if blocks:  # every group is cut, as very large ones are
-        for fn in (near.candidate_edges, near.linked_classes, near.exact_links):
-            monkeypatch.setattr(fn, "__defaults__", (blocks,))
+        monkeypatch.setattr(near.candidate_edges, "__defaults__", (blocks,))
+        monkeypatch.setattr(near.linked_classes, "__defaults__", (blocks,))
     texts = near_texts(random.Random(11))
     sets = exact_sets(texts)
     links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sets[a] and sets[b]
@@ -137,8 +137,8 @@ def vectors(rng):
 @pytest.mark.parametrize("blocks", [None, 4])
 def test_cap_filters_equal_brute_force(spark, monkeypatch, blocks):
     if blocks:
-        for fn in (near.candidate_edges, near.linked_classes, near.exact_links):
-            monkeypatch.setattr(fn, "__defaults__", (blocks,))
+        monkeypatch.setattr(near.candidate_edges, "__defaults__", (blocks,))
+        monkeypatch.setattr(near.linked_classes, "__defaults__", (blocks,))
     rows = vectors(np.random.default_rng(8))
 
     def cosine(a, b):
