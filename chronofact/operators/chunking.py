@@ -37,9 +37,6 @@ class ChunkConfig:
             "tokenizer_version": F.lit(self.tokenizer_version),
         }
 
-    def json(self) -> Column:
-        return identity.canonical_row(self.columns())
-
 
 def chunk_id(revision: Column, start: Column, end: Column, config: ChunkConfig) -> Column:
     """SHA-256 identity over the revision, the span and the configuration."""

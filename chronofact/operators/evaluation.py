@@ -40,6 +40,14 @@ def query_completeness(attributed: DataFrame) -> DataFrame:
     return grouped.withColumns({"selection_loss": loss, "earliest_failing_stage": stage})
 
 
+def missing_roles(attributed: DataFrame) -> DataFrame:
+    """Per query and role, how many required atoms were lost and where: one row per reason."""
+    reason = F.when(~F.col("available"), "intentionally_unavailable").when(~F.col("in_candidates"), "missing_from_candidates").otherwise(
+        "selection_dropped_required_evidence")
+    lost = attributed.where(~(F.col("available") & F.col("in_candidates") & F.col("in_selected")))
+    return lost.groupBy("query_id", "role", reason.alias("reason")).agg(F.count("*").alias("atoms"))
+
+
 def modality_recall(attributed: DataFrame) -> DataFrame:
     """Exact recall fractions per modality."""
     return attributed.groupBy("modality").agg(
@@ -57,18 +65,25 @@ def terminal_traces(queries: DataFrame, results: DataFrame) -> DataFrame:
         "runtime_status", F.coalesce("runtime_status", F.lit("no_result")))
 
 
+#: Durations in a range of the latency histogram.
+TICKS = 1_024
+
+
 def latency_statistics(timings: DataFrame, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Count, sum, extremes and nearest-rank percentiles per stage.
 
-    ``timings``: stage, ticks (integer durations in a unit coarse enough that
-    the number of distinct durations is bounded). Equal durations are counted
-    first, so a stage with very many calls travels as a small histogram and the
-    percentiles are still exact.
+    ``timings``: stage, ticks (integer durations). Equal durations are counted
+    first, then ranges of ``TICKS`` durations: a window over ranges and one
+    inside each range find the ranks, so neither sees all of a stage.
     """
-    histogram = timings.groupBy("stage", "ticks").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("stage").orderBy("ticks"))
-    totals = histogram.groupBy("stage").agg(F.sum("n").alias("denominator"))
-    ranked = histogram.withColumn("upto", upto).join(totals, "stage")
+    histogram = timings.groupBy("stage", "ticks").agg(F.count("*").alias("n")).withColumn("_range", F.floor(F.col("ticks") / TICKS))
+    ranges = histogram.groupBy("stage", "_range").agg(F.sum("n").alias("_n"))
+    earlier = W.partitionBy("stage").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    placed = ranges.select("stage", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    totals = ranges.groupBy("stage").agg(F.sum("_n").alias("denominator"))
+    inside = F.sum("n").over(W.partitionBy("stage", "_range").orderBy("ticks"))
+    ranked = (histogram.withColumn("_inside", inside).join(placed, ["stage", "_range"]).join(totals, "stage")
+              .withColumn("upto", F.col("_before") + F.col("_inside")))
     pick = {
         f"p{round(p * 100)}_ticks": F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("denominator")), F.col("ticks")))
         for p in shares

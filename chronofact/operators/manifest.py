@@ -9,7 +9,6 @@ MUTATION_TYPES = ("base", "observation_mask", "source_conflict", "retraction_bra
 GOLD_TRACKS = ("source_grounded", "conditional_binding", "synthetic_control")
 TASKS = ("T01", "T02", "T03", "T04", "T05", "T06", "T07")
 FOUNDATIONS = ("state", "event", "aggregate", "bridge", "entity_resolution", "policy_version")
-POLICY_KINDS = ("real_snapshot", "synthetic_version")
 SEED = 42
 REQUIRED_SPEC = {
     "observation_mask": ("closure_policy", "invariant_refs", "removed_record_ids", "seed_record_ids"),
@@ -49,20 +48,20 @@ def checks() -> dict[str, Column]:
     no_parent = F.col("parent_variant_id").isNull()
     outside = lambda c, allowed: F.col(c).isNotNull() & ~F.col(c).isin(*allowed)
     rules = {
-        "mutation_type is not allowed": ~F.col("mutation_type").isin(*MUTATION_TYPES),
-        "gold_track is not allowed": ~F.col("gold_track").isin(*GOLD_TRACKS),
-        "task_id is not allowed": outside("task_id", TASKS),
-        "foundation_task is not allowed": outside("foundation_task", FOUNDATIONS),
-        "seed is not allowed": F.col("seed") != SEED,
-        "exactly one task reference is required": F.col("task_id").isNull() == F.col("foundation_task").isNull(),
-        "base requires null parent and empty mutation_spec":
+        "unknown mutation type": ~F.col("mutation_type").isin(*MUTATION_TYPES),
+        "unknown gold track": ~F.col("gold_track").isin(*GOLD_TRACKS),
+        "unknown task": outside("task_id", TASKS),
+        "unknown foundation task": outside("foundation_task", FOUNDATIONS),
+        "another seed": F.col("seed") != SEED,
+        "neither one task nor one foundation task": F.col("task_id").isNull() == F.col("foundation_task").isNull(),
+        "a base has a parent or a mutation":
             base & (~no_parent | (F.size(F.json_object_keys("mutation_spec")) > 0)),
-        "non-base requires parent": ~base & no_parent,
-        "mutation_spec does not match mutation_type": _bad_spec(F.col("mutation_type"), F.col("mutation_spec")),
+        "a mutation without a parent": ~base & no_parent,
+        "mutation details do not fit the type": _bad_spec(F.col("mutation_type"), F.col("mutation_spec")),
     }
     for name in ID_ARRAYS:
-        rules[f"{name} must not be empty"] = F.size(name) == 0
-        rules[f"{name} must be sorted and unique"] = ~_sorted_unique(F.col(name))
+        rules[f"{name} is empty"] = F.size(name) == 0
+        rules[f"{name} is not sorted without repeats"] = ~_sorted_unique(F.col(name))
     return rules
 
 

@@ -71,10 +71,10 @@ def render_violations(rendered: DataFrame) -> DataFrame:
     """Rendered policies whose spans, hashes or required words are wrong."""
     wrong = F.exists("clauses", lambda c: c["content_sha256"] != identity.content_hash(
         identity.json_string(tx.span("text", c["span_start"], c["span_end"]))))
-    problem = F.when(wrong, "synthetic clause span mismatch").when(
-        ~F.contains("text", F.col("required_region_id")), "synthetic renderer omitted required region").when(
+    problem = F.when(wrong, "a clause does not match its place in the text").when(
+        ~F.contains("text", F.col("required_region_id")), "the text does not name the required region").when(
         (F.col("rule_kind") == FLEET_RULE) & ~F.contains("text", F.lit(INCIDENT_TOKEN)),
-        "synthetic renderer omitted incident exception")
+        "the text lacks the exception for open incidents")
     return rendered.withColumn("violation", problem).where("violation is not null")
 
 

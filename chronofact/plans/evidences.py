@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import coverage, evaluation, evidence, inventory
+from ..operators import coverage, evaluation, evidence, inventory, lexical
 from ..sources.tables import spread, table
 from .registry import query
-from .retrieval import WS
+from .retrieval import WS, bm25_sql
 from .values import stable_sql
 
 WORDS = rf"len(regexp_extract_all(text, '[^{WS}]+'))"
@@ -219,11 +219,12 @@ def coverage_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SUPPORT = f"""
-items AS (SELECT source AS query_id, 'd' || doc_id AS evidence_id, lang AS kind, CAST(n_chars % 997 AS DOUBLE) AS score, CAST(doc_id AS BIGINT) AS rank,
-   coalesce(toxic, 0) = 0 AS eligible, {WORDS} AS cost FROM documents LEFT JOIN labels USING (doc_id)),
+{bm25_sql('documents', 'doc_id')},
+items AS (SELECT CAST(top.query_id AS VARCHAR) AS query_id, 'd' || doc_id AS evidence_id, lang AS kind, top.score, CAST(top.rank AS BIGINT) AS rank,
+   coalesce(toxic, 0) = 0 AS eligible, {WORDS} AS cost FROM top JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)),
 {greedy_sql('items', BUDGET, CAP)},
-cand AS (SELECT query_id, evidence_id FROM items WHERE eligible AND cost <= 300),
-atoms AS (SELECT source AS query_id, 'd' || doc_id AS evidence_id, lang AS modality, toxic = 0 AS available,
+cand AS (SELECT query_id, evidence_id FROM items WHERE eligible),
+atoms AS (SELECT CAST(doc_id % 40 AS VARCHAR) AS query_id, 'd' || doc_id AS evidence_id, lang AS modality, toxic = 0 AS available,
    CASE WHEN quality = 1 THEN 'primary' ELSE 'secondary' END AS role FROM labels JOIN documents USING (doc_id)),
 att AS (SELECT a.*, c.evidence_id IS NOT NULL AS in_candidates, p.evidence_id IS NOT NULL AS in_selected
   FROM atoms a LEFT JOIN cand c USING (query_id, evidence_id) LEFT JOIN picked p USING (query_id, evidence_id))
@@ -231,13 +232,18 @@ att AS (SELECT a.*, c.evidence_id IS NOT NULL AS in_candidates, p.evidence_id IS
 
 
 def support(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents as required evidence of their source's question."""
-    items = document_items(spark, sf, query_id="source", kind="lang")
+    """Labelled documents as required evidence of benchmark queries; candidates are what the search returns for them."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    labels = table(spark, sf, "labels")
+    found = lexical.bm25_search(docs.select("doc_id", "text"), table(spark, sf, "benchmark"), key=["doc_id"], query_key="item_id")
+    items = found.join(docs, "doc_id").join(labels.select("doc_id", "toxic"), "doc_id", "left").select(
+        F.col("query_id").cast("string").alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("evidence_id"), F.col("lang").alias("source_kind"),
+        "score", F.col("rank").cast("bigint").alias("rank"),
+        F.when(F.coalesce("toxic", F.lit(0)) == 0, "eligible").otherwise("ineligible").alias("eligibility"), tx.word_count("text").alias("token_cost"))
     chosen = evidence.select_evidence(items, token_budget=BUDGET, per_source_cap=CAP)
-    candidates = items.where("eligibility = 'eligible' and token_cost <= 300")
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    atoms = table(spark, sf, "labels").join(docs, "doc_id").select(
-        F.col("source").alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("evidence_id"), F.col("lang").alias("modality"),
+    candidates = items.where("eligibility = 'eligible'")
+    atoms = labels.join(docs.select("doc_id", "lang"), "doc_id").select(
+        (F.col("doc_id") % 40).cast("string").alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("evidence_id"), F.col("lang").alias("modality"),
         (F.col("toxic") == 0).alias("available"), F.when(F.col("quality") == 1, "primary").otherwise("secondary").alias("role"))
     return evaluation.attribute_support(atoms, candidates, chosen)
 
@@ -247,6 +253,13 @@ def support_attribution(spark: SparkSession, sf: str) -> DataFrame:
     return support(spark, sf)
 
 
+@query("missing_roles", f"""WITH RECURSIVE {SUPPORT} SELECT query_id, role, CASE WHEN NOT available THEN 'intentionally_unavailable'
+  WHEN NOT in_candidates THEN 'missing_from_candidates' ELSE 'selection_dropped_required_evidence' END AS reason, count(*) AS atoms
+  FROM att WHERE NOT (available AND in_candidates AND in_selected) GROUP BY ALL""")
+def missing_roles(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.missing_roles(support(spark, sf))
+
+
 @query("evidence_recall", f"""WITH RECURSIVE {SUPPORT} SELECT modality, count(*) AS required, count(*) FILTER (in_candidates) AS candidate_hits,
   count(*) FILTER (in_candidates AND in_selected) AS selected_hits, round(count(*) FILTER (in_candidates) / count(*), 9) AS candidate_recall,
   round(count(*) FILTER (in_candidates AND in_selected) / count(*), 9) AS selected_recall FROM att GROUP BY modality""")
@@ -255,11 +268,11 @@ def evidence_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("query_completeness", f"""WITH RECURSIVE {SUPPORT},
-q AS (SELECT query_id, count(*) AS atoms, count(*) FILTER (NOT available) AS unavailable, count(*) FILTER (available AND NOT in_candidates) AS missing,
+qc AS (SELECT query_id, count(*) AS atoms, count(*) FILTER (NOT available) AS unavailable, count(*) FILTER (available AND NOT in_candidates) AS missing,
   count(*) FILTER (in_candidates AND NOT in_selected) AS dropped, bool_and(in_candidates) AS candidate_complete,
   bool_and(in_candidates AND in_selected) AS selected_complete FROM att GROUP BY query_id)
 SELECT *, candidate_complete AND NOT selected_complete AS selection_loss, CASE WHEN unavailable > 0 THEN 'intentionally_unavailable'
-  WHEN missing > 0 THEN 'missing_from_candidates' WHEN dropped > 0 THEN 'selection_dropped_required_evidence' ELSE 'none' END AS earliest_failing_stage FROM q""")
+  WHEN missing > 0 THEN 'missing_from_candidates' WHEN dropped > 0 THEN 'selection_dropped_required_evidence' ELSE 'none' END AS earliest_failing_stage FROM qc""")
 def query_completeness(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.query_completeness(support(spark, sf))
 

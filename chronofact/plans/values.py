@@ -188,10 +188,12 @@ def policy_clauses(spark: SparkSession, sf: str) -> DataFrame:
         "s_suppkey", "c.order", "c.section_id", "c.clause_id", "c.span_start", "c.span_end", "c.content_sha256")
 
 
-@query("policy_verification", "SELECT s_acctbal > 5000 AS fleet, count(*) AS rendered, CAST(0 AS BIGINT) AS broken FROM supplier GROUP BY ALL")
+@query("policy_verification", "SELECT s_acctbal > 5000 AS fleet, count(*) AS rendered, count(*) FILTER (s_suppkey % 5 = 0) AS broken FROM supplier GROUP BY ALL")
 def policy_verification(spark: SparkSession, sf: str) -> DataFrame:
-    """Re-slices and re-hashes every clause; nothing may be broken."""
+    """Re-slices and re-hashes every clause; every fifth text has been changed in one character."""
     rendered = policy.render(policy_rules(spark, sf))
+    changed = F.concat(F.left("text", F.length("text") - 3), F.lit("~"), F.right("text", F.lit(2)))
+    rendered = rendered.withColumn("text", F.when(F.col("s_suppkey") % 5 == 0, changed).otherwise(F.col("text")))
     broken = policy.render_violations(rendered).groupBy("rule_kind").agg(F.count("*").alias("b"))
     return rendered.groupBy("rule_kind").agg(F.count("*").alias("rendered")).join(broken, "rule_kind", "left").select(
         (F.col("rule_kind") == policy.FLEET_RULE).alias("fleet"), "rendered", F.coalesce("b", F.lit(0).cast("bigint")).alias("broken"))
@@ -225,23 +227,25 @@ def manifests(spark: SparkSession, sf: str) -> DataFrame:
 WITH m AS (SELECT 'S' || o_orderkey AS scenario_id, o_totalprice AS p, o_orderstatus = 'P' AS parent, o_orderpriority = '1-URGENT' AS urgent,
    o_orderpriority = '5-LOW' AS low, o_orderstatus = 'F' AS final, CAST(o_custkey AS VARCHAR) AS c1, CAST(o_orderkey AS VARCHAR) AS c2,
    NOT (o_totalprice < 5000 OR o_totalprice > 250000) AS base FROM orders)
-SELECT scenario_id, 'mutation_type is not allowed' AS violation FROM m WHERE p < 5000
-UNION ALL SELECT scenario_id, 'gold_track is not allowed' FROM m WHERE low
-UNION ALL SELECT scenario_id, 'exactly one task reference is required' FROM m WHERE NOT urgent AND final
-UNION ALL SELECT scenario_id, 'base requires null parent and empty mutation_spec' FROM m WHERE base AND parent
-UNION ALL SELECT scenario_id, 'non-base requires parent' FROM m WHERE NOT base AND NOT parent
-UNION ALL SELECT scenario_id, 'mutation_spec does not match mutation_type' FROM m WHERE (p > 250000 AND p <= 300000) OR (p > 300000 AND p <= 400000 AND low)
-UNION ALL SELECT scenario_id, 'semantic_case_ids must be sorted and unique' FROM m WHERE c1 >= c2
-UNION ALL SELECT scenario_id, 'query_ids must be sorted and unique' FROM m WHERE final""")
+SELECT scenario_id, 'unknown mutation type' AS violation FROM m WHERE p < 5000
+UNION ALL SELECT scenario_id, 'unknown gold track' FROM m WHERE low
+UNION ALL SELECT scenario_id, 'neither one task nor one foundation task' FROM m WHERE NOT urgent AND final
+UNION ALL SELECT scenario_id, 'a base has a parent or a mutation' FROM m WHERE base AND parent
+UNION ALL SELECT scenario_id, 'a mutation without a parent' FROM m WHERE NOT base AND NOT parent
+UNION ALL SELECT scenario_id, 'mutation details do not fit the type' FROM m WHERE (p > 250000 AND p <= 300000) OR (p > 300000 AND p <= 400000 AND low)
+UNION ALL SELECT scenario_id, 'semantic_case_ids is not sorted without repeats' FROM m WHERE c1 >= c2
+UNION ALL SELECT scenario_id, 'query_ids is not sorted without repeats' FROM m WHERE final""")
 def manifest_violations(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.violations(manifests(spark, sf))
 
 
-@query("unknown_manifest_keys", """SELECT event_id, 'k' AS unknown_key FROM events""")
+@query("unknown_manifest_keys", """SELECT event_id, unnest(CASE event_type WHEN 'click' THEN [] WHEN 'view' THEN ['w', 'x'] ELSE ['k'] END) AS unknown_key FROM events""")
 def unknown_manifest_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys of the events' JSON that a closed schema without ``k`` does not allow."""
-    lines = table(spark, sf, "events").select("event_id", "props")
-    return manifest.unknown_keys(lines, ["v", "n"], json="props", keep=["event_id"])
+    """Keys that a closed schema of ``v`` and ``n`` does not allow: none, two or one by event type."""
+    kind = F.col("event_type")
+    json = F.when(kind == "click", '{"n":1,"v":{"k":2}}').when(kind == "view", '{"w":[],"n":null,"x":{"n":1}}').otherwise(F.col("props"))
+    lines = table(spark, sf, "events").select("event_id", json.alias("line"))
+    return manifest.unknown_keys(lines, ["v", "n"], json="line", keep=["event_id"])
 
 
 @query("bridge_no_incident", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -45,24 +46,24 @@ def markdown(member_rows: DataFrame) -> DataFrame:
 
 def violations(member_rows: DataFrame, expected_sha256: str | None = None) -> DataFrame:
     """(archive, violation): unsafe paths, duplicate names, bad or missing prefixes, no aggregate."""
-    unsafe = member_rows.where(~files.safe_member("member")).select("archive", F.lit("unsafe ZIP member path").alias("violation"))
+    unsafe = member_rows.where(~files.safe_member("member")).select("archive", F.lit("a member's path leaves the archive").alias("violation"))
     md = markdown(member_rows)
     twice = md.groupBy("archive", "name").count().where("count > 1").select(
-        "archive", F.lit("duplicate Markdown basename in archive").alias("violation"))
-    invalid = md.where("prefix is null").select("archive", F.lit("invalid source filename").alias("violation"))
+        "archive", F.lit("two Markdown members share a name").alias("violation"))
+    invalid = md.where("prefix is null").select("archive", F.lit("a Markdown member without a number").alias("violation"))
     totals = member_rows.groupBy("archive", "archive_sha256").agg(F.count("*").alias("_all")).join(
         md.groupBy("archive").agg(
             F.count("*").alias("n"), F.countDistinct("prefix").alias("d"), F.min("prefix").alias("lo"),
             F.max("prefix").alias("hi"), F.bool_or(F.col("name") == AGGREGATE_NAME).alias("agg")), "archive", "left")
     complete = (F.col("n") == MEMBER_COUNT) & (F.col("d") == MEMBER_COUNT) & (F.col("lo") == 0) & (F.col("hi") == MEMBER_COUNT - 1)
     partial = totals.where(~F.coalesce(complete, F.lit(False))).select(
-        "archive", F.lit("archive must contain exactly Markdown prefixes 00..224").alias("violation"))
+        "archive", F.lit("the numbers 00 to 224 are not all there once").alias("violation"))
     lacking = totals.where(~F.coalesce("agg", F.lit(False))).select(
-        "archive", F.lit("aggregate Markdown member is missing").alias("violation"))
+        "archive", F.lit("the collected file is not there").alias("violation"))
     found = unsafe.unionByName(twice).unionByName(invalid).unionByName(partial).unionByName(lacking)
     if expected_sha256 is not None:
         found = found.unionByName(totals.where(F.col("archive_sha256") != expected_sha256).select(
-            "archive", F.lit("pinned archive SHA-256 mismatch").alias("violation")))
+            "archive", F.lit("the archive is not the pinned one").alias("violation")))
     return found.distinct()
 
 
@@ -80,23 +81,39 @@ def member_digest(md: DataFrame) -> DataFrame:
     return inventory.ordered_digest(md.select("archive", "prefix", line.alias("_line")), ["archive"], "prefix", "_line")
 
 
+def differing(written: DataFrame) -> DataFrame:
+    """Written members whose bytes do not have their declared hash."""
+    return written.where(F.sha2("content", 256) != F.col("sha256"))
+
+
 def materialize(spark: SparkSession, root: str, output: str, expected_sha256: str, pattern: str = "*.zip") -> DataFrame:
     """Check the pinned archive, then write its Markdown members as a table.
 
-    Spark's output commit makes the table appear as a whole or not at all, and
-    an existing target is refused. The written bytes are hashed again. Returns
-    one report row per archive.
+    The table is written beside its place, its bytes are hashed again, and only
+    then does a rename make it visible; an existing target is refused. Returns
+    one report row per archive. The error names every kind of violation;
+    :func:`violations` has the archives.
     """
     rows = members(spark, root, pattern)
-    broken = violations(rows, expected_sha256).limit(20).collect()
+    broken = violations(rows, expected_sha256).select("violation").distinct().collect()
     if broken:
-        raise ValueError("; ".join(sorted({b["violation"] for b in broken})))
+        raise ValueError("; ".join(sorted(b["violation"] for b in broken)))
     if rows.limit(1).count() == 0:
         raise FileNotFoundError(f"missing pinned source archive: {root}/{pattern}")
-    markdown(rows).write.mode("errorifexists").parquet(output)
+    place = spark._jvm.org.apache.hadoop.fs.Path(output)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(place):
+        raise FileExistsError(f"{output} already exists")
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{output.rstrip('/')}.{uuid.uuid4().hex}")
+    try:
+        markdown(rows).write.parquet(beside.toString())
+        if differing(spark.read.parquet(beside.toString())).limit(1).count():
+            raise OSError("the written bytes are not those of the archive")
+        if not store.rename(beside, place):
+            raise OSError(f"{output} could not be put in place")
+    finally:
+        store.delete(beside, True)
     written = spark.read.parquet(output)
-    if written.where(F.sha2("content", 256) != F.col("sha256")).limit(1).count():
-        raise OSError("materialized byte verification failed")
     digest = member_digest(written).select("archive", F.col("digest").alias("member_digest"))
     return written.groupBy("archive", "archive_sha256").agg(
         F.count("*").alias("markdown_files"),

@@ -12,11 +12,6 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_json_text(spark: SparkSession, path: str) -> DataFrame:
-    """Raw JSON lines in ``value``, for hashing exactly what was written."""
-    return spark.read.text(path).where(F.length("value") > 0)
-
-
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """Canonical JSON lines. With ``order`` the part files are globally sorted in name order."""
     rows = df.orderBy(*order) if order else df

@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
-
 FEW_SPLITS = 32
 
 
@@ -27,9 +22,3 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df.rdd.getNumPartitions()
     return df.repartition(min(cores, 4 * FEW_SPLITS)) if splits < min(cores, FEW_SPLITS) else df
-
-
-def register_views(spark: SparkSession, folder: str) -> None:
-    """Expose every table as a temporary view for ``spark.sql``."""
-    for name in TABLES:
-        table(spark, folder, name).createOrReplaceTempView(name)
