@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -29,8 +30,8 @@ USUAL_WORDS = 200
 THRESHOLD = 0.7
 #: Bounds of the sample that the classifier is fitted on: confirmed toxic rows,
 #: unlabelled rows, characters of a row. Every row is scored, whole.
-MAX_POSITIVE = 3_000
-MAX_UNLABELLED = 6_000
+MAX_POSITIVE = 2_000
+MAX_UNLABELLED = 4_000
 MAX_FIT_CHARS = 64_000
 MIN_SUPPORT = 3
 MIN_EXCESS = 4.0
@@ -164,29 +165,36 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     The sample is chosen by a hash of the id, so reruns agree; null ids and
     null labels teach nothing, and of repeated labels the highest counts.
     """
+    spark = docs.sparkSession
     open_labels = (labels.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(toxic).isNotNull())
                    .groupBy(F.col(key).alias("_id")).agg(F.max(toxic).alias("_toxic")))
     prior = open_labels.agg(F.avg((F.col("_toxic") > 0).cast("double"))).first()[0]
-    order = F.xxhash64("_id")
-    chosen = open_labels.where("_toxic > 0").orderBy(order, "_id").limit(MAX_POSITIVE).select("_id", F.lit(1).alias("_role"))
+    # both are bounded, so they may be broadcast
+    chosen = open_labels.where("_toxic > 0").orderBy(F.xxhash64("_id"), "_id").limit(MAX_POSITIVE).select("_id")
     free = (docs.where(F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("_id"))
-            .orderBy(F.xxhash64(F.col("_id") + 1), "_id").limit(MAX_UNLABELLED).select("_id", F.lit(0).alias("_role")))
-    # at most MAX_POSITIVE + MAX_UNLABELLED ids
-    wanted = F.broadcast(chosen.unionByName(free))
-    sample = (docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(wanted, "_id")
-              .where(F.length("_text") <= MAX_FIT_CHARS))
-
+            .orderBy(F.xxhash64(F.lit("unlabelled"), "_id"), "_id").limit(MAX_UNLABELLED))
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") <= MAX_FIT_CHARS)
+    positive = _features(texts.join(F.broadcast(chosen), "_id"))
+    # of unlabelled rows only what toxic rows have often enough comes to the driver
+    ids, support = np.unique(np.concatenate([np.empty(0, np.int64), *positive]), return_counts=True)
+    wanted = spark.sparkContext.broadcast(ids[support >= MIN_SUPPORT])
+    unlabelled = _features(texts.join(F.broadcast(free), "_id"), wanted)
+    return fit(positive, unlabelled, prior if prior is not None else 0.0)
+
+
+def _features(sample: DataFrame, wanted: Broadcast | None = None) -> list[np.ndarray]:
+    """The features of each row of a bounded sample, in a fixed order; those in ``wanted`` if it is given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [text_features(t).tobytes() for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_role"), pa.array(packed, pa.binary())],
-                                             ["_id", "_role", "features"])
+            packed = []
+            for value in batch.column("_text").to_pylist():
+                found = text_features(value)
+                packed.append((found if wanted is None else np.intersect1d(found, wanted.value, assume_unique=True)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(packed, pa.binary())], ["_id", "features"])
 
     kind = sample.schema["_id"].dataType.simpleString()
-    rows = sorted(sample.mapInArrow(run, f"_id {kind}, _role int, features binary").collect(), key=lambda r: (r[1], r[0], r[2]))
-    unpacked = [(r["_role"], np.frombuffer(r["features"], np.int64)) for r in rows]
-    del rows
-    return fit([f for role, f in unpacked if role], [f for role, f in unpacked if not role], prior if prior is not None else 0.0)
+    rows = sample.select("_id", "_text").mapInArrow(run, f"_id {kind}, features binary").collect()
+    return [np.frombuffer(r["features"], np.int64) for r in sorted(rows, key=lambda r: (r["_id"], r["features"]))]
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:
