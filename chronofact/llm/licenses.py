@@ -84,6 +84,7 @@ class Scanner:
         if short:
             raise ValueError(f"templates of fewer than {WIDTH} words: {short}")
         self.shingles = {n: frozenset(zip(*[w[k:] for k in range(WIDTH)], strict=False)) for n, w in words.items()}
+        self.reach = {n: math.ceil(1.1 * (len(w) - WIDTH + 1)) for n, w in words.items()}
         hashed = {n: np.unique(windows(byte_word_hashes(plain_bytes(t))[0], WIDTH)) for n, t in templates.items()}
         self.known = np.unique(np.concatenate(list(hashed.values())))
         self.flags = np.zeros(1 << 16, bool)
@@ -110,6 +111,19 @@ class Scanner:
         signature = minhash(shingles, *functions).astype(np.uint64).reshape(-1, ROWS)
         return mixed((signature[:, 0] << np.uint64(32)) | signature[:, 1]).tolist()
 
+    def _tightest(self, name: str, places: list[int], words: list[bytes]) -> tuple[int, int, float]:
+        """First and last place of the run, about as long as the template, that contains most of it.
+
+        A window may reach into the next occurrence.
+        """
+        best = (places[0], places[0], 0.0) if places else (0, 0, 0.0)
+        for first in places:
+            run = [i for i in places if first <= i < first + self.reach[name]]
+            share = len({tuple(words[i:i + WIDTH]) for i in run}) / len(self.shingles[name])
+            if (share, first - run[-1]) > (best[2], best[0] - best[1]):
+                best = (first, run[-1], share)
+        return best
+
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(template, first character, last character + 1, containment) of every occurrence, in order.
 
@@ -139,9 +153,9 @@ class Scanner:
                 for k in sorted(found):
                     name = group.names[k]
                     places = [i for i in range(start, start + len(part)) if tuple(words[i:i + WIDTH]) in self.shingles[name]]
-                    share = len({tuple(words[i:i + WIDTH]) for i in places}) / len(self.shingles[name])
+                    first, last, share = self._tightest(name, places, words)
                     if share >= self.containment:
-                        spans.setdefault(name, []).append((places[0], places[-1] + WIDTH, share))
+                        spans.setdefault(name, []).append((first, last + WIDTH, share))
             for name, listed in spans.items():
                 out.extend((*span, name) for span in _best(listed, lambda s: (-s[2], s[1] - s[0], s[0])))
         return [(name, len(raw[:starts[a]].decode("utf-8", "replace")), len(raw[:ends[b - 1]].decode("utf-8", "replace")), share)
