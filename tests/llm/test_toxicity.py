@@ -41,7 +41,7 @@ def test_negative_risk_is_reversed_and_empty_fits_give_the_prior():
     assert toxicity.fit([], [], 0.1).score({"x"}, {}) == pytest.approx(0.1)
     p = [toxicity.text_features("grim word") for _ in range(20)]
     model = toxicity.fit(p, p + [toxicity.text_features(f"w{i} v{i}") for i in range(60)], 0.25)
-    assert model.score({"grim"}, {}) > 0.5 > model.score({"w1"}, {})
+    assert model.score({"grim", "word"}, {}) > 0.7 > 0.3 > model.score({"w1"}, {})
 
 
 def test_odd_rows(spark):
