@@ -46,7 +46,7 @@ def test_counts_of_random_texts(spark, texts):
 
 def test_order_never_changes_the_verdict(spark):
     texts = ["fine words here " + " ".join(f"word{i}" for i in range(80)), "BAD WORDS " * 5 + " ".join(f"SHOUT{i}" for i in range(80)),
-             " ".join(f"w{i}###" for i in range(80)), "\n".join(["same line of words"] * 30 + [f"other line {i}" for i in range(30)])]
+             " ".join(f"w{i}###" for i in range(80)), "\n".join(["same line of words"] * 60 + [f"other line of words {i} {i * 7} {i * 11} {i * 13}" for i in range(40)])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     measured = quality.measure(docs)
     verdicts = []
