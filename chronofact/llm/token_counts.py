@@ -16,14 +16,14 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 from .bpe import _added, _extended
 from .pieces import LONGEST, PATTERN, Memory, calls, is_plain
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TABLE_PIECES = 65_536
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 500
 LIMIT = 512
 
 
@@ -49,18 +49,11 @@ def special_strings(path: str) -> tuple[str, ...]:
 
 
 def frequent_pieces(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS, pieces: int = TABLE_PIECES) -> list[str]:
-    """The most frequent pre-tokens of ``rows`` documents, counted in one task and cut there to ``pieces``."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(p for p in PATTERN.findall(t or "") if len(p) <= LONGEST)
-        best = sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:pieces]
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in best], pa.string()),
-                                          "n": pa.array([n for _, n in best], pa.int64())})
-
-    counted = docs.select(text).limit(rows).mapInArrow(count, "piece string, n bigint")
-    return [r["piece"] for r in counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(pieces).collect()]
+    """The most frequent pre-tokens of the first ``rows`` documents, at most ``pieces`` of at most ``LONGEST`` characters."""
+    seen: Counter[str] = Counter()
+    for row in docs.select(text).take(rows):
+        seen.update(p for p in PATTERN.findall(row[0] or "") if len(p) <= LONGEST)
+    return [p for p, _ in sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:pieces]]
 
 
 def compact(pieces: list[str], path: str) -> tuple[bytes, bytes]:
