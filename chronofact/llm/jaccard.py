@@ -82,8 +82,8 @@ def most_different(similarity: float = SIMILARITY, bits: int = COORDINATES, devi
     return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def prints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``_key``, the 128-bit fingerprint ``hi, lo`` of the shingle set (null if empty) and its minhashes."""
+def prints(rows: DataFrame) -> DataFrame:
+    """``_row, _key``, the 128-bit fingerprint ``hi, lo`` of the shingle set (null if empty) and its minhashes."""
     multipliers, offsets = hash_functions(COORDINATES, SEED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,12 +101,11 @@ def prints(docs: DataFrame, key: str, text: str) -> DataFrame:
                 else:
                     for column in (hi, lo, packed):
                         column.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
-                                              pa.array(packed, pa.binary())], ["_key", "hi", "lo", "minhashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_key"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
+                                              pa.array(packed, pa.binary())], ["_row", "_key", "hi", "lo", "minhashes"])
 
-    narrow = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    kind = narrow.schema["_key"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"_key {kind}, hi bigint, lo bigint, minhashes binary")
+    kind = rows.schema["_key"].dataType.simpleString()
+    return rows.select("_row", "_key", "_text").mapInArrow(run, f"_row bigint, _key {kind}, hi bigint, lo bigint, minhashes binary")
 
 
 def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -144,6 +143,11 @@ def jaccard_kernel(similarity: float):
     return run
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` stored with ``_row``, a number that no other row has."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``key, class_id, n_links, kept`` for every row of ``docs``.
 
@@ -155,9 +159,23 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sim
     the class of the others it links with, or null; rows that repeat a key are
     copies of each other if their texts agree. Other columns are not looked at.
     """
-    printed = stored(prints(docs, key, text), "jaccard-prints")
+    rows = numbered(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")), "jaccard-rows")
+    class_id = F.coalesce("class_id", "_key")
+    return row_classes(rows, similarity).select(F.col("_key").alias(key), class_id.alias("class_id"), "n_links",
+                                                F.coalesce(F.col("_key") == class_id, F.lit(False)).alias("kept"))
+
+
+def row_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``_row, _key, class_id, n_links, first`` for every row of ``numbered`` rows with ``_key`` and ``_text``.
+
+    ``first`` marks one row of each class, whatever keys are null or repeat:
+    the one with the smallest key, nulls last, and of those the smallest
+    number. Rows without words are each a class. ``class_id`` is the key of
+    the first row; null where a class has no key or the row no words.
+    """
+    printed = stored(prints(rows), "jaccard-prints")
     grouped = printed.where("hi is not null").groupBy("hi", "lo").agg(
-        F.count("*").alias("copies"), F.min("_key").alias("least_key"), F.first("minhashes").alias("minhashes"))
+        F.count("*").alias("copies"), F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("least"), F.first("minhashes").alias("minhashes"))
     reps = grouped.withColumn("member", F.xxhash64("hi", "lo"))
     depth = depth_for(printed.count())
     runs = runs_for(depth, similarity=similarity)
@@ -175,32 +193,24 @@ def near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sim
 
     walked = reps.select("member", "minhashes").mapInArrow(paths, "bucket bigint, member bigint, b0 bigint")
     groups = components(candidate_edges(walked, ["b0"], most_different(similarity)), "jaccard-candidates")
-    # one row with the text of each candidate set
-    chosen = stored(groups.join(reps.select("member", "hi", "lo", "copies", "least_key"), "member"), "jaccard-groups")
-    holders = chosen.join(printed.select("_key", "hi", "lo"), ["hi", "lo"]).where(F.col("_key").eqNullSafe(F.col("least_key")))
-    wanted = holders.select("_key", "root", "member", "hi", "lo", "copies").distinct()
-    source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).where(F.col(key).isNotNull())
-    texts = source.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, "_key")
+    # the row that has the text of each candidate set
+    chosen = stored(groups.join(reps.select("member", "copies", F.col("least._row").alias("_row")), "member"), "jaccard-groups")
+    texts = rows.select("_row", "_text").join(F.broadcast(chosen) if fits_broadcast(chosen) else chosen, "_row")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                found = [shingle_set(t) for t in part.column("_text").to_pylist()]
-                hi, lo = np.asarray(part.column("hi")), np.asarray(part.column("lo"))
-                # rows that repeat a key with another text are not the set that is meant
-                right = pa.array([len(s) > 0 and _fingerprint(s) == (a, b) for s, a, b in zip(found, hi, lo, strict=True)], pa.bool_())
-                out = pa.RecordBatch.from_arrays([part.column("root"), part.column("member"), part.column("copies"),
-                                                  pa.array([s.tobytes() for s in found], pa.binary())], ["root", "member", "copies", "shingles"])
-                yield out.filter(right)
-
-    payload = texts.mapInArrow(sets, "root bigint, member bigint, copies bigint, shingles binary").dropDuplicates(["root", "member"])
+                found = [shingle_set(t).tobytes() for t in part.column("_text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("root"), part.column("member"), part.column("copies"), pa.array(found, pa.binary())],
+                                                 ["root", "member", "copies", "shingles"])
+
+    payload = texts.mapInArrow(sets, "root bigint, member bigint, copies bigint, shingles binary")
     classes = linked_classes(payload, jaccard_kernel(similarity), chosen.select("root", "member"), "jaccard-classes")
-    smallest = classes.join(reps.select("member", "least_key"), "member").groupBy("root").agg(F.min("least_key").alias("class_key"))
-    known = (reps.select("hi", "lo", "member", "copies", "least_key").join(classes, "member", "left").join(smallest, "root", "left")
+    smallest = classes.join(reps.select("member", "least"), "member").groupBy("root").agg(F.min("least").alias("class_least"))
+    known = (reps.select("hi", "lo", "member", "copies", "least").join(classes, "member", "left").join(smallest, "root", "left")
              .select("hi", "lo", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),
-                     F.coalesce("class_key", "least_key").alias("class_id")))
-    joined = printed.select("_key", "hi", "lo").join(known, ["hi", "lo"], "left")
-    class_id = F.coalesce("class_id", "_key")
-    return joined.select(F.col("_key").alias(key), class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                         F.coalesce(F.col("_key") == class_id, F.lit(False)).alias("kept"))
+                     F.coalesce("class_least", "least").alias("least")))
+    joined = printed.select("_row", "_key", "hi", "lo").join(known, ["hi", "lo"], "left")
+    return joined.select("_row", "_key", F.col("least._key").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+                         F.coalesce(F.col("least._row") == F.col("_row"), F.lit(True)).alias("first"))

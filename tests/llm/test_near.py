@@ -185,3 +185,14 @@ def test_filters_meet_at_the_threshold(rows):
 def test_stored_in_the_shared_folder(spark):
     frame = near.stored(spark.range(3), "t")
     assert frame.count() == 3 and spark.conf.get("spark.checkpoint.dir") in frame.inputFiles()[0]
+
+
+def test_null_keys_link_by_their_own_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    left, middle, right = words[:54], words[:60], words[6:60]
+    # 50 of 56 shingles; the outer two share only 44 of 56
+    rows = [(1, " ".join(left)), (None, " ".join(middle)), (2, " ".join(right)), (None, "alone " + " ".join(f"q{i}" for i in range(30))),
+            (None, "alone " + " ".join(f"q{i}" for i in range(31)))]
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"], r["kept"]) for r in jaccard.near_copies(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, 1, False), (0, 0, 1, False), (0, 1, 2, False), (1, 1, 1, True), (2, 1, 1, False)]
