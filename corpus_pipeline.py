@@ -28,10 +28,14 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest id, and of rows that repeat it any one equal to it."""
-    kept = jaccard.near_copies(docs).where("kept or doc_id is null").select("doc_id").where("doc_id is not null").distinct()
-    first = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return first.join(kept, "doc_id").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One row of each class of near copies: the one with the smallest id, whatever ids are null or repeat.
+
+    Rows are told apart by a number of their own, so different texts of one id
+    all stay and copies without an id go.
+    """
+    rows = jaccard.numbered(docs, "near-copies")
+    found = jaccard.row_classes(rows.select("_row", F.col("doc_id").alias("_key"), F.col("text").cast("string").alias("_text")))
+    return rows.join(found.where("first").select("_row"), "_row").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,3 +101,13 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0
+
+
+def test_near_copies_by_rows_where_ids_are_null_or_repeat(spark):
+    def text(word, n=40):
+        return " ".join(f"{word}{i}" for i in range(n))
+    rows = [(4, text("a")), (4, text("b")), (4, text("c")), (3, text("b", 41)), (None, text("d")), (None, text("d")), (None, text("e")),
+            (7, text("f")), (None, text("f")), (None, text("g")), (None, text("g", 41)), (5, text("h")), (5, text("h"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = sorted((r["doc_id"] or 0, r["text"][0]) for r in corpus_pipeline.near_copies(spark, docs, FOLDER).collect())
+    assert got == [(0, "d"), (0, "e"), (0, "g"), (3, "b"), (4, "a"), (4, "c"), (5, "h"), (7, "f")]
