@@ -19,13 +19,15 @@ BLOCK = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search "
     "section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style noscript template svg math iframe object canvas textarea title audio video head".split())
+SILENT = frozenset("script style noscript template svg math iframe object canvas textarea title audio video noframes".split())
 #: An opening tag that ends an open element of these kinds, unless one of the stops lies between.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+#: Where a silent element of the head ends at the latest. A script or style may name these tags.
+PAST_HEAD = r"(?=</head\s*>|<body\b)"
 DEEPEST = 256
 
 
@@ -49,7 +51,8 @@ def blocks(page: str | None) -> list[Block]:
 
     Null and empty pages have none. Broken markup is read as far as it goes:
     missing ends are implied, stray ends ignored, comments and scripts that
-    never end hide the rest.
+    never end hide the rest. ``head`` ends at whatever cannot belong to it, so
+    its tags may be left out; what is silent in it is skipped by itself.
     """
     if not page:
         return []
@@ -85,7 +88,8 @@ def blocks(page: str | None) -> list[Block]:
         attributes = found[3] or found[6] or ""
         if tag in SILENT:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\s*>" + (r"|(?=<body\b)" if tag == "head" else ""), re.I).search(page, at)
+                own = rf"</{tag}\s*>" + (f"|{PAST_HEAD}" if tag in ("title", "noscript") else "")
+                end = re.compile(own, re.I).search(page, at) or re.compile(PAST_HEAD, re.I).search(page, at)
                 at = end.end() if end else len(page)
             held.append(" ")
         elif tag == "a":

@@ -30,6 +30,16 @@ def test_broken_pages_do_not_crash(page):
     assert all(b.text for b in blocks(page))
 
 
+@pytest.mark.parametrize("page, texts", [
+    ("<head><meta charset=utf-8><title>T</title><p>text one<p>two", ["text one", "two"]),
+    ("<html><head><title>T</title><style>p{}</style><script>'</head><body>'</script><link rel=x><div>a</div>", ["a"]),
+    ("<head><title>T</title>plain text", ["plain text"]),
+    ("<head><title>T</head><body><p>a</p>", ["a"]), ("<head><title>T<body><svg><title>t</title></svg><p>a</p>", ["a"]),
+    ("<head><noscript><style>x</style></noscript><script>x</head><body><p>a</p>", ["a"]), ("<head></head><p>a", ["a"]), ("<head><script>x", [])])
+def test_head_ends_where_its_tags_are_left_out(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     net = hm.Network.fresh()
