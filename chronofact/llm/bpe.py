@@ -65,14 +65,20 @@ def tokenizer(path: str = RANKS):
 
 @functools.cache
 def token_bytes(path: str = RANKS) -> list[bytes]:
-    """The bytes of each id; ids without a token have none."""
-    ranks = read_ranks(path)
-    out = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
+    """The bytes of each id, from the tokenizer's own strings by the byte table reversed; ids without a token have none."""
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    vocabulary = tokenizer(path).get_vocab(with_added_tokens=False)
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for shown, at in vocabulary.items():
+        out[at] = bytes([byte_of[c] for c in shown])
     return out
 
 
+@functools.cache
+def token_lengths(path: str = RANKS) -> np.ndarray:
+    return np.array([len(t) for t in token_bytes(path)], np.int64)
+
+
 def _pack(texts: list[str], path: str) -> list[bytes]:
     found = tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)
     return [np.asarray(e.ids, "<u4").tobytes() for e in found]
@@ -110,6 +116,17 @@ def decode_pieces(ids: Sequence[int], path: str = RANKS) -> list[str]:
     return [reader.decode(table[i], final=k == len(ids) - 1) for k, i in enumerate(ids)]
 
 
+def packed_offsets(ids: np.ndarray, decoded: bytes, path: str = RANKS) -> bytes:
+    """Start and end character of each id as little-endian unsigned 32-bit integers.
+
+    An id that holds part of a character has the offsets of the whole character.
+    """
+    lengths = token_lengths(path)[ids]
+    ends = np.cumsum(lengths)
+    char = np.cumsum((np.frombuffer(decoded, np.uint8) & 0xC0) != 0x80)
+    return np.stack([char[ends - lengths] - 1, char[ends - 1]], 1).astype("<u4").tobytes() if len(ids) else b""
+
+
 def _added(df: DataFrame, names: Sequence[tuple[str, T.DataType]]) -> T.StructType:
     new = {n for n, _ in names}
     kept = [f for f in df.schema.fields if f.name not in new]
@@ -155,21 +172,26 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str = RANKS) -> DataFrame
 
 
 def round_trip(docs: DataFrame, text: str = "text", path: str = RANKS) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``packed_ids`` and ``decoded`` in one pass of each batch.
+    """``docs`` with ``n_tokens``, ``packed_ids``, ``packed_offsets`` and ``decoded`` in one pass of each batch.
 
     ``packed_ids`` are little-endian unsigned 32-bit integers, ``decoded`` the
-    bytes decoded from them. Nulls and empty texts give empty values.
+    bytes decoded from them and ``packed_offsets`` the start and end character
+    of each id. Nulls and empty texts give empty values.
     """
-    schema = _added(docs, [("n_tokens", T.LongType()), ("packed_ids", T.BinaryType()), ("decoded", T.BinaryType())])
+    schema = _added(docs, [("n_tokens", T.LongType()), ("packed_ids", T.BinaryType()), ("packed_offsets", T.BinaryType()),
+                           ("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
             for start, end in calls(texts):
                 packed = packed_ids(texts[start:end], path)
-                back = [decode_bytes(np.frombuffer(p, "<u4").tolist(), path) for p in packed]
+                ids = [np.frombuffer(p, "<u4") for p in packed]
+                back = [decode_bytes(i.tolist(), path) for i in ids]
+                spans = [packed_offsets(i, b, path) for i, b in zip(ids, back, strict=True)]
                 yield _extended(batch.slice(start, end - start), {
                     "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()),
-                    "packed_ids": pa.array(packed, pa.binary()), "decoded": pa.array(back, pa.binary())})
+                    "packed_ids": pa.array(packed, pa.binary()), "packed_offsets": pa.array(spans, pa.binary()),
+                    "decoded": pa.array(back, pa.binary())})
 
     return docs.mapInArrow(run, schema)

@@ -71,3 +71,18 @@ def test_both_tiers_give_library_counts(texts):
     table = token_counts.compact(["the", " the", "é"], token_counts.TOKENIZER)
     memory = pieces.Memory(lambda p: token_counts.lengths(p, token_counts.TOKENIZER), token_counts.opened(table), limit=5)
     assert token_counts.count_batch(texts, memory, token_counts.TOKENIZER) == token_counts.lengths(texts, token_counts.TOKENIZER)
+
+
+def test_round_trip_offsets_equal_the_library(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    want = {r["doc_id"]: [(o["start"], o["end"]) for o in r["offsets"]] for r in bpe.encode(docs).collect()}
+    for row in bpe.round_trip(docs).collect():
+        assert np.frombuffer(row["packed_offsets"], "<u4").reshape(-1, 2).tolist() == [list(o) for o in want[row["doc_id"]]]
+
+
+def test_decoding_reverses_the_byte_table(monkeypatch):
+    ranks = bpe.read_ranks(bpe.RANKS)
+    assert [*bpe.token_bytes()] == sorted(ranks, key=ranks.__getitem__)
+    bpe.tokenizer()
+    monkeypatch.setattr(bpe, "read_ranks", lambda path: {})
+    assert bpe.token_bytes.__wrapped__() == bpe.token_bytes()
