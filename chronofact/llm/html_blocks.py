@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
+from collections import defaultdict
 from dataclasses import dataclass
 
 TOKEN = re.compile(
@@ -28,6 +30,7 @@ ENDS = {
 }
 #: Where a silent element of the head ends at the latest. A script or style may name these tags.
 PAST_HEAD = r"(?=</head\s*>|<body\b)"
+#: Elements from the outermost that a block's path names; deeper ones are open, too, but not named.
 DEEPEST = 256
 
 
@@ -57,7 +60,10 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[str] = []
+    path: list[str] = []
+    # places of the open elements of each name in the stack, so that no tag searches a deep stack
+    places: defaultdict[str, list[int]] = defaultdict(list)
     held: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -66,10 +72,15 @@ def blocks(page: str | None) -> list[Block]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(tuple(label for _, label in stack), text, min(1.0, linked / len(text))))
+                out.append(Block(tuple(path), text, min(1.0, linked / len(text))))
             held.clear()
         linked = 0
 
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop()].pop()
+        del path[k:]
+
     def take(raw: str) -> None:
         nonlocal linked
         if raw:
@@ -99,22 +110,18 @@ def blocks(page: str | None) -> list[Block]:
         elif tag in BLOCK:
             flush()
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if places[tag]:
+                    cut(places[tag][-1])
             else:
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
+                if stack and stack[-1] == "p":
+                    cut(len(stack) - 1)
                 ended, stops = ENDS.get(tag, ((), ()))
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ended:
-                        del stack[k:]
-                    elif stack[k][0] in stops:
-                        break
-                    elif not ended:
-                        break
-                if tag != "hr" and not attributes.endswith("/") and len(stack) < DEEPEST:
-                    stack.append((tag, labels(tag, attributes)))
+                stop = max((places[t][-1] for t in stops if places[t]), default=-1)
+                cut(min((places[t][k] for t in ended if (k := bisect(places[t], stop)) < len(places[t])), default=len(stack)))
+                if tag != "hr" and not attributes.endswith("/"):
+                    if len(stack) < DEEPEST:
+                        path.append(labels(tag, attributes))
+                    places[tag].append(len(stack))
+                    stack.append(tag)
     flush()
     return out

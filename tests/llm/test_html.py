@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from chronofact.llm import html_main_text as hm
-from chronofact.llm.html_blocks import blocks
+from chronofact.llm.html_blocks import DEEPEST, blocks
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><script>var a="</p><p>no";</script>
 <header class="site-header"><a href="/">Site</a></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
@@ -40,6 +40,21 @@ def test_head_ends_where_its_tags_are_left_out(page, texts):
     assert [b.text for b in blocks(page)] == texts
 
 
+def test_ends_of_very_deep_elements_leave_their_ancestors_open():
+    page = "<article><div class=a>" + "<div>" * 400 + "deep" + "</div>" * 400 + "<p>near</p></div><p>last</p></article><p>out"
+    found = {b.text: b.path for b in blocks(page)}
+    assert len(found["deep"]) == DEEPEST and found["near"] == ("article", "div.a", "p")
+    assert found["last"] == ("article", "p") and found["out"] == ("p",)
+
+
+def test_lists_and_tables_imply_ends():
+    page = "<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>e<table><tr><td>f<td>g<tr><th>h</table>i<td>j<tr><td>k</table><dl><dt>l<dd>m<dt>n"
+    assert {b.text: "/".join(b.path) for b in blocks(page)} == {
+        "a": "ul/li", "b": "ul/li/ul/li", "c": "ul/li/ul/li", "d": "ul/li", "e": "table/tr/td", "f": "table/tr/td/table/tr/td",
+        "g": "table/tr/td/table/tr/td", "h": "table/tr/td/table/tr/th", "i": "table/tr/td", "j": "table/tr/td", "k": "table/tr/td",
+        "l": "dl/dt", "m": "dl/dd", "n": "dl/dt"}
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(0)
     net = hm.Network.fresh()
