@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import bpe, caps, html_main_text, jaccard, licenses, mixing, quality, sharding, token_counts, toxicity
+from . import bpe, caps, html_main_text, jaccard, licenses, mixing, piece_codec, quality, sharding, token_counts, toxicity
 from .columns import words
 
 QUERIES: dict[str, Query] = {}
@@ -147,3 +147,10 @@ SELECT doc_id, slot, ('0x' || substring('{digits}', slot * 4 + 1, 4))::INT AS sh
 @query("op10_sharding", shard_sql())
 def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.place(table(spark, sf, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+@query("op11_piece_codec")
+def op11_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return piece_codec.round_trip(docs).select("doc_id", "n_tokens", F.sha2("packed_ids", 256).alias("ids_sha256"),
+                                               F.sha2("decoded", 256).alias("decoded_sha256"))
