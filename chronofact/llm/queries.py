@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import bpe, caps, html_main_text, jaccard, licenses, mixing, piece_codec, quality, sharding, token_counts, toxicity
+from . import bpe, caps, dialogue, html_main_text, jaccard, licenses, mixing, piece_codec, quality, sharding, token_counts, toxicity
 from .columns import words
 
 QUERIES: dict[str, Query] = {}
@@ -154,3 +154,61 @@ def op11_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return piece_codec.round_trip(docs).select("doc_id", "n_tokens", F.sha2("packed_ids", 256).alias("ids_sha256"),
                                                F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def repair_sql() -> str:
+    """Edits as a recursion over the rows of a conversation and the four states of the role pattern."""
+    table = []
+    for byte in range(256):  # the checksum's table, from its polynomial
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    shifts = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    inserts = [(q, q, "") for q in range(4)] + [(0, 2, "I"), (1, 2, "I"), (2, 3, "I"), (3, 2, "I"), (0, 3, "II"), (1, 3, "II")]
+    moves = [f"({q}, 'D', '', {5 * len(i) + 2}, '{i}D', {at})" for q, at, i in inserts]
+    moves += [f"({q}, 'K', '{x}', {5 * len(i)}, '{i}K', {to})" for q, at, i in inserts for (base, x), to in shifts.items() if base == at]
+    moves += [f"({q}, 'R', '', {5 * len(i) + 1}, '{i}R', {to})" for q, at, i in inserts for (base, x), to in shifts.items() if base == at and x != "s"]
+    return f"""WITH RECURSIVE
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS bytes,
+    {table}::BIGINT[] AS crc FROM conversations),
+k AS (SELECT * EXCLUDE (bytes, crc), xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
+    lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+    rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS solid FROM d),
+o AS (SELECT conv_id, turn, role, text, role[1] AS initial,
+    CASE WHEN solid = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN solid[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    row_number() OVER w AS i, lag(role[1]) OVER w || role[1] AS pair FROM n
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen)),
+a AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 'b')::BIGINT AS blank,
+    count_if(fault = 'd')::BIGINT AS duplicate, count_if(fault = 't')::BIGINT AS truncated,
+    count_if(pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal, count(*) AS n FROM o GROUP BY conv_id),
+m(q, edit, initial, weight, letters, q2) AS (VALUES {", ".join(moves)}),
+p AS (SELECT conv_id, 0::BIGINT AS i, 0 AS q, '000000000' AS w FROM a
+    UNION ALL SELECT conv_id, i, q2, min(w) FROM (SELECT p.conv_id, o.i, m.q2, lpad((left(w, 9)::BIGINT + m.weight
+        + CASE WHEN fault = 't' AND edit <> 'D' THEN 5 ELSE 0 END)::VARCHAR, 9, '0') || substr(w, 10) || letters AS w
+      FROM p JOIN o ON o.conv_id IS NOT DISTINCT FROM p.conv_id AND o.i = p.i + 1 JOIN m ON m.q = p.q
+        AND (edit = 'D' OR (fault NOT IN ('b', 'd') AND (edit = 'R' OR m.initial = o.initial)))) GROUP BY conv_id, i, q2),
+e AS (SELECT a.conv_id, min(lpad((left(w, 9)::BIGINT + z.weight)::VARCHAR, 9, '0') || substr(w, 10) || z.letters) AS w
+    FROM a JOIN p ON p.conv_id IS NOT DISTINCT FROM a.conv_id AND p.i = a.n
+    JOIN (VALUES (0, 0, ''), (3, 0, ''), (2, 5, 'I'), (1, 10, 'II')) AS z(q, weight, letters) ON z.q = p.q GROUP BY a.conv_id),
+l AS (SELECT conv_id, k, substr(w, 9 + k, 1) AS edit FROM e, unnest(range(1, len(w) - 8)) AS u(k)),
+g AS (SELECT *, count_if(edit <> 'I') OVER s AS i, count_if(edit <> 'D') OVER s AS place FROM l WINDOW s AS (PARTITION BY conv_id ORDER BY k)),
+h AS (SELECT g.*, o.role, o.text, max(CASE WHEN place = 1 AND edit = 'K' AND o.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY g.conv_id) AS led
+    FROM g LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM g.conv_id AND o.i = g.i AND edit <> 'I'),
+r AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY k)) AS sha FROM h WHERE edit <> 'D' GROUP BY conv_id)
+SELECT t.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(w, 9)::BIGINT, 0) AS cost,
+  coalesce(substr(w, 10), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM t.conv_id
+LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
+
+@query("op13_dialogue_repair", repair_sql())
+def op13_dialogue_repair(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogue.summarise(dialogue.damage(turns), times=F.col("times"))
