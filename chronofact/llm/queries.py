@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.registry import Query
 from ..sources.tables import table
-from . import bpe, caps, dialogue, html_main_text, jaccard, licenses, mixing, piece_codec, quality, sharding, token_counts, toxicity
+from . import bpe, caps, dialogue, html_main_text, jaccard, licenses, mixing, piece_codec, quality, sharding, token_counts, toxicity, whitening
 from .columns import words
 
 QUERIES: dict[str, Query] = {}
@@ -212,3 +212,8 @@ LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN r ON r.conv_id
 def op13_dialogue_repair(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     return dialogue.summarise(dialogue.damage(turns), times=F.col("times"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
