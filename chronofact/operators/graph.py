@@ -8,7 +8,7 @@ rational or boolean. Nodes and edges are plain DataFrames.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import identity, instants
 from .skew import fits_broadcast, lookup_join
@@ -17,6 +17,8 @@ from .skew import fits_broadcast, lookup_join
 PREDICATE_LABEL = "Quan hệ/vị từ"
 TRIPLE_LABEL = "Bộ ba bắt buộc"
 UNBOUNDED_LABEL = "không giới hạn"
+#: Stands in texts where a value is null, so that nothing around it is lost.
+GAP = "?"
 
 
 def assertions(records: DataFrame) -> DataFrame:
@@ -31,10 +33,20 @@ def _tag(name: str) -> Column:
     return F.get_json_object("object", f"$.{name}")
 
 
+def shown(value: Column | str) -> Column:
+    """``value`` as text, with :data:`GAP` for null."""
+    return F.coalesce((F.col(value) if isinstance(value, str) else value).cast("string"), F.lit(GAP))
+
+
+def _listed(items: Column, text) -> Column:
+    """``text`` of each item, joined by commas; a null list is a gap, an empty one empty."""
+    return F.coalesce(F.array_join(F.transform(items, text), ","), F.lit(GAP))
+
+
 def value_text(object_type: Column) -> Column:
     """Text of a literal object: rationals as n/d, booleans in lower case."""
-    return F.when(object_type == "rational", F.concat(_tag("value.n"), F.lit("/"), _tag("value.d"))).otherwise(
-        _tag("value"))
+    return F.when(object_type == "rational", F.concat(shown(_tag("value.n")), F.lit("/"), shown(_tag("value.d")))).otherwise(
+        shown(_tag("value")))
 
 
 def named(kind: Column, name: Column, node: Column) -> Column:
@@ -42,25 +54,25 @@ def named(kind: Column, name: Column, node: Column) -> Column:
 
 
 def edges(records: DataFrame, entities: DataFrame) -> DataFrame:
-    """One edge per assertion; a literal object becomes a node of its own."""
+    """One edge per assertion; a literal object becomes a node of its own. Nulls leave a gap in ``fact``, never the whole of it."""
     rows = assertions(records).withColumn("object_type", _tag("type"))
     is_ref = F.col("object_type") == "entity_ref"
     rows = rows.withColumn("target_id", F.when(is_ref, _tag("value")).otherwise(
         F.concat(F.lit("value:"), "assertion_id")))
     s = entities.select(F.col("entity_id").alias("subject_id"), F.col("entity_type").alias("_st"), F.col("name").alias("_sn"))
     o = entities.select(F.col("entity_id").alias("target_id"), F.col("entity_type").alias("_ot"), F.col("name").alias("_on"))
-    # Few targets may own most references, and literals have no target to look up.
-    subjects = rows.join(s, "subject_id", "left")
+    # Few subjects and few targets may own most assertions, and literals have no target to look up.
+    subjects = lookup_join(rows, s, ["subject_id"], "left", small_fits=fits_broadcast(s), salt=F.col("assertion_id"))
     looked_up = lookup_join(subjects.where(is_ref), o, ["target_id"], "left", small_fits=fits_broadcast(o), salt=F.col("assertion_id"))
     joined = looked_up.unionByName(subjects.where(~is_ref | F.col("object_type").isNull()), allowMissingColumns=True)
-    subject = named(F.coalesce("_st", F.lit("ENTITY")), F.coalesce("_sn", "subject_id"), F.col("subject_id"))
-    literal = F.concat("predicate", F.lit(" = "), value_text(F.col("object_type")), F.lit(" [id="), "target_id", F.lit("]"))
-    target = F.when(is_ref, named(F.coalesce("_ot", F.lit("ENTITY")), F.coalesce("_on", "target_id"), F.col("target_id"))) \
+    subject = named(F.coalesce("_st", F.lit("ENTITY")), shown(F.coalesce("_sn", "subject_id")), shown("subject_id"))
+    literal = F.concat(shown("predicate"), F.lit(" = "), value_text(F.col("object_type")), F.lit(" [id="), shown("target_id"), F.lit("]"))
+    target = F.when(is_ref, named(F.coalesce("_ot", F.lit("ENTITY")), shown(F.coalesce("_on", "target_id")), shown("target_id"))) \
         .otherwise(literal)
     return joined.select(
         identity.stable_id("edge", F.col("assertion_id")).alias("edge_id"), "record_id", "assertion_id", "pos",
         "subject_id", "predicate", "target_id", "object_type", "known_at", "source_id", "operation",
-        F.concat(subject, F.lit(" "), "predicate", F.lit(" "), target).alias("fact"),
+        F.concat(subject, F.lit(" "), shown("predicate"), F.lit(" "), target).alias("fact"),
         *[c for c in ("valid_from", "valid_to", "event_time", "source_refs", "qualifiers") if c in rows.columns])
 
 
@@ -71,10 +83,11 @@ def nodes(edge_rows: DataFrame) -> DataFrame:
 
 
 def _valid(edge_rows: DataFrame) -> Column:
-    def shown(name: str, missing: str) -> Column:
-        return F.coalesce(instants.utc_text(name), F.lit(missing)) if name in edge_rows.columns else F.lit(missing)
+    def end(name: str) -> Column:
+        missing = F.lit(UNBOUNDED_LABEL)
+        return F.coalesce(instants.utc_text(name), missing) if name in edge_rows.columns else missing
 
-    interval = F.concat(F.lit("["), shown("valid_from", UNBOUNDED_LABEL), F.lit(", "), shown("valid_to", UNBOUNDED_LABEL), F.lit(")"))
+    interval = F.concat(F.lit("["), end("valid_from"), F.lit(", "), end("valid_to"), F.lit(")"))
     if "event_time" not in edge_rows.columns:
         return interval
     return F.when(F.col("event_time").isNotNull(), instants.utc_text("event_time")).otherwise(interval)
@@ -85,12 +98,12 @@ def _provenance(edge_rows: DataFrame) -> Column:
     parts = []
     if "qualifiers" in edge_rows.columns:
         pairs = F.array_sort(F.map_entries("qualifiers"))
-        listed = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+        listed = _listed(pairs, lambda e: F.concat(shown(e["key"]), F.lit("="), shown(e["value"])))
         parts.append(F.when(F.size("qualifiers") > 0, F.concat(F.lit("; qualifiers: "), listed)))
     if "source_refs" in edge_rows.columns:
-        refs = F.transform("source_refs", lambda r: F.concat(
-            r["document_revision_id"], F.lit("["), F.array_join(r["clause_ids"], ","), F.lit("]")))
-        parts.append(F.when(F.size("source_refs") > 0, F.concat(F.lit("; sources: "), F.array_join(refs, ","))))
+        refs = _listed(F.col("source_refs"), lambda r: F.concat(
+            shown(r["document_revision_id"]), F.lit("["), _listed(r["clause_ids"], shown), F.lit("]")))
+        parts.append(F.when(F.size("source_refs") > 0, F.concat(F.lit("; sources: "), refs)))
     return F.concat(*[F.coalesce(p, F.lit("")) for p in parts]) if parts else F.lit("")
 
 
@@ -99,19 +112,21 @@ def episodes(records: DataFrame, edge_rows: DataFrame) -> DataFrame:
 
     A record without assertions, such as a retraction, has its head line only.
     The assertions of a record lay in one row before, so the group is bounded.
+    Nulls leave a gap; no record, line or source disappears.
     """
-    line = F.concat(F.lit(f"{TRIPLE_LABEL}: "), "fact", F.lit(f"; {PREDICATE_LABEL}: "), "predicate",
+    line = F.concat(F.lit(f"{TRIPLE_LABEL}: "), shown("fact"), F.lit(f"; {PREDICATE_LABEL}: "), shown("predicate"),
                     F.lit("; valid: "), _valid(edge_rows), _provenance(edge_rows))
     grouped = edge_rows.select("record_id", "pos", line.alias("line")).groupBy("record_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
-    head = F.concat(F.lit("record_id="), "record_id", F.lit(" source_id="), "source_id", F.lit(" known_at="),
-                    instants.utc_text("known_at"), F.lit(" operation="), "operation")
+    head = F.concat(F.lit("record_id="), shown("record_id"), F.lit(" source_id="), shown("source_id"), F.lit(" known_at="),
+                    shown(instants.utc_text("known_at")), F.lit(" operation="), shown("operation"))
     if "target_assertion_ids" in records.columns:
-        targets = F.coalesce(F.array_join("target_assertion_ids", ","), F.lit(""))
+        targets = F.coalesce(F.array_join(F.transform("target_assertion_ids", shown), ","), F.lit(""))
         head = F.concat(head, F.when(targets != "", F.concat(F.lit(" targets="), targets)).otherwise(F.lit("")))
     heads = records.select("record_id", head.alias("_head"))
+    grouped = grouped.withColumnRenamed("record_id", "_record")
     lines = F.coalesce("_l", F.array().cast(grouped.schema["_l"].dataType))
-    return heads.join(grouped, "record_id", "left").select(
+    return heads.join(grouped, F.col("record_id").eqNullSafe(F.col("_record")), "left").select(
         "record_id", F.size(lines).alias("assertion_count"),
         F.array_join(F.concat(F.array("_head"), F.transform(lines, lambda x: x["line"])), "\n").alias("text"))
 
@@ -141,13 +156,28 @@ def lineage(edge_rows: DataFrame, episode_rows: DataFrame) -> DataFrame:
     return edge_rows.select("edge_id", "record_id", "assertion_id").join(known, "record_id")
 
 
+def ordered(value: Column, kind: T.DataType) -> Column:
+    """``value`` in a form that can be compared: maps, at any depth, as their sorted entries."""
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(
+            ordered(e["key"], kind.keyType).alias("k"), ordered(e["value"], kind.valueType).alias("v")))
+        return F.array_sort(entries)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: ordered(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[ordered(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), fields)
+    return value
+
+
 def one_copy(rows: DataFrame, key: str) -> DataFrame:
-    """One row per key: the smallest by all other columns, which must be orderable, so repeats choose alike."""
-    others = [c for c in rows.columns if c != key]
+    """One row per key: the smallest by all other columns, maps by their sorted entries, so repeats choose alike."""
+    others = [f for f in rows.schema.fields if f.name != key]
     if not others:
         return rows.distinct()
-    return rows.groupBy(key).agg(F.min(F.struct(*others)).alias("_r")).select(
-        *[F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in rows.columns])
+    by = F.struct(*[ordered(F.col(f"`{f.name}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(others)])
+    return rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{f.name}`") for f in others]), by).alias("_r")).select(
+        *[F.col(c) if c == key else F.col(f"_r.`{c}`").alias(c) for c in rows.columns])
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

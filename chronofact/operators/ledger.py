@@ -100,22 +100,14 @@ def as_of_view(records: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def select_fact(view: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFrame:
-    """Status of each requested (ledger_id, logical_fact_id).
+def decide(open_rows: DataFrame, sources: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Status of each of ``facts``, which has ``keys``, by its ``open_rows``: keys, assertion_id, source_id, object.
 
-    ``accepted`` with the value when the open assertions of the best authority
-    agree, ``unresolved_conflict`` when they differ, ``missing`` when none is
-    open, ``unknown_source`` when an open assertion comes from a source that is
-    not registered, since no authority can then be the best. Objects compare
-    by their canonical text. Two partial aggregations; assertions of one fact
-    are never gathered in one place.
+    Two partial aggregations; assertions of one fact are never gathered in one place.
     """
-    known = sources.select("source_id", F.coalesce("authority_rank", F.lit(_NO_RANK)).alias("authority_rank"))
-    ranked = view.where("known_to is null").join(known, "source_id", "left").withColumn(
-        "authority_rank", F.coalesce("authority_rank", F.lit(_UNKNOWN)))
-    keys = ["ledger_id", "logical_fact_id"]
-    per_rank = ranked.groupBy(*keys, "authority_rank").agg(
-        F.min("assertion.object").alias("low"), F.max("assertion.object").alias("high"),
+    keys = list(keys)
+    per_rank = with_authority(open_rows, sources).groupBy(*keys, "authority_rank").agg(
+        F.min("object").alias("low"), F.max("object").alias("high"),
         F.count("*").alias("support"), F.min("assertion_id").alias("first_assertion_id"))
     best = per_rank.groupBy(*keys).agg(F.min_by(F.struct(
         "authority_rank", "low", "high", "support", "first_assertion_id"), "authority_rank").alias("b"))
@@ -132,6 +124,26 @@ def select_fact(view: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFr
     )
 
 
+def with_authority(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with the ``authority_rank`` of their source; one that is not registered comes before all ranks."""
+    known = sources.select("source_id", F.coalesce("authority_rank", F.lit(_NO_RANK)).alias("authority_rank"))
+    return rows.join(known, "source_id", "left").withColumn("authority_rank", F.coalesce("authority_rank", F.lit(_UNKNOWN)))
+
+
+def select_fact(view: DataFrame, sources: DataFrame, facts: DataFrame) -> DataFrame:
+    """Status of each requested (ledger_id, logical_fact_id).
+
+    ``accepted`` with the value when the open assertions of the best authority
+    agree, ``unresolved_conflict`` when they differ, ``missing`` when none is
+    open, ``unknown_source`` when an open assertion comes from a source that is
+    not registered, since no authority can then be the best. Objects compare
+    by their canonical text.
+    """
+    open_rows = view.where("known_to is null").select(
+        "ledger_id", "logical_fact_id", "assertion_id", "source_id", F.col("assertion.object").alias("object"))
+    return decide(open_rows, sources, facts, ["ledger_id", "logical_fact_id"])
+
+
 def supporting_assertions(view: DataFrame, sources: DataFrame, decisions: DataFrame) -> DataFrame:
     """The open assertions of the best authority behind each decision, one row each."""
     ranked = view.where("known_to is null").join(sources.select("source_id", "authority_rank"), "source_id")
@@ -230,8 +242,9 @@ def reduce_prefix(records: DataFrame, sources: DataFrame, as_of: Column, bounds:
                   check_payload: bool = True) -> tuple[DataFrame, DataFrame]:
     """The as-of view of the ledgers whose prefix known at ``as_of`` is valid, and the first violation of each other ledger.
 
-    A ledger is in exactly one of the two, so an invalid history never looks like a state.
+    A ledger is in exactly one of the two, also one whose id is null, so an invalid history never looks like a state.
     """
     prefix = known_prefix(records, as_of)
     rejected = validate_ledger(prefix, sources, bounds, check_payload=check_payload)
-    return as_of_view(prefix, as_of).join(rejected.select("ledger_id"), "ledger_id", "left_anti"), rejected
+    bad = rejected.select(F.col("ledger_id").alias("_bad"))
+    return as_of_view(prefix, as_of).join(bad, F.col("ledger_id").eqNullSafe(F.col("_bad")), "left_anti"), rejected

@@ -145,3 +145,21 @@ def first_after(df: DataFrame, keys: Sequence[str], order: Sequence[str], values
                 bounds: Sequence[float] = ()) -> DataFrame:
     """Add, per row, the first non-null value strictly after it within its key."""
     return _neighbour(df, keys, order, values, bounds, backwards=True)
+
+
+def number_rows(df: DataFrame, by: str, bounds: Sequence[float] = (), name: str = "row_no") -> DataFrame:
+    """Add ``name``, the place from 0 of each row in the order of ``by``, nulls first; equal values share no place.
+
+    A window inside each slice between ``bounds`` counts on from the rows of
+    the slices before, of which there are as many as slices.
+    """
+    sliced = with_slices(df, by, bounds) if bounds else df.withColumn(
+        "_slice", F.when(F.col(by).isNull(), NULL_SLICE).otherwise(0))
+    sizes = {r["_slice"]: r["count"] for r in sliced.groupBy("_slice").count().collect()}
+    before, start = [], 0
+    for at in sorted(sizes):
+        before += [F.lit(at), F.lit(start).cast("bigint")]
+        start += sizes[at]
+    inside = F.row_number().over(W.partitionBy("_slice").orderBy(F.col(by).asc_nulls_first()))
+    offset = F.create_map(*before)[F.col("_slice")] if before else F.lit(0).cast("bigint")
+    return sliced.withColumn(name, offset + inside - 1).drop("_slice")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import coverage, evaluation, evidence, inventory, lexical
+from ..operators import coverage, evaluation, evidence, inventory, lexical, tablediff
+from ..operators.skew import fits_broadcast, lookup_join, number_rows, slice_bounds
+from ..session import scratch_path
 from ..sources.tables import spread, table
 from .registry import query
 from .retrieval import WS, bm25_sql
@@ -224,15 +226,16 @@ items AS (SELECT CAST(top.query_id AS VARCHAR) AS query_id, 'd' || doc_id AS evi
    coalesce(toxic, 0) = 0 AS eligible, {WORDS} AS cost FROM top JOIN documents USING (doc_id) LEFT JOIN labels USING (doc_id)),
 {greedy_sql('items', BUDGET, CAP)},
 cand AS (SELECT query_id, evidence_id FROM items WHERE eligible),
-atoms AS (SELECT CAST(doc_id % 40 AS VARCHAR) AS query_id, 'd' || doc_id AS evidence_id, lang AS modality, toxic = 0 AS available,
-   CASE WHEN quality = 1 THEN 'primary' ELSE 'secondary' END AS role FROM labels JOIN documents USING (doc_id)),
+places AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark),
+atoms AS (SELECT CAST(item_id AS VARCHAR) AS query_id, 'd' || doc_id AS evidence_id, lang AS modality, toxic = 0 AS available,
+   CASE WHEN quality = 1 THEN 'primary' ELSE 'secondary' END AS role FROM labels JOIN documents USING (doc_id) JOIN places ON doc_id % n = place),
 att AS (SELECT a.*, c.evidence_id IS NOT NULL AS in_candidates, p.evidence_id IS NOT NULL AS in_selected
   FROM atoms a LEFT JOIN cand c USING (query_id, evidence_id) LEFT JOIN picked p USING (query_id, evidence_id))
 """
 
 
 def support(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled documents as required evidence of benchmark queries; candidates are what the search returns for them."""
+    """Labelled documents as required evidence of benchmark queries, dealt over all of them; candidates are what the search returns for them."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     labels = table(spark, sf, "labels")
     found = lexical.bm25_search(docs.select("doc_id", "text"), table(spark, sf, "benchmark"), key=["doc_id"], query_key="item_id")
@@ -242,8 +245,12 @@ def support(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.coalesce("toxic", F.lit(0)) == 0, "eligible").otherwise("ineligible").alias("eligibility"), tx.word_count("text").alias("token_cost"))
     chosen = evidence.select_evidence(items, token_budget=BUDGET, per_source_cap=CAP)
     candidates = items.where("eligibility = 'eligible'")
-    atoms = labels.join(docs.select("doc_id", "lang"), "doc_id").select(
-        (F.col("doc_id") % 40).cast("string").alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("evidence_id"), F.col("lang").alias("modality"),
+    benchmark = table(spark, sf, "benchmark").select("item_id")
+    places = number_rows(benchmark, "item_id", slice_bounds(benchmark, "item_id"), "place").select(F.col("item_id").cast("string").alias("query_id"), "place")
+    dealt = lookup_join(labels.withColumn("place", F.col("doc_id") % benchmark.count()), places, ["place"], "inner",
+                        small_fits=fits_broadcast(places), salt=F.col("doc_id"))
+    atoms = dealt.join(docs.select("doc_id", "lang"), "doc_id").select(
+        "query_id", F.concat(F.lit("d"), "doc_id").alias("evidence_id"), F.col("lang").alias("modality"),
         (F.col("toxic") == 0).alias("available"), F.when(F.col("quality") == 1, "primary").otherwise("secondary").alias("role"))
     return evaluation.attribute_support(atoms, candidates, chosen)
 
@@ -315,3 +322,21 @@ def terminal_traces(spark: SparkSession, sf: str) -> DataFrame:
 def terminal_status_counts(spark: SparkSession, sf: str) -> DataFrame:
     return traces(spark, sf).groupBy("runtime_status").agg(
         F.count("*").alias("n"), F.count_if("invariant_pass").alias("invariant_ok"))
+
+
+@query("table_compare", """WITH l AS (SELECT o_orderkey AS key, o_custkey, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
+r AS (SELECT key, o_custkey, o_orderstatus, CASE WHEN key % 1009 = 0 THEN cents + 1 ELSE cents END AS cents FROM l WHERE key % 997 <> 0
+  UNION ALL SELECT -key - 1, o_custkey, o_orderstatus, cents FROM l WHERE key % 1013 = 0)
+SELECT coalesce(l.key, r.key) AS key, CASE WHEN r.key IS NULL THEN 'lost' WHEN l.key IS NULL THEN 'added' ELSE 'changed' END AS state
+FROM l FULL OUTER JOIN r ON l.key = r.key WHERE l.key IS NULL OR r.key IS NULL
+  OR (l.o_custkey, l.o_orderstatus, l.cents) IS DISTINCT FROM (r.o_custkey, r.o_orderstatus, r.cents)""")
+def table_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders against a copy in which a few are changed, lost and added, by their digest trees."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    ours = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey", "o_orderstatus", cents.alias("cents"))
+    theirs = ours.where("key % 997 <> 0").withColumn("cents", F.when(F.col("key") % 1009 == 0, F.col("cents") + 1).otherwise(F.col("cents"))).unionByName(
+        ours.where("key % 1013 = 0").withColumn("key", -F.col("key") - 1))
+    paths = [scratch_path(spark, f"tree-{side}") for side in ("left", "right")]
+    for rows, path in zip((ours, theirs), paths, strict=True):
+        tablediff.write_tree(rows, path, "key", F.to_json(F.struct("o_custkey", "o_orderstatus", "cents")))
+    return tablediff.differences(spark, *paths)

@@ -96,18 +96,26 @@ EVENT_RECORDS = ledgers.FAULTED.split("src AS (")[0].rstrip().rstrip(",").replac
 SELECT record_id, len(opened) AS assertion_count, 'record_id=' || record_id || ' source_id=' || source_id || ' known_at=' ||
  strftime(known_at, '%Y-%m-%dT%H:%M:%S.%fZ') || ' operation=' || operation || (CASE WHEN len(targets) > 0 THEN ' targets=' || array_to_string(targets, ',') ELSE '' END) ||
  (CASE WHEN len(opened) = 0 THEN '' ELSE chr(10) || '{graph.TRIPLE_LABEL}: ENTITY "' || ledger_id || '" [id=' || ledger_id || '] {ledgers.PREDICATE} {ledgers.PREDICATE} = ' ||
-   CAST(round(e.value * 100) AS BIGINT) || ' [id=value:' || record_id || ']; {graph.PREDICATE_LABEL}: {ledgers.PREDICATE}; valid: ' ||
-   strftime(known_at, '%Y-%m-%dT%H:%M:%S.%fZ') || '; sources: events[' || record_id || ',' || source_id || ']' END) AS text
+   CASE WHEN event_id % 11 = 0 THEN '?/100' ELSE CAST(round(e.value * 100) AS BIGINT)::VARCHAR END || ' [id=value:' || record_id || ']; {graph.PREDICATE_LABEL}: {ledgers.PREDICATE}; valid: ' ||
+   strftime(known_at, '%Y-%m-%dT%H:%M:%S.%fZ') || '; sources: ' ||
+   CASE WHEN event_id % 7 = 0 THEN '?[?]' WHEN event_id % 5 = 0 THEN 'events[' || record_id || ',?]' ELSE 'events[' || record_id || ',' || source_id || ']' END END) AS text
 FROM r JOIN (SELECT event_id, value FROM events) e ON e.event_id = r.input_order""")
 def graph_event_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    """An episode for every record of the event ledger, retractions included, with targets and source references."""
+    """An episode for every record of the event ledger, retractions included, with targets and source references.
+
+    Some sources, clauses and fractions lack a part, which must leave a gap and no more.
+    """
     records = ledgers.ledger_records(spark, sf)
-    cited = records.withColumn("assertions", F.transform("assertions", lambda a: a.withField("source_refs", F.array(F.struct(
-        F.lit("events").alias("document_revision_id"), F.array("record_id", "source_id").alias("clause_ids"))))))
+    at = F.col("input_order")
+    clauses = F.when(at % 7 != 0, F.when(at % 5 == 0, F.array("record_id", F.lit(None).cast("string"))).otherwise(F.array("record_id", "source_id")))
+    refs = F.array(F.struct(F.when(at % 7 != 0, "events").alias("document_revision_id"), clauses.alias("clause_ids")))
+    cited = records.withColumn("assertions", F.transform("assertions", lambda a: a.withField("source_refs", refs).withField(
+        "object", F.when(at % 11 == 0, F.lit('{"type":"rational","value":{"d":100}}')).otherwise(a["object"]))))
     return graph.episodes(cited, graph.edges(cited, entities(spark, sf)))
 
 
-@query("graph_lineage", f"""WITH {EDGES} SELECT {stable_sql('edge', 'assertion_id')} AS edge_id, record_id, assertion_id, 5 AS assertion_count FROM edges""")
+@query("graph_lineage", f"""WITH {EDGES} SELECT {stable_sql('edge', 'assertion_id')} AS edge_id, record_id, assertion_id,
+ count(*) OVER (PARTITION BY record_id) AS assertion_count FROM edges""")
 def graph_lineage(spark: SparkSession, sf: str) -> DataFrame:
     made = customer_edges(spark, sf)
     return graph.lineage(made, graph.episodes(customer_records(spark, sf), made))

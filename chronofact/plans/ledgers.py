@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import identity, instants
-from ..operators import evaluation, ledger
+from ..operators import asof, counterfactual, evaluation, ledger
 from ..operators.skew import first_after, last_before, slice_bounds
 from ..sources.tables import table
 from .registry import query
@@ -149,6 +149,57 @@ def fact_support(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.supporting_assertions(current, sources(spark), made).drop("ledger_id")
 
 
+RANKS = "CASE source_id WHEN 'purchase' THEN 10 WHEN 'signup' THEN 10 WHEN 'view' THEN 20 ELSE 30 END"
+
+
+@query("ledger_as_of_requests", f"""WITH
+nx AS (SELECT *, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS next_same,
+  min(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_error
+  FROM events),
+iv AS (SELECT user_id, event_id, event_type AS source_id, ts AS known_from, least(next_same, next_error) AS known_to, {OBJECT} AS object
+  FROM nx WHERE event_type <> 'error'),
+q AS (SELECT o_orderkey, o_custkey // 10 AS user_id, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey * 7919 % 43200) AS known_as_of FROM orders),
+o AS (SELECT o_orderkey, {RANKS} AS authority_rank, object FROM q JOIN iv USING (user_id)
+  WHERE known_from <= known_as_of AND (known_to IS NULL OR known_as_of < known_to)),
+b AS (SELECT o_orderkey, authority_rank, count(DISTINCT object) AS n, min(object) AS value, count(*) AS support FROM o GROUP BY ALL
+  QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY authority_rank) = 1)
+SELECT o_orderkey, known_as_of, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'accepted' ELSE 'unresolved_conflict' END AS status,
+  CASE WHEN n = 1 THEN value END AS value, authority_rank, coalesce(support, 0) AS support FROM q LEFT JOIN b USING (o_orderkey)""")
+def ledger_as_of_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """What was known of a user at the instant of each order's question."""
+    events = table(spark, sf, "events")
+    bounds = slice_bounds(events, "ts")
+    records = event_records(events, bounds).drop("user_id", "props", "prev", "ts")
+    minutes = (F.col("o_orderkey") * 7919 % 43200).cast("int")
+    requests = table(spark, sf, "orders").select(
+        "o_orderkey", F.lit("events").alias("ledger_id"), F.call_function("div", F.col("o_custkey"), F.lit(10)).cast("string").alias("logical_fact_id"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("known_as_of"))
+    answered = asof.answer_requests(asof.open_intervals(records, bounds), sources(spark), requests)
+    return answered.select("o_orderkey", "known_as_of", "status", "value", "authority_rank", "support")
+
+
+@query("counterfactual_effects", f"""WITH e AS (SELECT * FROM events WHERE ts <= TIMESTAMP '{AS_OF}'),
+nx AS (SELECT *, lead((ts, event_id)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS ns,
+  min(CASE WHEN event_type = 'error' THEN (ts, event_id) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ne FROM e),
+a AS (SELECT user_id, event_id, event_type AS source_id, {OBJECT} AS object, CASE WHEN ns IS NULL OR ne < ns THEN ne ELSE ns END AS ended
+  FROM nx WHERE event_type <> 'error'),
+c AS (SELECT user_id, event_id, {RANKS} AS authority_rank, object, ended[2] AS closer FROM a),
+r AS (SELECT user_id, event_id AS r FROM c UNION SELECT user_id, closer FROM c WHERE closer IS NOT NULL UNION SELECT DISTINCT user_id, NULL::BIGINT FROM c),
+o AS (SELECT user_id, r, authority_rank, object FROM r JOIN c USING (user_id) WHERE (closer IS NULL OR closer = r) AND event_id IS DISTINCT FROM r),
+b AS (SELECT user_id, r, count(DISTINCT object) AS n, min(object) AS value FROM o GROUP BY user_id, r, authority_rank
+  QUALIFY row_number() OVER (PARTITION BY user_id, r ORDER BY authority_rank) = 1),
+s AS (SELECT r.user_id, r.r, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'accepted' ELSE 'unresolved_conflict' END AS status,
+  CASE WHEN n = 1 THEN value END AS value FROM r LEFT JOIN b ON b.user_id = r.user_id AND b.r IS NOT DISTINCT FROM r.r)
+SELECT CAST(x.user_id AS VARCHAR) AS logical_fact_id, CAST(x.r AS VARCHAR) AS record_id, y.status AS status_before, y.value AS value_before,
+  x.status AS status_after, x.value AS value_after FROM s x JOIN s y ON y.user_id = x.user_id AND y.r IS NULL
+WHERE x.r IS NOT NULL AND (x.status <> y.status OR x.value IS DISTINCT FROM y.value)""")
+def counterfactual_effects(spark: SparkSession, sf: str) -> DataFrame:
+    """Per fact, the records without which its answer would be another."""
+    events = table(spark, sf, "events")
+    records = event_records(events.where(F.col("ts") <= as_of()), slice_bounds(events, "ts")).drop("user_id", "props", "prev", "ts")
+    return counterfactual.removal_effects(records, sources(spark)).drop("ledger_id")
+
+
 # Faults are seeded by the number in an event's properties; each breaks one rule.
 FAULTED = f"""
 p AS (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k,

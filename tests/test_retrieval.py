@@ -174,3 +174,30 @@ def test_profile_and_catalog(spark):
     asked = spark.createDataFrame([("k",), ("missing",)], "k string")
     with pytest.raises(Exception, match="unknown definition: missing"):
         catalog.require(asked, rows, ["k"], "definition").collect()
+
+
+def test_common_words_open_few_blocks(spark, tmp_path):
+    rng, path = random.Random(4), str(tmp_path / "index")
+    common = ["the", "of", "and"]
+    docs = [(i, " ".join(rng.choice(common) if rng.random() < 0.1 + 0.3 * (i % 50 == 0) else f"w{rng.randrange(3_000)}"
+                         for _ in range(rng.randint(20, 400)))) for i in range(3_000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    lexical.write_index(frame, path, key=["doc_id"], block_docs=16)
+    asked = spark.createDataFrame([(1, "the of and"), (2, "the"), (3, "w7 w8 the")], "qid long, text string")
+    search = lexical.IndexSearch(spark, path, asked, key=["doc_id"], query_key="qid")
+    opened = {r["query_id"]: r["count"] for r in search.candidates().groupBy("query_id").count().collect()}
+    present = {r["query_id"]: r["count"] for r in search.bounds().groupBy("query_id").count().collect()}
+    assert opened[1] < 0.35 * present[1] and opened[2] < 0.35 * present[2] and opened[3] < 0.5 * present[3], (opened, present)
+    want = lexical.bm25_search(frame, asked, key=["doc_id"], query_key="qid").collect()
+    assert sorted(map(tuple, search.top().collect())) == sorted(map(tuple, want)) and len(want) == 30
+
+
+def test_index_of_odd_texts(spark, tmp_path):
+    path, none = str(tmp_path / "index"), str(tmp_path / "none")
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a a"), (4, "a b"), (5, "b")], "doc_id long, text string")
+    lexical.write_index(docs, path, key=["doc_id"])
+    asked = spark.createDataFrame([(1, "a"), (2, "zz"), (3, None)], "qid long, text string")
+    got = lexical.search_index(spark, path, asked, key=["doc_id"], query_key="qid").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in lexical.bm25_search(docs, asked, key=["doc_id"], query_key="qid").collect()]
+    with pytest.raises(ValueError, match="unique"):
+        lexical.write_index(docs.unionByName(docs), none, key=["doc_id"])
