@@ -45,7 +45,8 @@ class PieceTable:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        lib, size = self.library, self.library.get_piece_size()
+        lib, self.size = self.library, self.library.get_piece_size()
+        size = self.size
         special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) for i in range(size)]
         self.bytes = {int(lib.id_to_piece(i)[3:5], 16): i for i in range(size) if lib.is_byte(i)}
         if len(self.bytes) != 256 or any(lib.is_unused(i) for i in range(size)):
@@ -65,13 +66,30 @@ class PieceTable:
         self.right: dict[int, Events] = {}
         self.left: dict[int, Events] = {}
         self.pairs: dict[int, bool] = {}
-        inside = "".join(sorted(joined - {SPACE}))
-        if any(SPACE in p.lstrip(SPACE) for p in self.rank):
-            cut = f"[{re.escape(''.join(sorted(joined)))}]+"
-        else:  # no piece goes on from another character to a space
-            cut = f"{SPACE}*[{re.escape(inside)}]+|{SPACE}+"
-        #: No piece reaches across two matches of this pattern.
-        self.segments = re.compile(f"{cut}|[^{re.escape(''.join(sorted(joined | {SPACE})))}]+" if joined else ".+", re.DOTALL)
+        #: No piece reaches across two matches of these patterns.
+        self.segments = re.compile(self._pattern(), re.DOTALL)
+        inside = any(SPACE in p.lstrip(SPACE) for p in self.rank)
+        self.words = re.compile(".+" if inside else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+" if "\n" not in joined else f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.DOTALL)
+
+    def _pattern(self) -> str:
+        """Runs of letters, or of other characters of longer pieces, with the spaces before them; and what merges with nothing.
+
+        Kinds that some piece joins are not told apart.
+        """
+        def kind(char: str) -> str:
+            return SPACE if char == SPACE else "letter" if char.isalpha() else "other"
+
+        joins = {(kind(a), kind(b)) for p in self.rank for a, b in zip(p, p[1:], strict=False)}
+        if not self.joined:
+            return ".+"
+        kinds = {name: re.escape("".join(sorted(c for c in self.joined if kind(c) == name))) for name in ("letter", "other")}
+        every = re.escape("".join(sorted(self.joined | {SPACE})))
+        if joins & {("letter", SPACE), ("other", SPACE)}:
+            return f"[{every}]+|[^{every}]+"
+        if joins & {("letter", "other"), ("other", "letter")}:
+            kinds = {"both": "".join(kinds.values())}
+        runs = [f"{SPACE}*[{chars}]+" for chars in kinds.values() if chars]
+        return "|".join([*runs, f"{SPACE}+", f"[^{every}]+"])
 
     def alone(self, piece: str) -> tuple[list[str], list[tuple[float, str, str]]]:
         """The symbols that merging leaves of ``piece``, and each merge's rank with the first and last symbol after it."""
@@ -124,24 +142,21 @@ class PieceTable:
         """For each prefix of ``segment``, the last token of its encoding."""
         last = array("i", [-1]) * (len(segment) + 1)
         last[0] = START
-        pairs = self.pairs
+        known = self.pairs.get
         for end, (size, token) in self.automaton.iter(segment):
-            end += 1
-            if last[end] != -1:
-                continue
-            before = last[end - size]
-            if before != START:
-                key = before << 32 | token
-                fits = pairs.get(key)
-                if fits is None:
-                    if len(pairs) >= PAIRS:
-                        pairs.clear()
-                    fits = pairs[key] = self.compatible(before, token)
-                if not fits:
-                    continue
-            last[end] = token
+            if last[end + 1] == -1:
+                before = last[end + 1 - size]
+                if before == START or (fits := known(before << 32 | token)) or (fits is None and self.fits(before, token)):
+                    last[end + 1] = token
         return last
 
+    def fits(self, a: int, b: int) -> bool:
+        """:meth:`compatible`, remembered."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[a << 32 | b] = self.compatible(a, b)
+        return found
+
     def encode_segment(self, segment: str) -> list[int]:
         if len(segment) == 1 or segment[0] not in self.joined:  # characters that merge with nothing
             return [i for c in segment for i in self.spelled(c)]
@@ -151,19 +166,23 @@ class PieceTable:
             out.append(token)
             at -= len(self.text[token])
         out.reverse()
-        if max(out) >= self.library.get_piece_size():
-            return [i for t in out for i in ([t] if t < self.library.get_piece_size() else self.spelled(self.text[t]))]
+        if max(out) >= self.size:
+            return [i for t in out for i in ([t] if t < self.size else self.spelled(self.text[t]))]
         return out
 
     def spelled(self, char: str) -> list[int]:
         found = self.ids.get(char)
-        if found is not None and found < self.library.get_piece_size():
+        if found is not None and found < self.size:
             return [found]
         return [self.bytes[b] for b in char.encode()]
 
     def pack(self, segments: list[str]) -> list[bytes]:
         return [array("I", self.encode_segment(s)).tobytes() for s in segments]
 
+    def split(self, text: str) -> list[str]:
+        """Parts of a normalised ``text`` that can be encoded one by one; in most models, words."""
+        return self.words.findall(text)
+
 
 @functools.cache
 def piece_table(path: str = MODEL) -> PieceTable:
@@ -172,7 +191,16 @@ def piece_table(path: str = MODEL) -> PieceTable:
 
 @functools.cache
 def _memory(path: str) -> Memory[bytes]:
-    return Memory(piece_table(path).pack)
+    """Ids of words; what is new is put together from the ids of its segments."""
+    table = piece_table(path)
+    segments = Memory(table.pack)
+
+    def pack_words(words: list[str]) -> list[bytes]:
+        split = [table.segments.findall(w) for w in words]
+        known = segments.learn(split).__getitem__
+        return [b"".join(map(known, s)) for s in split]
+
+    return Memory(pack_words)
 
 
 def packed_ids(texts: list[str], path: str = MODEL, ends: bool = True) -> list[bytes]:
@@ -182,7 +210,7 @@ def packed_ids(texts: list[str], path: str = MODEL, ends: bool = True) -> list[b
     encoded by themselves; those that the worker has met before are looked up.
     """
     table = piece_table(path)
-    split = [table.segments.findall(table.library.normalize(t)) for t in texts]
+    split = [table.split(table.library.normalize(t)) for t in texts]
     known = _memory(path).learn(split).__getitem__
     first, last = (array("I", [i]).tobytes() if ends else b"" for i in (table.library.bos_id(), table.library.eos_id()))
     return [first + b"".join(map(known, s)) + last for s in split]
