@@ -161,7 +161,7 @@ iv AS (SELECT user_id, event_id, event_type AS source_id, ts AS known_from, leas
 q AS (SELECT o_orderkey, o_custkey // 10 AS user_id, TIMESTAMP '2024-01-01' + to_minutes(o_orderkey * 7919 % 43200) AS known_as_of FROM orders),
 o AS (SELECT o_orderkey, {RANKS} AS authority_rank, object FROM q JOIN iv USING (user_id)
   WHERE known_from <= known_as_of AND (known_to IS NULL OR known_as_of < known_to)),
-b AS (SELECT o_orderkey, authority_rank, count(DISTINCT object) AS n, min(object) AS value, count(*) AS support FROM o GROUP BY ALL
+b AS (SELECT o_orderkey, authority_rank, count(DISTINCT object) AS n, min(object) AS value, count(*) AS support FROM o GROUP BY o_orderkey, authority_rank
   QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY authority_rank) = 1)
 SELECT o_orderkey, known_as_of, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'accepted' ELSE 'unresolved_conflict' END AS status,
   CASE WHEN n = 1 THEN value END AS value, authority_rank, coalesce(support, 0) AS support FROM q LEFT JOIN b USING (o_orderkey)""")
