@@ -31,6 +31,10 @@ CODES = 3
 BUCKET = 4.0
 #: Below a vector's best score, in deviations of a random score.
 MARGIN = 0.4
+#: Code words of a block; with more, a code has another block.
+WORDS = 1_000
+#: Entries of a matrix of scores while vectors are decoded, whatever their number and that of the words.
+ENTRIES = 1 << 20
 SEED = 20_240_601
 
 
@@ -48,6 +52,8 @@ class Code:
         """A filter holds a share of ``BUCKET / rows`` of random vectors, and each vector is in about ``filters``."""
         share = min(0.05, BUCKET / max(rows, 1))
         parts = 1 if dims < 8 else 2
+        while parts > 1 and parts < dims // 8 and (filters / share) ** (1 / parts) > WORDS:
+            parts += 1
         words = max(4, round((filters / share) ** (1 / parts)))
         return Code(dims, parts, words, NormalDist().inv_cdf(1 - share) / math.sqrt(dims))
 
@@ -68,22 +74,33 @@ def list_decode(unit: np.ndarray, code: Code, which: int) -> tuple[np.ndarray, n
     Block by block, partial sums that cannot reach the threshold even with the
     best word in all later blocks are dropped. Where a vector lies far from
     all directions, its threshold is ``MARGIN`` below its best score, so that
-    no vector is left without filters.
+    no vector is left without filters. No matrix has more than ``ENTRIES``
+    entries: rows are taken in slices, and partial sums again in each block.
     """
+    step = max(1, ENTRIES // code.words)
+    found = [_decode_slice(unit[start:start + step], code, which) for start in range(0, len(unit), step)]
+    rows = [row + k * step for k, (row, _) in enumerate(found)]
+    return (np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*[c for _, c in found], np.empty(0, np.int64)]).astype(np.int64))
+
+
+def _decode_slice(unit: np.ndarray, code: Code, which: int) -> tuple[np.ndarray, np.ndarray]:
     rotation, words = directions(code, which)
     turned = unit @ rotation
     parts = np.array_split(np.arange(code.dims), code.parts)
     scores = [turned[:, p] @ w.T for p, w in zip(parts, words, strict=True)]
     best = [s.max(1) for s in scores]
     least = np.minimum(code.least, sum(best, np.zeros(len(unit))) - MARGIN / math.sqrt(code.dims))
+    step = max(1, ENTRIES // code.words)
     row, chosen, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
     for k, score in enumerate(scores):
         rest = sum(best[k + 1:], np.zeros(len(unit)))
-        reach = total[:, None] + score[row] + rest[row, None] >= least[row, None]
-        at, word = np.nonzero(reach)
-        total = total[at] + score[row[at], word]
-        chosen = chosen[at] * code.words + word
-        row = row[at]
+        kept = []
+        for start in range(0, len(row), step):
+            r, t = row[start:start + step], total[start:start + step]
+            sums = t[:, None] + score[r]
+            at, word = np.nonzero(sums + rest[r, None] >= least[r, None])
+            kept.append((r[at], chosen[start + at] * code.words + word, sums[at, word]))
+        row, chosen, total = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (row, chosen, total)
     return row, chosen
 
 
@@ -151,7 +168,7 @@ def near_embeddings(vectors: DataFrame, *, key: str = "vec_id", embedding: str =
         F.transform("_v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).alias("v")))), 256)))
     reps = stored(marked.where("_ok").groupBy("_print").agg(
         F.count("*").alias("copies"), F.min("_key").alias("least_key"), F.first("_label").alias("label"), F.first("_v").alias("v")
-    ).withColumn("member", F.xxhash64("_print")), "cap-vectors")
+    ).withColumn("member", F.monotonically_increasing_id()), "cap-vectors")
     sizes = {(r["label"], r["d"]): r["n"] for r in reps.groupBy("label", F.size("v").alias("d")).count()
              .withColumnRenamed("count", "n").orderBy(F.desc("n")).limit(1).collect()}
     largest = max(sizes.values(), default=0)

@@ -176,7 +176,8 @@ def row_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     printed = stored(prints(rows), "jaccard-prints")
     grouped = printed.where("hi is not null").groupBy("hi", "lo").agg(
         F.count("*").alias("copies"), F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row")).alias("least"), F.first("minhashes").alias("minhashes"))
-    reps = grouped.withColumn("member", F.xxhash64("hi", "lo"))
+    # the number of a stored row: no two sets share it, as they might a shorter hash
+    reps = grouped.withColumn("member", F.col("least._row"))
     depth = depth_for(printed.count())
     runs = runs_for(depth, similarity=similarity)
 

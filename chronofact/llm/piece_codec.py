@@ -27,6 +27,8 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 #: Pairs of tokens whose test a worker remembers.
 PAIRS = 1_000_000
+#: Words that a worker remembers.
+WORDS = 800_000
 START = -2
 #: One event of merging a token's characters alone: its rank, and the outer symbol it leaves.
 Events = list[tuple[float, str]]
@@ -200,7 +202,7 @@ def _memory(path: str) -> Memory[bytes]:
         known = segments.learn(split).__getitem__
         return [b"".join(map(known, s)) for s in split]
 
-    return Memory(pack_words)
+    return Memory(pack_words, limit=WORDS)
 
 
 def packed_ids(texts: list[str], path: str = MODEL, ends: bool = True) -> list[bytes]:

@@ -8,6 +8,7 @@ from ..plans.registry import Query
 from ..sources.tables import table
 from . import bpe, caps, dialogue, html_main_text, jaccard, licenses, mixing, piece_codec, quality, sharding, token_counts, toxicity, whitening
 from .columns import words
+from .near import stored
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -49,7 +50,8 @@ def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 def mix_sql() -> str:
     """The contract of the mix, with plain running sums."""
     return rf"""
-d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5(doc_id::VARCHAR) AS h FROM documents),
+d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, '') || '|' || len({WORDS}) || '|' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w,
         2.0::DOUBLE * source_size AS cap FROM s),
@@ -69,8 +71,10 @@ SELECT doc_id, size, source_size, target,
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in training order with the words that the mix takes of each."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    narrow = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("n"))
-    mixed = mixing.mix(narrow, F.col("n"), rows=docs.count())
+    # the texts are read once: what follows needs their sizes and digests only
+    narrow = stored(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("n"),
+                                F.md5(F.coalesce("text", F.lit(""))).alias("content")), "mixing-sizes")
+    mixed = mixing.mix(narrow, F.col("n"), content=F.col("content"), rows=narrow.count())
     return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -94,15 +98,15 @@ q_base AS (SELECT doc_id, coalesce(text, '') AS _text, {WORDS} AS ws,
 q_win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM q_base, unnest(range(1, len(ws) - 1)) AS u(i)),
 q_rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i FROM q_win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
     unnest([0, 1, 2]) AS t(o) GROUP BY doc_id),
-q_lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(_text, chr(10))) AS line FROM q_base)
+q_lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(_text, chr(10))) AS line FROM q_base)
     WHERE regexp_matches(line, '[^{WS}]') GROUP BY doc_id),
-q_counts AS (SELECT doc_id, _text, len(ws)::BIGINT AS n_words, length(solid)::BIGINT AS word_chars,
+q_counts AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(solid)::BIGINT AS word_chars,
     (length(_text) - length(regexp_replace(_text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+    coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines,
+    len(list_filter(ws, lambda w: regexp_matches(w, '\p{{L}}'))) AS n_lettered
     FROM q_base LEFT JOIN q_rep r USING (doc_id) LEFT JOIN q_lines l USING (doc_id)),
-q_failed AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM q_counts),
-q_kept AS (SELECT * EXCLUDE (_text), NOT (base_failed OR ({") OR (".join(
-    r.sql.replace("\\\\", "\\").replace("'\\n'", "chr(10)").replace("]', '')", "]', '', 'g')") for r in quality.RULES)})) AS kept FROM q_failed)"""
+q_failed AS (SELECT *, {" OR ".join(r.sql for r in quality.BASE)} AS base_failed FROM q_counts),
+q_kept AS (SELECT * EXCLUDE (n_lines, n_lettered), NOT (base_failed OR ({") OR (".join(r.sql for r in quality.RULES)})) AS kept FROM q_failed)"""
 
 
 @query("op8_quality_rules", f"WITH {QUALITY_CTE} SELECT * FROM q_kept")

@@ -28,10 +28,12 @@ STEMS = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 4, 8)
 USUAL_WORDS = 200
 THRESHOLD = 0.7
-#: Bounds of the sample that the classifier is fitted on: confirmed toxic rows,
-#: unlabelled rows, characters of a row. Every row is scored, whole.
+#: Bounds of the sample that the classifier is fitted on: different confirmed toxic rows and unlabelled rows,
+#: characters of all of each, and of a row. Every row is scored, whole.
 MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 4_000
+MAX_POSITIVE_CHARS = 8 << 20
+MAX_UNLABELLED_CHARS = 32 << 20
 MAX_FIT_CHARS = 64_000
 MIN_SUPPORT = 3
 MIN_EXCESS = 4.0
@@ -162,26 +164,43 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """Fit on confirmed toxic rows and unlabelled rows that are not held out.
 
     The class prior is the toxic share of all labels that are not held out.
-    The sample is chosen by a hash of the id, so reruns agree; null ids and
-    null labels teach nothing, and of repeated labels the highest counts.
+    Rows, not ids, are chosen, by a hash of id and text, so reruns agree and
+    an id that owns much of the table counts no more than its different texts
+    do; null ids and null labels teach nothing, and of repeated labels the
+    highest counts.
     """
     spark = docs.sparkSession
     open_labels = (labels.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(toxic).isNotNull())
                    .groupBy(F.col(key).alias("_id")).agg(F.max(toxic).alias("_toxic")))
     prior = open_labels.agg(F.avg((F.col("_toxic") > 0).cast("double"))).first()[0]
-    # both are bounded, so they may be broadcast
+    # a bounded number of ids, so they may be broadcast
     chosen = open_labels.where("_toxic > 0").orderBy(F.xxhash64("_id"), "_id").limit(MAX_POSITIVE).select("_id")
-    free = (docs.where(F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("_id"))
-            .orderBy(F.xxhash64(F.lit("unlabelled"), "_id"), "_id").limit(MAX_UNLABELLED))
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where(F.length("_text") <= MAX_FIT_CHARS)
-    positive = _features(texts.join(F.broadcast(chosen), "_id"))
+    positive = _features(sampled(texts.join(F.broadcast(chosen), "_id"), "toxic", MAX_POSITIVE, MAX_POSITIVE_CHARS))
     # of unlabelled rows only what toxic rows have often enough comes to the driver
     ids, support = np.unique(np.concatenate([np.empty(0, np.int64), *positive]), return_counts=True)
     wanted = spark.sparkContext.broadcast(ids[support >= MIN_SUPPORT])
-    unlabelled = _features(texts.join(F.broadcast(free), "_id"), wanted)
+    free = texts.where(F.col("_id").isNotNull() & ~held_out(F.col("_id")))
+    unlabelled = _features(sampled(free, "unlabelled", MAX_UNLABELLED, MAX_UNLABELLED_CHARS), wanted)
     return fit(positive, unlabelled, prior if prior is not None else 0.0)
 
 
+def sampled(rows: DataFrame, salt: str, most_rows: int, most_chars: int) -> DataFrame:
+    """``_hash, _text`` of at most ``most_rows`` different rows (``_id, _text``) with at most ``most_chars`` characters together.
+
+    Those with the smallest hash. Only hashes and lengths are sorted; copies
+    are merged where they lie, before anything moves.
+    """
+    keyed = rows.select(F.xxhash64(F.lit(salt), "_id", "_text").alias("_hash"), "_text")
+    first = (keyed.groupBy("_hash").agg(F.max(F.length("_text")).alias("_n")).orderBy("_hash").limit(most_rows).collect())
+    lengths = np.cumsum([r["_n"] for r in first]) if first else np.empty(0)
+    chosen = [r["_hash"] for r, n in zip(first, lengths, strict=True) if n <= most_chars]
+    if not chosen:
+        return keyed.limit(0)
+    # the hashes come in order, so all rows up to the last one are meant
+    return keyed.where(F.col("_hash") <= chosen[-1]).groupBy("_hash").agg(F.min("_text").alias("_text"))
+
+
 def _features(sample: DataFrame, wanted: Broadcast | None = None) -> list[np.ndarray]:
     """The features of each row of a bounded sample, in a fixed order; those in ``wanted`` if it is given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +209,10 @@ def _features(sample: DataFrame, wanted: Broadcast | None = None) -> list[np.nda
             for value in batch.column("_text").to_pylist():
                 found = text_features(value)
                 packed.append((found if wanted is None else np.intersect1d(found, wanted.value, assume_unique=True)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(packed, pa.binary())], ["_id", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("_hash"), pa.array(packed, pa.binary())], ["_hash", "features"])
 
-    kind = sample.schema["_id"].dataType.simpleString()
-    rows = sample.select("_id", "_text").mapInArrow(run, f"_id {kind}, features binary").collect()
-    return [np.frombuffer(r["features"], np.int64) for r in sorted(rows, key=lambda r: (r["_id"], r["features"]))]
+    rows = sample.select("_hash", "_text").mapInArrow(run, "_hash bigint, features binary").collect()
+    return [np.frombuffer(r["features"], np.int64) for r in sorted(rows, key=lambda r: r["_hash"])]
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:

@@ -167,7 +167,26 @@ def test_list_decoding_finds_all_filters():
     assert {(int(r), int(c)) for r, c in zip(row, chosen, strict=True)} == want
 
 
-@pytest.mark.parametrize("rows", [500, 20_000, 1_000_000])
+def test_no_score_matrix_grows_with_rows_or_words(monkeypatch):
+    largest, wide = [], np.nonzero
+    monkeypatch.setattr(caps, "ENTRIES", 1 << 14)
+    monkeypatch.setattr(caps.np, "nonzero", lambda a: largest.append(a.size) or wide(a))
+    unit = caps.unit_rows(np.random.default_rng(1).normal(size=(700, 64)))
+    for rows in (10**4, 10**6, 10**8, 10**10):
+        code = caps.Code.for_rows(64, rows)
+        assert code.words <= caps.WORDS
+        sliced = caps.list_decode(unit, code, 0)
+        assert max(largest) <= 1 << 14
+        monkeypatch.setattr(caps, "ENTRIES", 1 << 22)
+        whole = caps.list_decode(unit, code, 0)
+        monkeypatch.setattr(caps, "ENTRIES", 1 << 14)
+        largest.clear()
+        assert sorted(zip(*map(list, sliced), strict=True)) == sorted(zip(*map(list, whole), strict=True))
+        assert set(sliced[0].tolist()) == set(range(700))
+    assert all(len(x) == 0 for x in caps.list_decode(unit[:0], code, 0))
+
+
+@pytest.mark.parametrize("rows", [500, 20_000, 1_000_000, 10_000_000, 100_000_000])
 def test_filters_meet_at_the_threshold(rows):
     rng = np.random.default_rng(4)
     x = caps.unit_rows(rng.normal(size=(1_500, 64)))

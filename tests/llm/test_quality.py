@@ -44,23 +44,61 @@ def test_counts_of_random_texts(spark, texts):
         assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == brute(texts[row["doc_id"]])
 
 
+def accepted(text):
+    words, _, symbols, dup, repeat = brute(text)
+    lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+    lettered = sum(any(c.isalpha() for c in w) for w in WORD.findall(text or ""))
+    return not (words < 50 or 100 * repeat > 50 * words or 4 * symbols > words or 2 * dup > lines or 5 * lettered < 4 * words)
+
+
+JUDGED = [*TEXTS, "fine words here " + " ".join(f"word{i}" for i in range(80)), " ".join(f"w{i}###" for i in range(80)),
+          " ".join(f"w{i} | {i}" for i in range(60)), "\n".join(["same line of words"] * 60 + [f"other line {i} {i * 7} {i * 11}" for i in range(40)]),
+          "\n\n".join(["a line"] * 3 + [f"b{i} c{i} d{i} e{i} f{i} g{i}" for i in range(20)]), "\n".join(f"x{i} y" for i in range(200)) + "\nq r\nq r",
+          " ".join(f"r{i % 40}" for i in range(100)), " ".join(f"r{i % 65}" for i in range(100))]
+
+
 def test_order_never_changes_the_verdict(spark):
-    texts = ["fine words here " + " ".join(f"word{i}" for i in range(80)), "BAD WORDS " * 5 + " ".join(f"SHOUT{i}" for i in range(80)),
-             " ".join(f"w{i}###" for i in range(80)), "\n".join(["same line of words"] * 60 + [f"other line of words {i} {i * 7} {i * 11} {i * 13}" for i in range(40)])]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    measured = quality.measure(docs)
-    verdicts = []
-    for rules in (quality.RULES, quality.RULES[::-1], quality.cascade_order(measured)):
-        assert set(rules) == set(quality.RULES)
-        verdicts.append([r["v"] for r in measured.select("doc_id", quality.verdict(rules).alias("v")).orderBy("doc_id").collect()])
-    assert verdicts[0] == verdicts[1] == verdicts[2]
-    assert verdicts[0][0] and not any(verdicts[0][1:])
-
-
-def test_plan_is_native_and_without_shuffle(spark):
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(JUDGED)], "doc_id long, text string, _text string, _words int")
+    want = {i for i, t in enumerate(JUDGED) if accepted(t)}
+    assert 2 < len(want) < len(JUDGED) - 3
+    got = quality.judge(docs).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == want
+    assert {r["doc_id"] for r in quality.keep(docs).collect()} == want and quality.keep(docs).columns == docs.columns
+    rules = [*quality.BASE, *quality.RULES]
+    for order in (rules, rules[::-1]):
+        judged = quality._held(docs.select("doc_id", "text"), "text")
+        kept = judged.where(quality.verdict(order, quality.counts(F.col("_text"), F.col("_words"))))
+        assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_rules_that_reject_much_for_little_come_first(spark):
+    noisy = [(i, " ".join(f"w{i}{k}" for k in range(300)) + " # " * 200) for i in range(60)]
+    fine = [(i, " ".join(f"w{i}{k}" for k in range(400))) for i in range(60)]
+    docs = spark.createDataFrame(noisy + fine, "doc_id long, text string")
+    order = quality.cascade_order(docs, [*quality.BASE[::-1], *quality.RULES])
+    assert order[0].name in ("symbols", "letters") and order[-1].name != "symbols" and {r.name for r in order} == {r.name for r in (*quality.BASE, *quality.RULES)}
+    assert quality.cascade_order(docs.limit(0), quality.RULES) == list(quality.RULES)
+
+
+def test_every_rule_rejects_some_of_the_tables(spark):
+    docs = quality._held(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "text")
+    known = quality.counts(F.col("_text"), F.col("_words"))
+    found = docs.agg(*[F.count_if(r.rejects(known)).alias(r.name) for r in (*quality.BASE, *quality.RULES)]).first()
+    assert all(n > 0 for n in found), found
+
+
+def test_equal_hashes_of_different_windows_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(quality, "_windows", lambda ws: F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 2, F.lit(0))), lambda w, i: F.length(w).cast("bigint")))
+    texts = [t for t in TEXTS if t and len(t) < 2_000]
+    got = quality.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r["n_repeat_words"] == brute(texts[r["doc_id"]])[4] for r in got)
+
+
+def test_plans_are_native_and_without_shuffle(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
-    plan = quality.measure(docs).withColumn("kept", quality.verdict(quality.RULES))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    for found in (quality.judge(docs), quality.keep(docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan
 
 
 def test_empty_table(spark):

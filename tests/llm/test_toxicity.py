@@ -58,3 +58,25 @@ def test_held_out_accuracy_on_the_tables(spark):
     found = toxicity.detect(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")).join(labels, "doc_id")
     held = found.where(toxicity.held_out(F.col("doc_id"))).collect()
     assert np.mean([r["predicted"] == r["toxic"] for r in held]) > 0.93
+
+
+@pytest.mark.parametrize("hot", ["same text", "other texts"])
+def test_an_id_that_owns_a_third_costs_no_more(spark, monkeypatch, hot):
+    """Copies of an id in the sample do not meet copies of it in the table."""
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 60)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 200)
+    collected, plain = [], toxicity._features
+    monkeypatch.setattr(toxicity, "_features", lambda *a: collected.append(plain(*a)) or collected[-1])
+    rows = [(i, f"word{i} other{i % 7}", int(i % 5 == 0)) for i in range(1_200)]
+    rows += [(3, "grim text" if hot == "same text" else f"grim text {i}", 1) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert toxicity.detect(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).count() == 1_900
+    assert [len(c) for c in collected] == [60, 200]
+
+
+def test_a_sample_is_bounded_in_characters(spark):
+    rows = spark.createDataFrame([(i, "x" * 100) for i in range(50)] * 3, "_id long, _text string")
+    assert toxicity.sampled(rows, "s", 20, 10**6).count() == 20
+    assert toxicity.sampled(rows, "s", 20, 1_050).count() == 10
+    assert toxicity.sampled(rows, "s", 20, 50).count() == 0
+    assert toxicity.sampled(rows, "s", 900, 10**6).count() == 50
