@@ -18,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base and every rule of the cascade accept."""
-    return quality.judge(docs).where("kept").select(*COLUMNS)
+    return quality.keep(docs).select(*COLUMNS)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix uses them, whole, in training order."""
-    mixed = mixing.mix(docs, F.size(words(F.col("text"))).cast("bigint"), rows=docs.count())
+    """Documents as often as the mix uses them, whole, in training order. Words are counted once and kept beside the texts."""
+    sized = stored(docs.withColumns({"_words": F.size(words(F.col("text"))).cast("bigint"), "_content": F.md5(F.coalesce("text", F.lit("")))}), "mixture")
+    mixed = mixing.mix(sized, F.col("_words"), content=F.col("_content"), rows=sized.count())
     return mixing.emit(mixed).select(*COLUMNS)
 
 
