@@ -36,9 +36,12 @@ DEEPEST = 256
 
 @dataclass(frozen=True)
 class Block:
+    """A leaf block; ``article`` is the number of the outermost open ``article`` on the page, 0 outside."""
+
     path: tuple[str, ...]
     text: str
     link_share: float
+    article: int = 0
 
 
 def labels(tag: str, attributes: str) -> str:
@@ -65,14 +68,14 @@ def blocks(page: str | None) -> list[Block]:
     # places of the open elements of each name in the stack, so that no tag searches a deep stack
     places: defaultdict[str, list[int]] = defaultdict(list)
     held: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link, at, articles = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
+            text = " ".join("".join(held).split())
             if text:
-                out.append(Block(tuple(path), text, min(1.0, linked / len(text))))
+                out.append(Block(tuple(path), text, min(1.0, linked / len(text)), articles if places["article"] else 0))
             held.clear()
         linked = 0
 
@@ -84,9 +87,11 @@ def blocks(page: str | None) -> list[Block]:
     def take(raw: str) -> None:
         nonlocal linked
         if raw:
-            held.append(raw)
+            # each run of text by itself: a reference does not go on behind a tag
+            shown = html.unescape(raw) if "&" in raw else raw
+            held.append(shown)
             if in_link:
-                linked += len(raw.strip())
+                linked += len(shown.strip())
 
     while True:
         found = TOKEN.search(page, at)
@@ -119,6 +124,7 @@ def blocks(page: str | None) -> list[Block]:
                 stop = max((places[t][-1] for t in stops if places[t]), default=-1)
                 cut(min((places[t][k] for t in ended if (k := bisect(places[t], stop)) < len(places[t])), default=len(stack)))
                 if tag != "hr" and not attributes.endswith("/"):
+                    articles += tag == "article" and not places["article"]
                     if len(stack) < DEEPEST:
                         path.append(labels(tag, attributes))
                     places[tag].append(len(stack))

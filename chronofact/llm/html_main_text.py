@@ -25,9 +25,10 @@ TAGS = ("article aside blockquote button dd div dl figcaption figure footer form
         "p pre section table td ul").split()
 PATH, WORDS, SHAPE, HIDDEN = 64, 48, 8, 24
 WIDTH = len(TAGS) + PATH + WORDS + SHAPE
-#: Bounds of training: given pages, invented pages, blocks of a page, passes.
+#: Bounds of training: given pages and characters of each, invented pages, blocks of a page, passes.
 GIVEN_PAGES = 400
-INVENTED_PAGES = 560
+GIVEN_CHARS = 200_000
+INVENTED_PAGES = 640
 FIT_BLOCKS = 80
 EPOCHS = 14
 BATCH = 32
@@ -230,17 +231,30 @@ JUNK_NAMES = re.compile(
 MAIN_NAMES = re.compile(r"^(article|content|post|entry|story|main|body|text|prose)$")
 
 
+def _parts(block: Block) -> list[list[str]]:
+    return [p.split(".") for p in block.path]
+
+
+def _junk(block: Block) -> bool:
+    """The tag or a name of an element around the block says that it is no main text."""
+    return any(tag in JUNK or any(JUNK_NAMES.match(n) for n in names) for tag, *names in _parts(block))
+
+
 def certain(page: Sequence[Block]) -> np.ndarray | None:
     """Labels where the markup leaves no doubt: a page with an article or main element, junk by tag or name."""
-    def parts(block: Block) -> list[list[str]]:
-        return [p.split(".") for p in block.path]
-
-    if not any(tag in ("article", "main") for b in page for tag, *_ in parts(b)):
+    if not any(tag in ("article", "main") for b in page for tag, *_ in _parts(b)):
         return None
-    return np.array([
-        any(tag in ("article", "main") for tag, *_ in parts(b))
-        and not any(tag in JUNK or any(JUNK_NAMES.match(n) for n in names) for tag, *names in parts(b))
-        for b in page], np.float32)
+    return np.array([any(tag in ("article", "main") for tag, *_ in _parts(b)) and not _junk(b) for b in page], np.float32)
+
+
+def only_article(page: Sequence[Block]) -> np.ndarray | None:
+    """The blocks of the one ``article`` of a page that has just one; None where there is none or a choice.
+
+    Articles that are junk by tag or name, such as comments, do not count.
+    """
+    fine = np.array([b.article if b.article and not _junk(b) else 0 for b in page], np.int64)
+    found = set(fine.tolist()) - {0}
+    return fine > 0 if len(found) == 1 else None
 
 
 #: Phrases of page furniture for invented pages.
@@ -267,14 +281,18 @@ PLACES = {
     "comment": "section.comments/div.comment/p div.comments/ol/li/p ul.comment.list/li/div.comment/p div.respond/h3 section.comments/h2 article.comment/p",
     "footer": "footer footer/p footer/ul/li footer/div div.footer/p div.site.footer/div div.copyright",
 }
+#: Pages laid out by tables: everything is a cell, and nothing is named.
+CELLS = ("table/tbody/tr/td table/tr/td center/table/tr/td table/tr/td/table/tr/td table/tbody/tr/td/div table/tr/td/center "
+         "table/tr/td/div table/tr/th").split()
 BODIES = ("article article main main/article main/div div.content div.post.content div.entry.content div.article.body "
           "section.article div.story div.main section main/section div.text div div/div").split()
-INSIDE = ("p p p p p p p p p p p p h2 h3 ul/li ul/li ol/li blockquote/p blockquote pre div div/p figure/figcaption table/tr/td dl/dd section/p").split()
+INSIDE = ("p p p p p p p p p p p p h2 h3 ul/li ul/li ol/li blockquote/p blockquote pre pre div div/p figure/figcaption table/tr/td dl/dt dl/dd section/p").split()
 
 
 def invented(rng: np.random.Generator, vocabulary: Sequence[str]) -> tuple[list[Block], np.ndarray]:
     """A page of random layout with its labels."""
     page: list[tuple[str, str, float, int]] = []
+    celled = rng.random() < 0.14
 
     def words(low: int, high: int) -> str:
         n = int(np.exp(rng.uniform(np.log(low), np.log(high + 1))))
@@ -286,7 +304,7 @@ def invented(rng: np.random.Generator, vocabulary: Sequence[str]) -> tuple[list[
         return options[rng.integers(len(options))]
 
     def furniture(kind: str, count: int, inside: str = "") -> None:
-        place = inside + pick(PLACES[kind].split())
+        place = pick(CELLS) + pick(["", "", "/p", "/ul/li"]) if celled else inside + pick(PLACES[kind].split())
         linked = kind in ("menu", "related", "share") or (kind in ("side", "footer") and rng.random() < 0.4)
         for _ in range(count):
             text = pick(PHRASES[kind].split("|")) if kind in PHRASES and rng.random() < 0.5 else (
@@ -300,15 +318,15 @@ def invented(rng: np.random.Generator, vocabulary: Sequence[str]) -> tuple[list[
             furniture(kind, int(rng.integers(1, most + 1)), inside)
 
     some("notice", 0.3, 2), some("header", 0.4, 2), some("menu", 0.9, 8), some("ad", 0.5, 2), some("side", 0.2, 4)
-    body = pick(BODIES)
+    body = pick(CELLS) if celled else pick(BODIES)
     some("menu", 0.1, 3, body + "/")
     if rng.random() < 0.85:
         page.append((f"{body}/h1" if rng.random() < 0.8 else f"{body}/header.entry/h1" if rng.random() < 0.3 else f"{body}/h2", words(1, 14), 0.0, 1))
     for _ in range(int(np.exp(rng.uniform(0, np.log(22))))):
-        place = pick(INSIDE)
-        short = place[0] == "h" or place in ("ul/li", "ol/li", "table/tr/td", "figure/figcaption")
+        place = pick(INSIDE) if not celled or rng.random() < 0.7 else ""
+        short = place[:1] == "h" or place in ("ul/li", "ol/li", "table/tr/td", "figure/figcaption")
         text = words(1, 14) if short else words(1, 160)
-        page.append((f"{body}/{place}", text if short and rng.random() < 0.5 else text.capitalize() + ".", float(rng.random() < 0.1) * rng.random(), 1))
+        page.append((f"{body}/{place}".rstrip("/"), text if short and rng.random() < 0.5 else text.capitalize() + ".", float(rng.random() < 0.1) * rng.random(), 1))
         for kind in ("ad", "share", "related", "form"):
             some(kind, 0.02, 2, body + "/")
     some("share", 0.2, 3, body + "/"), some("related", 0.2, 4, body + "/" if rng.random() < 0.5 else "")
@@ -324,9 +342,14 @@ def invented(rng: np.random.Generator, vocabulary: Sequence[str]) -> tuple[list[
 
 
 def train(pages: DataFrame, html: str = "html", seed: int = 7) -> Network:
-    """A network for ``pages``; at most ``GIVEN_PAGES`` of them are looked at here."""
+    """A network for ``pages``; at most ``GIVEN_PAGES`` of at most ``GIVEN_CHARS`` characters are looked at here."""
+    return trained([r[0] for r in pages.select(html).where(F.length(html) <= GIVEN_CHARS).take(GIVEN_PAGES)], seed)
+
+
+def trained(given_html: Sequence[str], seed: int = 7) -> Network:
+    """A network fitted on those of the given pages whose markup leaves no doubt, and on invented ones in their words."""
     rng, reader = np.random.default_rng(seed), Reader()
-    given = [blocks(r[0]) for r in pages.select(html).where(F.col(html).isNotNull()).take(GIVEN_PAGES)]
+    given = [blocks(h) for h in given_html]
     given = [page[:FIT_BLOCKS] for page in given if page]
     vocabulary = sorted({w for page in given for b in page for w in b.text.split()[:200]})[:50_000] or ["word"]
     examples = [(page, y) for page in given if (y := certain(page)) is not None]
@@ -335,7 +358,10 @@ def train(pages: DataFrame, html: str = "html", seed: int = 7) -> Network:
 
 
 def label(pages: Sequence[Sequence[Block]], net: Network, reader: Reader) -> list[np.ndarray]:
-    """For each page, which of its blocks are main text."""
+    """For each page, which of its blocks are main text.
+
+    Where a page has one article and no other, its markup decides; the network does not overrule it.
+    """
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = sorted((k for k, page in enumerate(pages) if page), key=lambda k: len(pages[k]))
     while order:
@@ -346,7 +372,8 @@ def label(pages: Sequence[Sequence[Block]], net: Network, reader: Reader) -> lis
         x, lengths = padded([reader.vectors(pages[k]) for k in now])
         logits = net.logits(x, lengths)
         for k, row, n in zip(now, logits, lengths, strict=True):
-            out[k] = row[:n] > 0
+            sure = only_article(pages[k])
+            out[k] = row[:n] > 0 if sure is None else sure
     return out
 
 

@@ -27,29 +27,70 @@ ROWS = 2
 COLLISION = 0.9999
 SEED = 5
 
-#: Customary statements and opening notices of public licenses.
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software")
+_MIT_TERMS = (", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice "
+              "and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", "
+              "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+              "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+              "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+              "OTHER DEALINGS IN THE SOFTWARE.")
+_ISC = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.")
+_ISC_TERMS = (" THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES "
+              "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+              "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+              "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met")
+_BSD_TWO = (": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+            "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+            "documentation and/or other materials provided with the distribution.")
+_BSD_THREE = (" 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+              "this software without specific prior written permission.")
+_FREE = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+#: Customary statements, opening notices and, where they are short, whole texts of public licenses.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
-    "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-                  "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-                  "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MIT-notice": _MIT,
+    "MIT-text": _MIT + _MIT_TERMS,
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
                          "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
-                  "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-notice": "This program is free software: " + _FREE.format("General Public License", "3"),
+    "LGPL-notice": "This library is free software; " + _FREE.format("Lesser General Public License", "2.1"),
+    "AGPL-notice": "This program is free software: " + _FREE.format("Affero General Public License", "3"),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "BSD-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-                  "following conditions are met",
-    "ISC-notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-                  "provided that the above copyright notice and this permission notice appear in all copies.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC0-1.0": "Released into the public domain under CC0 1.0 Universal.",
+    "CC0-1.0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this "
+                      "software to the public domain worldwide. This software is distributed without any warranty.",
+    "BSD-notice": _BSD,
+    "BSD-2-Clause-text": _BSD + _BSD_TWO,
+    "BSD-3-Clause-text": _BSD + _BSD_TWO + _BSD_THREE,
+    "ISC-notice": _ISC,
+    "ISC-text": _ISC + _ISC_TERMS,
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
                       "distributed with this file, You can obtain one at",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+                      "available at",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+                      "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+                      "non-commercial, and by any means.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+                 "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+                 "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
 }
 
 #: Letters in lower case and digits stay, other ASCII becomes a space, the rest of Unicode is kept.

@@ -16,14 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .bpe import _added, _extended
 from .pieces import LONGEST, PATTERN, Memory, calls, is_plain
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TABLE_PIECES = 65_536
+#: The sample that the table is made of: rows, and characters of a row.
 SAMPLE_ROWS = 500
+SAMPLE_CHARS = 65_536
 LIMIT = 512
 
 
@@ -49,9 +51,9 @@ def special_strings(path: str) -> tuple[str, ...]:
 
 
 def frequent_pieces(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS, pieces: int = TABLE_PIECES) -> list[str]:
-    """The most frequent pre-tokens of the first ``rows`` documents, at most ``pieces`` of at most ``LONGEST`` characters."""
+    """The most frequent pre-tokens of the first ``rows`` documents of at most ``SAMPLE_CHARS`` characters, at most ``pieces`` of at most ``LONGEST``."""
     seen: Counter[str] = Counter()
-    for row in docs.select(text).take(rows):
+    for row in docs.select(text).where(F.length(text) <= SAMPLE_CHARS).take(rows):
         seen.update(p for p in PATTERN.findall(row[0] or "") if len(p) <= LONGEST)
     return [p for p, _ in sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:pieces]]
 

@@ -3,6 +3,7 @@ import pytest
 
 from chronofact.llm import html_main_text as hm
 from chronofact.llm.html_blocks import DEEPEST, blocks
+from layouts import PAGES, block_scores
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><script>var a="</p><p>no";</script>
 <header class="site-header"><a href="/">Site</a></header><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>
@@ -47,6 +48,24 @@ def test_ends_of_very_deep_elements_leave_their_ancestors_open():
     assert found["last"] == ("article", "p") and found["out"] == ("p",)
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p>&am<b>p;</b>", "&amp;"), ("<p>a &amp<b>b</b>", "a &b"), ("<p>&lt;b&gt; &eacute;<i>&eacute;</i>", "<b> éé"), ("<p>&#x4<!-- -->1;", "&#x4 1;".replace(" ", ""))])
+def test_references_end_with_their_run_of_text(page, text):
+    assert [b.text for b in blocks(page)][0].replace("\x04", "&#x4") == text
+
+
+def test_one_article_is_not_overruled():
+    keeps_nothing = hm.Network.fresh()
+    keeps_nothing.values["c"] = np.array([-1e6], np.float32)
+    for name in ("code", "comments as articles", "teasers"):
+        html, want = PAGES[name]
+        page = blocks(html)
+        assert [b.text for b, y in zip(page, hm.label([page], keeps_nothing, hm.Reader())[0], strict=True) if y] == want
+    two = blocks("<article><p>one</p></article><article><p>two</p></article>")
+    assert hm.only_article(two) is None and hm.only_article(blocks("<p>x")) is None and hm.only_article([]) is None
+    assert [b.article for b in blocks("<p>a<article>b<article>c</article></article>d<article>e")] == [0, 1, 1, 0, 2]
+
+
 def test_lists_and_tables_imply_ends():
     page = "<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>e<table><tr><td>f<td>g<tr><th>h</table>i<td>j<tr><td>k</table><dl><dt>l<dd>m<dt>n"
     assert {b.text: "/".join(b.path) for b in blocks(page)} == {
@@ -99,6 +118,10 @@ def test_main_text_of_given_and_unseen_layouts(spark, given_pages):
     right = [got[r["page_id"]] == "\n".join(b.text for b in blocks(r["html"]) if "article" in b.path) for r in given_pages.collect()]
     assert np.mean(right) > 0.99
     rng, reader = np.random.default_rng(1234), hm.Reader()
+    parsed = {k: blocks(h) for k, (h, _) in PAGES.items()}
+    kept = hm.label(list(parsed.values()), net, reader)
+    precision, recall = block_scores({k: [b.text for b, y in zip(parsed[k], keep, strict=True) if y] for k, keep in zip(parsed, kept, strict=True)})
+    assert precision >= 0.9 and recall >= 0.9, (precision, recall)
     words = sorted({w for t in got.values() for w in t.split()})
     pages = [hm.invented(rng, words) for _ in range(150)]
     found = hm.label([p for p, _ in pages], net, reader)
