@@ -116,6 +116,35 @@ def running_totals(numbers: Column, block: int = 128) -> Column:
     return F.when(F.size(numbers) > 0, let(numbers, totals)).otherwise(F.array().cast("array<int>"))
 
 
+def running_maxima(numbers: Column, block: int = 256) -> Column:
+    """For every element of an array the largest up to and with it, in two levels like :func:`running_totals`."""
+    def maxima(values: Column) -> Column:
+        last = F.floor((F.size(values) - 1) / F.lit(block)).cast("int")
+        tops = F.transform(F.sequence(F.lit(0), last), lambda j: F.array_max(F.slice(values, j * block + 1, F.lit(block))))
+
+        def upto(blocks: Column, i: Column) -> Column:
+            own = F.floor(i / F.lit(block)).cast("int")
+            here = F.array_max(F.slice(values, own * block + 1, i - own * block + 1))
+            return F.greatest(F.array_max(F.slice(blocks, F.lit(1), own)), here)
+        return let(tops, lambda blocks: F.transform(F.sequence(F.lit(0), F.size(values) - 1), lambda i: upto(blocks, i)))
+
+    return F.when(F.size(numbers) > 0, let(numbers, maxima)).otherwise(numbers)
+
+
+def first_place(values: Column, holds: Callable[[Column], Column]) -> Column:
+    """The first place from 0 at which ``holds``, which stays true from there on; the size if nowhere. A binary search."""
+    n = F.size(values)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        low = F.struct(s["lo"].alias("lo"), middle.alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).when(holds(F.get(values, middle)), low).otherwise(
+            F.struct((middle + 1).alias("lo"), s["hi"].alias("hi")))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(1))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve)["lo"]
+
+
 def running_starts(pieces: Column, gap: int = 0, block: int = 128) -> Column:
     """Start offset of every array element when elements are joined with ``gap`` characters."""
     return running_totals(F.transform(pieces, lambda p: F.length(p) + F.lit(gap)), block)

@@ -65,6 +65,9 @@ def chunk_spans(docs: DataFrame, *, text: str = "text", config: ChunkConfig = Ch
         return words.select(*docs.columns, *[
             guard.cast("string" if c == "chunk_text" else "array<string>" if c == "clause_ids" else "int").alias(c) for c in made
         ]).where("chunk_no is not null")
+    if clauses:
+        words = words.withColumn("_clauses", clause_index(F.col(clauses))).withColumns({
+            "_clause_starts": F.transform("_clauses", lambda c: c["a"]), "_clause_reach": tx.running_maxima(F.transform("_clauses", lambda c: c["b"]))})
     join = lambda start, size: F.array_join(F.slice("_pieces", start, size), "")
     last = F.when(F.col("_n") <= m, 0).otherwise(F.ceil((F.col("_n") - m) / F.lit(s)).cast("int"))
     words = words.withColumn("_last", last)
@@ -92,7 +95,7 @@ def chunk_spans(docs: DataFrame, *, text: str = "text", config: ChunkConfig = Ch
             inside = F.when(F.col("_crlf"), tx.line_feeds(F.left(raw, kept))).otherwise(0)
             fields += [(start + shift).alias("raw_start"), (start + kept + shift + inside).alias("raw_end")]
         if clauses:
-            fields.append(overlapping(F.col(clauses), start, start + kept).alias("clause_ids"))
+            fields.append(overlapping(F.col("_clauses"), F.col("_clause_starts"), F.col("_clause_reach"), start, start + kept).alias("clause_ids"))
         return F.struct(*fields)
 
     chunks = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.col("_last")), chunk))
@@ -100,16 +103,30 @@ def chunk_spans(docs: DataFrame, *, text: str = "text", config: ChunkConfig = Ch
     return rows.select(*docs.columns, *[f"_c.{c}" for c in made])
 
 
-def overlapping(clauses: Column, start: Column, end: Column) -> Column:
-    """Sorted ids of the clauses that overlap a half-open span.
+def clause_index(clauses: Column) -> Column:
+    """``array<struct<clause_id, span_start, span_end>>`` as ``array<struct<a, b, id>>`` sorted by start.
 
-    ``clauses`` is ``array<struct<clause_id, span_start, span_end>>``. A clause
-    without coordinates never matches; ids are not deduplicated. No clauses at
-    all give an empty list.
+    A clause without coordinates is left out, since it never matches; ids are
+    not deduplicated. No clauses at all give an empty list.
     """
-    clauses = F.coalesce(clauses, F.expr("cast(array() as array<struct<clause_id:string,span_start:int,span_end:int>>)"))
-    hit = F.filter(clauses, lambda c: (c["span_start"] < end) & (c["span_end"] > start))
-    return F.array_sort(F.transform(hit, lambda c: c["clause_id"].cast("string")))
+    known = F.coalesce(clauses, F.expr("cast(array() as array<struct<clause_id:string,span_start:int,span_end:int>>)"))
+    placed = F.filter(known, lambda c: c["span_start"].isNotNull() & c["span_end"].isNotNull())
+    return F.array_sort(F.transform(placed, lambda c: F.struct(
+        c["span_start"].alias("a"), c["span_end"].alias("b"), c["clause_id"].cast("string").alias("id"))))
+
+
+def overlapping(clauses: Column, starts: Column, reach: Column, start: Column, end: Column) -> Column:
+    """Sorted ids of the clauses of a :func:`clause_index` that overlap a half-open span.
+
+    ``starts`` are their starts and ``reach`` the running maxima of their ends.
+    Both rise, so two binary searches find the first clause that may end
+    behind ``start`` and the first that begins at ``end`` or later; only what
+    lies between is looked at.
+    """
+    first = tx.first_place(reach, lambda b: b > start)
+    after = tx.first_place(starts, lambda a: a >= end)
+    near = F.slice(clauses, first + 1, F.greatest(after - first, F.lit(0)))
+    return F.array_sort(F.transform(F.filter(near, lambda c: c["b"] > start), lambda c: c["id"]))
 
 
 def construct_chunks(docs: DataFrame, *, profile_id: str, config: ChunkConfig = ChunkConfig()) -> DataFrame:

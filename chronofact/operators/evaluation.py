@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from ..functions import exact
 
@@ -65,6 +68,35 @@ def terminal_traces(queries: DataFrame, results: DataFrame) -> DataFrame:
         "runtime_status", F.coalesce("runtime_status", F.lit("no_result")))
 
 
+def stage_traces(queries: DataFrame, stages: Mapping[str, DataFrame], limits: Mapping[str, int] | None = None) -> DataFrame:
+    """One terminal trace per query with what each stage had for it.
+
+    ``stages`` names frames that have ``query_id``; their rows are tagged, put
+    into one union and counted once per query, so no stage is computed twice.
+    ``limits`` names the most rows a stage may give a query: a stage that gave
+    as many may have lost some, which ``truncated`` says and ``<stage>_limit``
+    shows. A query without any row is ``no_result``.
+    """
+    limits = limits or {}
+    tagged = reduce(DataFrame.unionByName, [rows.select("query_id", F.lit(name).alias("_stage")) for name, rows in stages.items()])
+    counted = tagged.groupBy("query_id").agg(*[F.count_if(F.col("_stage") == name).alias(f"{name}_count") for name in stages])
+    zero = F.lit(0).cast("bigint")
+    counts = {f"{name}_count": F.coalesce(f"{name}_count", zero) for name in stages}
+    full = reduce(lambda a, b: a | b, [F.coalesce(f"{n}_count", zero) >= most for n, most in limits.items()], F.lit(False))
+    seen = reduce(lambda a, b: a | b, [c > 0 for c in counts.values()])
+    return queries.select("query_id").join(counted, "query_id", "left").select(
+        "query_id", *[c.alias(n) for n, c in counts.items()], *[F.lit(most).cast("bigint").alias(f"{n}_limit") for n, most in limits.items()],
+        full.alias("truncated"), F.when(seen, "completed_retrieval").otherwise("no_result").alias("runtime_status"))
+
+
+def with_run_totals(traces: DataFrame, stages: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """``traces`` and the totals of the run, counted beside whatever action reads the traces first."""
+    totals = Observation()
+    watched = traces.observe(totals, F.count("*").alias("queries"), F.count_if(F.col("runtime_status") == "no_result").alias("no_result"),
+                             F.count_if("truncated").alias("truncated"), *[F.sum(f"{n}_count").alias(n) for n in stages])
+    return watched, totals
+
+
 #: Durations in a range of the latency histogram.
 TICKS = 1_024
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .closed_schema import ByTag, Listed, Record, Text, Whole
+
 # Fixed values of the closed schema.
 MUTATION_TYPES = ("base", "observation_mask", "source_conflict", "retraction_branch")
 GOLD_TRACKS = ("source_grounded", "conditional_binding", "synthetic_control")
@@ -76,3 +78,24 @@ def unknown_keys(lines: DataFrame, allowed: list[str], json: str = "value", keep
     """JSON lines carrying a key the closed schema does not have."""
     extra = F.array_except(F.json_object_keys(json), F.array(*[F.lit(k) for k in allowed]))
     return lines.select(*(keep or [json]), F.explode(extra).alias("unknown_key"))
+
+
+def manifest_schema(dataset_version: str, schema_version: str = "1.1", spec_version: str = "0.2.0") -> Record:
+    """The closed schema of a manifest for one version of a dataset, nested objects included."""
+    ids, some = Listed(Text()), Listed(Text(), least=1)
+    spec = {
+        "base": Record({}),
+        "observation_mask": Record({"seed_record_ids": some, "removed_record_ids": some, "closure_policy": Text(("remove_dependents",)),
+                                    "invariant_refs": some}),
+        "source_conflict": Record({"logical_fact_id": Text(), "removed_record_ids": ids, "added_record_ids": some, "invariant_refs": some}),
+        "retraction_branch": Record({"target_assertion_ids": some, "removed_record_ids": ids, "added_record_ids": some, "invariant_refs": some}),
+    }
+    policy = Record({"kind": Text(("real_snapshot", "synthetic_version")), "id": Text(least=1)})
+    return Record({
+        "schema_version": Text((schema_version,)), "release_spec_version": Text((spec_version,)), "dataset_version": Text((dataset_version,)),
+        "world_id": Text(), "scenario_id": Text(), "scenario_variant_id": Text(), "parent_variant_id": Text(nullable=True),
+        "mutation_type": Text(MUTATION_TYPES), "mutation_spec": ByTag("mutation_type", spec), "ledger_id": Text(), "scope_id": Text(),
+        "gold_track": Text(GOLD_TRACKS), "task_id": Text(TASKS, nullable=True), "foundation_task": Text(FOUNDATIONS, nullable=True),
+        "policy_snapshot_refs": Listed(policy), "public_snapshot_refs": some, "semantic_case_ids": some, "query_ids": some,
+        "split_group": Text(), "seed": Whole((SEED,)),
+    })

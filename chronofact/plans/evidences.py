@@ -234,15 +234,20 @@ att AS (SELECT a.*, c.evidence_id IS NOT NULL AS in_candidates, p.evidence_id IS
 """
 
 
+def candidate_items(docs: DataFrame, labels: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What the search returns for benchmark queries, with what the selection looks at."""
+    found = lexical.bm25_search(docs.select("doc_id", "text"), benchmark, key=["doc_id"], query_key="item_id")
+    return found.join(docs, "doc_id").join(labels.select("doc_id", "toxic"), "doc_id", "left").select(
+        F.col("query_id").cast("string").alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("evidence_id"), F.col("lang").alias("source_kind"),
+        "score", F.col("rank").cast("bigint").alias("rank"),
+        F.when(F.coalesce("toxic", F.lit(0)) == 0, "eligible").otherwise("ineligible").alias("eligibility"), tx.word_count("text").alias("token_cost"))
+
+
 def support(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents as required evidence of benchmark queries, dealt over all of them; candidates are what the search returns for them."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     labels = table(spark, sf, "labels")
-    found = lexical.bm25_search(docs.select("doc_id", "text"), table(spark, sf, "benchmark"), key=["doc_id"], query_key="item_id")
-    items = found.join(docs, "doc_id").join(labels.select("doc_id", "toxic"), "doc_id", "left").select(
-        F.col("query_id").cast("string").alias("query_id"), F.concat(F.lit("d"), "doc_id").alias("evidence_id"), F.col("lang").alias("source_kind"),
-        "score", F.col("rank").cast("bigint").alias("rank"),
-        F.when(F.coalesce("toxic", F.lit(0)) == 0, "eligible").otherwise("ineligible").alias("eligibility"), tx.word_count("text").alias("token_cost"))
+    items = candidate_items(docs, labels, table(spark, sf, "benchmark"))
     chosen = evidence.select_evidence(items, token_budget=BUDGET, per_source_cap=CAP)
     candidates = items.where("eligibility = 'eligible'")
     benchmark = table(spark, sf, "benchmark").select("item_id")
@@ -298,19 +303,54 @@ def stage_latency(spark: SparkSession, sf: str) -> DataFrame:
 TRACES = """
 t AS (SELECT user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total,
   CAST(coalesce(sum(CAST(round(value * 100) AS BIGINT)) FILTER (event_type <> 'error'), 0) AS BIGINT) AS stages,
-  arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id),
-traces AS (SELECT c_custkey AS query_id, CASE WHEN user_id IS NULL THEN 'no_result' WHEN last_type = 'error' THEN 'failed' ELSE 'completed_retrieval' END
+  arg_max(event_type, event_id) AS last_type, count(*) FILTER (event_type IN ('view', 'click')) AS candidates,
+  count(*) FILTER (event_type = 'purchase') AS selections, count(*) FILTER (event_type = 'error') AS exclusions FROM events GROUP BY user_id),
+traces AS (SELECT c_custkey AS query_id, coalesce(candidates, 0) AS candidate_count, coalesce(selections, 0) AS selection_count,
+  coalesce(exclusions, 0) AS exclusion_count, coalesce(candidates, 0) >= 30 AS truncated, CASE WHEN user_id IS NULL THEN 'no_result' WHEN last_type = 'error' THEN 'failed' ELSE 'completed_retrieval' END
   AS runtime_status, total, stages, total >= stages AS invariant_pass FROM customer LEFT JOIN t ON c_custkey = user_id)
 """
 
 
+#: Views and clicks of a query that a trace may list.
+CANDIDATES = 30
+
+
 def traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as queries: views and clicks are candidates, purchases selections, errors exclusions."""
     ticks = F.round(F.col("value") * 100).cast("bigint")
+    kind = F.col("event_type")
+    stages = {"candidate": kind.isin("view", "click"), "selection": kind == "purchase", "exclusion": kind == "error"}
     done = table(spark, sf, "events").groupBy(F.col("user_id").alias("query_id")).agg(
-        F.sum(ticks).alias("total"), F.coalesce(F.sum(F.when(F.col("event_type") != "error", ticks)), F.lit(0).cast("bigint")).alias("stages"),
-        F.when(F.max_by("event_type", "event_id") == "error", "failed").otherwise("completed_retrieval").alias("runtime_status"))
+        F.sum(ticks).alias("total"), F.coalesce(F.sum(F.when(kind != "error", ticks)), F.lit(0).cast("bigint")).alias("stages"),
+        F.when(F.max_by("event_type", "event_id") == "error", "failed").otherwise("completed_retrieval").alias("runtime_status"),
+        *[F.count_if(rows).alias(f"{name}_count") for name, rows in stages.items()])
     queries = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"))
-    return evaluation.terminal_traces(queries, done).withColumn("invariant_pass", F.col("total") >= F.col("stages"))
+    zero = F.lit(0).cast("bigint")
+    found = evaluation.terminal_traces(queries, done).withColumn("invariant_pass", F.col("total") >= F.col("stages"))
+    counted = found.withColumns({f"{n}_count": F.coalesce(f"{n}_count", zero) for n in stages})
+    return counted.withColumn("truncated", F.col("candidate_count") >= CANDIDATES)
+
+
+@query("retrieval_traces", f"""WITH RECURSIVE {SUPPORT},
+c AS (SELECT query_id, count(*) AS candidate_count, count(*) FILTER (eligible) AS eligible_count FROM items GROUP BY query_id),
+p AS (SELECT query_id, count(*) AS selection_count FROM picked GROUP BY query_id)
+SELECT CAST(item_id AS VARCHAR) AS query_id, coalesce(candidate_count, 0) AS candidate_count, coalesce(eligible_count, 0) AS eligible_count,
+  coalesce(selection_count, 0) AS selection_count, coalesce(eligible_count, 0) - coalesce(selection_count, 0) AS exclusion_count, 10::BIGINT AS candidate_limit,
+  coalesce(candidate_count, 0) >= 10 AS truncated, CASE WHEN candidate_count > 0 THEN 'completed_retrieval' ELSE 'no_result' END AS runtime_status
+FROM benchmark LEFT JOIN c ON c.query_id = CAST(item_id AS VARCHAR) LEFT JOIN p ON p.query_id = CAST(item_id AS VARCHAR)""")
+def retrieval_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """A trace of every benchmark query through search, eligibility and selection."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    labels = table(spark, sf, "labels").select("doc_id", "toxic")
+    benchmark = table(spark, sf, "benchmark")
+    # search results are stored: three stages read them, and the search runs once
+    path = scratch_path(spark, "candidates")
+    candidate_items(docs, labels, benchmark).write.parquet(path)
+    items = spark.read.parquet(path)
+    chosen = evidence.select_evidence(items, token_budget=BUDGET, per_source_cap=CAP)
+    traced = evaluation.stage_traces(benchmark.select(F.col("item_id").cast("string").alias("query_id")), {
+        "candidate": items, "eligible": items.where("eligibility = 'eligible'"), "selection": chosen}, {"candidate": 10})
+    return traced.withColumn("exclusion_count", F.col("eligible_count") - F.col("selection_count"))
 
 
 @query("terminal_traces", f"WITH {TRACES} SELECT * FROM traces")

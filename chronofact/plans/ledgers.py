@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import identity, instants
+from ..functions import exact, identity, instants
 from ..operators import asof, counterfactual, evaluation, ledger
 from ..operators.skew import first_after, last_before, slice_bounds
 from ..sources.tables import table
@@ -406,6 +406,41 @@ def evaluate_cases(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.revenue_case(day, revenue, ["logical_fact_id"])
 
 
+@query("evaluate_rational_cases", f"""WITH {VIEW},
+n AS (SELECT logical_fact_id, source_id, CAST(json_extract(object, '$.value') AS BIGINT) AS x FROM v WHERE known_to IS NULL),
+users AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS logical_fact_id, user_id FROM events),
+a AS (SELECT logical_fact_id, count(DISTINCT x) AS k, min(x) AS x FROM n WHERE source_id IN ('signup', 'purchase') GROUP BY ALL),
+r AS (SELECT logical_fact_id, count(DISTINCT x) AS k, min(x) AS x FROM n WHERE source_id = 'view' GROUP BY ALL),
+c AS (SELECT logical_fact_id, count(DISTINCT x) AS k, min(x) AS x FROM n WHERE source_id = 'click' GROUP BY ALL),
+b AS (SELECT logical_fact_id, coalesce(r.k, c.k) AS k, coalesce(r.x, c.x) AS x FROM r FULL JOIN c USING (logical_fact_id))
+SELECT logical_fact_id, CASE WHEN a.k = 1 THEN 'answerable' ELSE 'insufficient_evidence' END AS acceptance_status,
+  CASE WHEN a.k = 1 THEN user_id % 2 = 0 AND 2 * (a.x % 101) < 100 END AS auto_accept,
+  CASE WHEN b.k = 1 THEN 'answerable' ELSE 'insufficient_evidence' END AS rating_status,
+  CASE WHEN b.k = 1 THEN 20 * (80 + b.x % 21) > 97 * 20 END AS rating_met
+FROM users LEFT JOIN a USING (logical_fact_id) LEFT JOIN b USING (logical_fact_id)""")
+def evaluate_rational_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Acceptance and rating decided from ledger facts: exact fractions against their bounds, conflicts and gaps as missing evidence.
+
+    Sign-ups and purchases, of equal authority, report the acceptance in
+    hundredths; views, and clicks where there is none, the rating in twentieths.
+    """
+    current = view(spark, sf)
+    facts = table(spark, sf, "events").select(
+        F.lit("events").alias("ledger_id"), F.col("user_id").cast("string").alias("logical_fact_id")).distinct()
+    number = F.get_json_object("value", "$.value").cast("bigint")
+
+    def reported(names: Sequence[str], fraction: Column) -> DataFrame:
+        found = ledger.select_fact(current.where(F.col("source_id").isin(*names)), sources(spark), facts)
+        return found.select("logical_fact_id", "status", F.when(F.col("value").isNotNull(), fraction).alias("value"))
+
+    program = F.when(F.col("logical_fact_id").cast("bigint") % 2 == 0, exact.ACCEPT_PROGRAM).otherwise("taxi_driver")
+    acceptance = evaluation.rational_case(reported(("signup", "purchase"), exact.rational(number % 101, F.lit(100))), ["logical_fact_id"],
+                                          lambda value: exact.auto_accept(program, value))
+    rating = evaluation.rational_case(reported(("view", "click"), exact.rational(number % 21 + 80, F.lit(20))), ["logical_fact_id"], exact.rating_condition)
+    return acceptance.select("logical_fact_id", F.col("status").alias("acceptance_status"), F.col("condition_met").alias("auto_accept")).join(
+        rating.select("logical_fact_id", F.col("status").alias("rating_status"), F.col("condition_met").alias("rating_met")), "logical_fact_id")
+
+
 @query("ledger_record_hash", f"""WITH {VIEW}
 SELECT assertion_id, sha256('{{"assertion_id":"' || assertion_id || '","known_from":"' ||
   strftime(known_from, '%Y-%m-%dT%H:%M:%S.%fZ') || '","object":' || object || ',"source_id":"' || source_id || '"}}' || chr(10)) AS payload_hash FROM v""")

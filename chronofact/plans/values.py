@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import exact, identity, instants
-from ..operators import inventory, manifest, policy
+from ..operators import closed_schema, inventory, manifest, policy
 from ..sources.tables import spread, table
 from .registry import query
 
@@ -248,6 +248,57 @@ def unknown_manifest_keys(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.unknown_keys(lines, ["v", "n"], json="line", keep=["event_id"])
 
 
+def manifest_text(changes: dict[str, str]) -> str:
+    """A sound manifest as JSON text with some members replaced, or left out where the change is empty."""
+    sound = {
+        "schema_version": '"1.1"', "release_spec_version": '"0.2.0"', "dataset_version": '"orders-1"', "world_id": '"w"', "scenario_id": '"s"',
+        "scenario_variant_id": '"v"', "parent_variant_id": "null", "mutation_type": '"base"', "mutation_spec": "{}", "ledger_id": '"l"', "scope_id": '"c"',
+        "gold_track": '"source_grounded"', "task_id": '"T02"', "foundation_task": "null", "policy_snapshot_refs": '[{"kind":"real_snapshot","id":"p"}]',
+        "public_snapshot_refs": '["a"]', "semantic_case_ids": '["b"]', "query_ids": '["q"]', "split_group": '"g"', "seed": "42"}
+    return "{" + ",".join(f'"{k}":{v}' for k, v in (sound | changes).items() if v) + "}"
+
+
+#: A manifest for each remainder of an order's key, and what is wrong with it: path, problem, expected, found.
+MANIFESTS: list[tuple[str, list[tuple[str, str, str, str | None]]]] = [
+    (manifest_text({}), []),
+    (manifest_text({"schema_version": '"1.0"'}), [("$.schema_version", "value", "1.1", "1.0")]),
+    (manifest_text({"world_id": "7"}), [("$.world_id", "type", "string", "integer")]),
+    (manifest_text({"policy_snapshot_refs": '[{"kind":"real_snapshot","id":"p"},{"kind":"other","id":"x"}]'}),
+     [("$.policy_snapshot_refs[1].kind", "value", "real_snapshot|synthetic_version", "other")]),
+    (manifest_text({"policy_snapshot_refs": '[{"kind":"synthetic_version","id":""}]'}), [("$.policy_snapshot_refs[0].id", "length", "at least 1", "0")]),
+    (manifest_text({"policy_snapshot_refs": '[{"kind":"real_snapshot","id":"p","note":{"n":1}}]'}),
+     [("$.policy_snapshot_refs[0].note", "unknown key", "nothing", "a value")]),
+    (manifest_text({"query_ids": "[]"}), [("$.query_ids", "length", "at least 1", "0")]),
+    (manifest_text({"query_ids": '["q",5,true]'}), [("$.query_ids[1]", "type", "string", "integer"), ("$.query_ids[2]", "type", "string", "boolean")]),
+    (manifest_text({"ledger_id": ""}), [("$.ledger_id", "missing", "string", None)]),
+    (manifest_text({"seed": '"42"'}), [("$.seed", "type", "integer", "string")]),
+    (manifest_text({"mutation_type": '"observation_mask"', "mutation_spec": '{"seed_record_ids":["a"],"removed_record_ids":["r"],"closure_policy":"keep","invariant_refs":["i"]}'}),
+     [("$.mutation_spec.closure_policy", "value", "remove_dependents", "keep")]),
+    (manifest_text({"mutation_type": '"source_conflict"', "mutation_spec": '{"logical_fact_id":"f","removed_record_ids":[],"added_record_ids":[1.5],"invariant_refs":["i"]}'}),
+     [("$.mutation_spec.added_record_ids[0]", "type", "string", "number")]),
+    (manifest_text({"mutation_type": '"retraction_branch"', "mutation_spec": '{"target_assertion_ids":["t"],"removed_record_ids":[],"added_record_ids":["a"],"why":null}'}),
+     [("$.mutation_spec.why", "unknown key", "nothing", "a value"), ("$.mutation_spec.invariant_refs", "missing", "array", None)]),
+    (manifest_text({"mutation_spec": '{"x":{"y":[]}}'}), [("$.mutation_spec.x", "unknown key", "nothing", "a value")]),
+    ("[1]", [("$", "type", "object", "array")]),
+    (manifest_text({"parent_variant_id": "5", "seed": "43"}), [("$.parent_variant_id", "type", "string or null", "integer"), ("$.seed", "value", "42", "43")]),
+    ('{"schema_version":', [("$", "syntax", "JSON", None)]),
+]
+
+
+def _quoted(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@query("manifest_schema_findings", f"""SELECT o_orderkey, path, problem, expected, found FROM orders JOIN (VALUES {", ".join(
+    f"({n}, {', '.join(map(_quoted, finding))})" for n, (_, wrong) in enumerate(MANIFESTS) for finding in wrong)}) t(n, path, problem, expected, found)
+  ON o_orderkey % {len(MANIFESTS)} = n""")
+def manifest_schema_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifests of orders, most of them broken at some depth, against the closed schema."""
+    texts = F.array(*[F.lit(text) for text, _ in MANIFESTS])
+    rows = table(spark, sf, "orders").select("o_orderkey", F.get(texts, (F.col("o_orderkey") % len(MANIFESTS)).cast("int")).alias("value"))
+    return closed_schema.schema_findings(rows, manifest.manifest_schema("orders-1"), keep=("o_orderkey",))
+
+
 @query("bridge_no_incident", """
 SELECT c_custkey AS driver_id, c_nationkey AS fleet_id, n_regionkey AS region_id FROM customer JOIN nation ON c_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey

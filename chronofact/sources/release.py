@@ -49,10 +49,13 @@ def file_findings(spark: SparkSession, release: str) -> DataFrame:
 def document_errors(spark: SparkSession, release: str, certificate: str, comparison: str) -> DataFrame:
     """Contradictions between manifest, certificate and comparison report."""
     m = _document(spark, f"{release}/{MANIFEST}", _MANIFEST_SCHEMA).select(F.struct("*").alias("m"))
+    # a release without the report has no row here, which is a difference, too
+    report = spark.read.format("binaryFile").option("pathGlobFilter", VALIDATION.rsplit("/", 1)[1]).load(f"{release}/{VALIDATION.rsplit('/', 1)[0]}")
+    v = report.select(F.sha2("content", 256).alias("v")).agg(F.max("v"))
     c = _document(spark, certificate, _CERTIFICATE_SCHEMA).select(F.struct("*").alias("c"))
     p = _document(spark, comparison, _COMPARISON_SCHEMA).select(F.struct("*").alias("p"))
     # Three one-row documents side by side.
-    one = m.withColumn("c", c.scalar()).withColumn("p", p.scalar())
+    one = m.withColumn("c", c.scalar()).withColumn("p", p.scalar()).withColumn("v", v.scalar())
     differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
     failed = F.filter(F.map_entries("c.dfg"), lambda e: ~e["value"]["status"].eqNullSafe(F.lit("pass")))
     fixed = F.filter(F.array(
@@ -61,6 +64,7 @@ def document_errors(spark: SparkSession, release: str, certificate: str, compari
         F.when(differs("m.dataset_version", "c.dataset_version"), "dataset version mismatch"),
         F.when(differs("m.sha256", "c.manifest_sha256"), "manifest SHA-256 mismatch"),
         F.when(differs("p.sha256", "c.comparison_report_sha256"), "comparison report SHA-256 mismatch"),
+        F.when(differs("m.validation_sha256", "v"), "validation report SHA-256 mismatch"),
         F.when(differs("m.logical_inventory_digest", "c.logical_inventory_digest")
                | differs("p.inventory_digest", "c.logical_inventory_digest"), "logical inventory digest mismatch"),
         F.when(~F.col("p.status").eqNullSafe(F.lit("pass")) | (F.size("p.mismatches") > 0),
