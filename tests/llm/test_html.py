@@ -49,9 +49,9 @@ def test_ends_of_very_deep_elements_leave_their_ancestors_open():
 
 
 @pytest.mark.parametrize("page, text", [
-    ("<p>&am<b>p;</b>", "&amp;"), ("<p>a &amp<b>b</b>", "a &b"), ("<p>&lt;b&gt; &eacute;<i>&eacute;</i>", "<b> éé"), ("<p>&#x4<!-- -->1;", "&#x4 1;".replace(" ", ""))])
+    ("<p>&am<b>p;</b>", "&amp;"), ("<p>a &amp<b>b</b>", "a &b"), ("<p>&lt;b&gt; &eacute;<i>&eacute;</i>", "<b> éé"), ("<p>&#x4<!-- -->1;", "1;")])
 def test_references_end_with_their_run_of_text(page, text):
-    assert [b.text for b in blocks(page)][0].replace("\x04", "&#x4") == text
+    assert [b.text for b in blocks(page)][0] == text
 
 
 def test_one_article_is_not_overruled():
