@@ -168,3 +168,16 @@ def chunk_inventory(sources: DataFrame, chunks: DataFrame, by: list[str]) -> Dat
     return counted.join(made, by, "left").withColumns({
         "chunk_count": F.coalesce("chunk_count", zero), "chunk_tokens": F.coalesce("chunk_tokens", zero),
     })
+
+
+def run_inventory(sources: DataFrame, chunks: DataFrame, config: ChunkConfig, *, profile_id: str, profile_version: str) -> DataFrame:
+    """One row for a whole run: the profile and its version, the options, and how many documents, definitions and chunks there are.
+
+    ``sources`` has ``kind`` (document or definition), ``chunks`` has ``token_count``.
+    """
+    made = chunks.agg(F.count("*").alias("chunk_count"), F.coalesce(F.sum("token_count"), F.lit(0).cast("bigint")).alias("chunk_tokens"))
+    counted = sources.agg(F.count_if(F.col("kind") == "document").alias("document_count"), F.count_if(F.col("kind") == "definition").alias("definition_count"))
+    one = counted.withColumn("_c", made.select(F.struct("chunk_count", "chunk_tokens")).scalar())
+    options = identity.canonical_row(dict(config.columns()))
+    return one.select(F.lit(profile_id).alias("profile_id"), F.lit(profile_version).alias("profile_version"), options.alias("config"),
+                      "document_count", "definition_count", "_c.chunk_count", "_c.chunk_tokens")

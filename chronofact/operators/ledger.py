@@ -179,6 +179,18 @@ def violations(records: DataFrame, sources: DataFrame, bounds: Sequence[float] =
     openings, keyed by its id and by its place, so the same look-back finds
     repeated ids, repeated places and the state of assertions.
     """
+    before = last_before(
+        keyed_events(records, sources, check_payload=check_payload), ["ledger_id", "key"], ["known_at", "commit_seq", "input_order", "pos"],
+        {"_prior": F.struct(F.col("event").alias("event"), F.col("known_at").alias("known_at"),
+                            F.col("source_id").alias("source_id"))}, bounds)
+    return judged_events(before)
+
+
+def keyed_events(records: DataFrame, sources: DataFrame, *, check_payload: bool = True) -> DataFrame:
+    """Every closing and opening by its assertion, and every record by its id and by its place, with what each breaks by itself.
+
+    Row by row, so ``records`` may be a stream.
+    """
     known = sources.select("source_id", F.lit(True).alias("_known"), "allowed_predicates", "can_correct_source_ids")
     shape = records.join(known, "source_id", "left")
     targets, asserted = _targets(), _assertions(records)
@@ -207,11 +219,11 @@ def violations(records: DataFrame, sources: DataFrame, bounds: Sequence[float] =
         F.size(targets) + i, OPEN, F.concat(F.lit("a|"), a["assertion_id"]),
         F.when(~F.array_contains("allowed_predicates", a["predicate"]), _CHECK_NO["source predicate not authorized"]), nobody))
     keep = ["ledger_id", "record_id", "source_id", "known_at", "commit_seq", "input_order"]
-    events = shape.select(*keep, F.explode(F.concat(marks, closes, opens)).alias("e")).select(*keep, "e.*")
-    before = last_before(
-        events, ["ledger_id", "key"], ["known_at", "commit_seq", "input_order", "pos"],
-        {"_prior": F.struct(F.col("event").alias("event"), F.col("known_at").alias("known_at"),
-                            F.col("source_id").alias("source_id"))}, bounds)
+    return shape.select(*keep, F.explode(F.concat(marks, closes, opens)).alias("e")).select(*keep, "e.*")
+
+
+def judged_events(before: DataFrame, late: Column | None = None) -> DataFrame:
+    """The violations of events that know ``_prior``, the event of their key before them; ``late`` ones break the replay order."""
     active = F.coalesce(F.col("_prior.event") == OPEN, F.lit(False))
     closing, opening = F.col("event") == CLOSE, F.col("event") == OPEN
     repeated = F.col("_prior").isNotNull()
@@ -223,7 +235,7 @@ def violations(records: DataFrame, sources: DataFrame, bounds: Sequence[float] =
     })
     failed = F.array_compact(F.array(
         F.when((F.col("event") == RECORD) & repeated, _CHECK_NO["duplicate record_id"]),
-        F.when((F.col("event") == PLACE) & repeated, _CHECK_NO["replay order is not strict"]),
+        F.when((F.col("event") == PLACE) & (repeated if late is None else repeated | late), _CHECK_NO["replay order is not strict"]),
         F.coalesce(replay, F.col("check"))))
     return before.select(
         "ledger_id", "record_id", "known_at", "commit_seq", "input_order", "pos", F.explode(failed).alias("check")).withColumn(

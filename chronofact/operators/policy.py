@@ -40,6 +40,12 @@ def _fill(template: str, **values: Column) -> Column:
     return F.concat(*parts)
 
 
+def rule_rows(issued: DataFrame) -> DataFrame:
+    """``issued`` (policy_key, version, rule_kind, required_region_id, ...) with rule_id and policy_version_id, the rows that :func:`render` takes."""
+    name = F.concat("policy_key", F.lit(":"), "version")
+    return issued.withColumns({"rule_id": identity.stable_id("rule", name), "policy_version_id": identity.stable_id("policy_version", name)})
+
+
 def render(rules: DataFrame) -> DataFrame:
     """Rules with policy_version_id, rule_kind, required_region_id, evaluation_time
     gain the rendered text and its clauses in order."""

@@ -9,7 +9,7 @@ from ..operators import graph, ledger, lexical
 from ..operators.skew import slice_bounds
 from ..session import scratch_path
 from ..sources.tables import spread, table
-from ..streaming import ingest
+from ..streaming import ingest, validate
 from . import ledgers
 from .registry import query
 from .retrieval import TERMS
@@ -215,3 +215,23 @@ def stream_ledger_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.as_of_view(records, ledgers.as_of()).select(
         "assertion_id", "logical_fact_id", "source_id", F.col("assertion.object").alias("object"),
         instants.utc_text("known_from").alias("known_from"), instants.utc_text("known_to").alias("known_to"))
+
+
+@query("stream_validation", f"""WITH {ledgers.FAULTED}
+, firsts AS (SELECT *, row_number() OVER (PARTITION BY input_order, pos, least(c, 2) ORDER BY c) AS nth FROM found)
+SELECT violation, count(*) AS n, count(DISTINCT ledger_id) AS ledgers FROM firsts WHERE nth = 1 GROUP BY violation""")
+def stream_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Records arrive in three parts, each read by a query that starts anew from the state of the one before it."""
+    events = table(spark, sf, "events")
+    bounds = slice_bounds(events, "ts")
+    records = ledgers.faulted_records(events, bounds)
+    arriving, found, checkpoint, whole = (scratch_path(spark, f"validate-{name}") for name in ("in", "out", "state", "all"))
+    records.write.parquet(whole)
+    stored = spark.read.parquet(whole)
+    at = F.unix_micros(F.col("known_at").cast("timestamp"))
+    third, more = stored.select(at.cast("double").alias("t")).approxQuantile("t", [1 / 3, 2 / 3], 0.01)
+    for low, high in ((None, third), (third, more), (more, None)):
+        part = stored if low is None else stored.where(at > low)
+        (part if high is None else part.where(at <= high)).write.mode("append").parquet(arriving)
+        validate.report(spark.readStream.schema(stored.schema).parquet(arriving), ledgers.sources(spark), found, checkpoint).awaitTermination()
+    return spark.read.parquet(found).groupBy("violation").agg(F.count("*").alias("n"), F.countDistinct("ledger_id").alias("ledgers"))

@@ -75,6 +75,18 @@ def chunk_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_inventory(docs, chunk_texts(spark, sf, "source", "lang"), ["source", "lang"])
 
 
+@query("chunk_run_inventory", f"""WITH {CHUNKS}
+SELECT 'all' AS profile_id, '1' AS profile_version,
+ '{{"chunker_version":"word-span-v1","max_tokens":180,"normalization":"frozen-normalized-utf8","overlap":30,"tokenizer_version":"unicode-word-regex-v1"}}' AS config,
+ count(*) FILTER (source IS DISTINCT FROM 'src0') AS document_count, count(*) FILTER (source = 'src0') AS definition_count,
+ (SELECT count(*) FROM chunks) AS chunk_count, (SELECT sum(token_count)::BIGINT FROM chunks) AS chunk_tokens FROM documents""")
+def chunk_run_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """The inventory of a run over all documents, those of one source counted as definitions."""
+    kind = F.when(F.col("source") == "src0", "definition").otherwise("document")
+    sources = table(spark, sf, "documents").select(kind.alias("kind"))
+    return chunking.run_inventory(sources, chunk_texts(spark, sf), chunking.ChunkConfig(), profile_id="all", profile_version="1")
+
+
 @query("chunk_clause_overlap", f"""WITH {CHUNKS},
 l AS (SELECT doc_id, [{{
         'clause_id': doc_id || ':' || i,
@@ -153,6 +165,22 @@ def bm25_chunk_topk(spark: SparkSession, sf: str) -> DataFrame:
                                text="chunk_text", query_key="item_id")
 
 
+@query("bm25_chunk_lineage", f"""WITH {CHUNKS},
+cd AS (SELECT doc_id, chunk_no, chunk_text AS text FROM chunks),
+{bm25_sql('cd', 'doc_id, chunk_no')},
+r AS (SELECT query_id, doc_id, chunk_no, score, rank, source AS source_id, doc_id::VARCHAR AS document_revision_id, span_start, span_end, 'lexical' AS origin_stage
+  FROM top JOIN chunks USING (doc_id, chunk_no))
+SELECT * FROM r""")
+def bm25_chunk_lineage(spark: SparkSession, sf: str) -> DataFrame:
+    """The best chunks of every query with where they come from."""
+    chunks = chunk_texts(spark, sf, "source")
+    found = lexical.bm25_search(chunks.select("doc_id", "chunk_no", "chunk_text"), table(spark, sf, "benchmark"), key=["doc_id", "chunk_no"],
+                                text="chunk_text", query_key="item_id")
+    placed = chunks.select("doc_id", "chunk_no", F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("document_revision_id"),
+                           "span_start", "span_end")
+    return lexical.with_lineage(found, placed, ["doc_id", "chunk_no"]).drop("row")
+
+
 @query("bm25_allowed_sources", f"""WITH {bm25_sql('documents', 'doc_id', "source IN ('src0', 'src3', 'src7')")}
 SELECT query_id, doc_id, score, rank FROM top""")
 def bm25_allowed_sources(spark: SparkSession, sf: str) -> DataFrame:

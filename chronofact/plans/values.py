@@ -159,6 +159,20 @@ def policy_rules(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("2026-09-15T17:00:00.000000Z").alias("evaluation_time"))
 
 
+@query("policy_rule_rows", f"""SELECT s_suppkey, key AS policy_key, version, {stable_sql('rule', "key || ':' || version")} AS rule_id,
+  {stable_sql('policy_version', "key || ':' || version")} AS policy_version_id, CASE WHEN s_acctbal > 5000 THEN '{policy.FLEET_RULE}' ELSE '{policy.REGION_RULE}' END AS rule_kind,
+  {stable_sql('region', 's_nationkey')} AS required_region_id, CASE WHEN s_acctbal > 5000 THEN '2026-09-15T17:00:00.000000Z' END AS evaluation_time
+FROM (SELECT *, 'S' || s_suppkey AS key, unnest(['v1', 'v2']) AS version FROM supplier)""")
+def policy_rule_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions of every supplier's policy as rule rows; only rules about incidents have an instant."""
+    fleet = F.col("s_acctbal") > 5000
+    issued = table(spark, sf, "supplier").select(
+        "s_suppkey", F.concat(F.lit("S"), "s_suppkey").alias("policy_key"), F.explode(F.array(F.lit("v1"), F.lit("v2"))).alias("version"),
+        F.when(fleet, policy.FLEET_RULE).otherwise(policy.REGION_RULE).alias("rule_kind"), identity.stable_id("region", "s_nationkey").alias("required_region_id"),
+        F.when(fleet, "2026-09-15T17:00:00.000000Z").alias("evaluation_time"))
+    return policy.rule_rows(issued)
+
+
 def _sql_body(template: str) -> str:
     body = template.replace("'", "''").replace("{region}", "' || region || '").replace("{time}", "2026-09-15T17:00:00.000000Z")
     return f"'{body}'"

@@ -7,6 +7,10 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
@@ -53,6 +57,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scopes: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch scopes", default=())
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below :func:`shared_dir`, noted in every open :func:`scratch_scope`."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for scope in _scopes.get():
+        scope.paths.append(path)
+    return path
+
+
+@dataclass
+class Scratch:
+    """The temporary tables made in a scope. Results that read them are lazy, so the caller says when they may go."""
+
+    spark: SparkSession
+    paths: list[str] = field(default_factory=list)
+
+    def release(self, keep: Iterable[str] = ()) -> None:
+        """Delete the tables but those in ``keep``; whoever still reads a deleted one fails."""
+        kept = set(keep)
+        for path in [p for p in self.paths if p not in kept]:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+            self.paths.remove(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scratch]:
+    """Collects the temporary tables that operators make inside; after the result is written, ``release()`` deletes them."""
+    scope = Scratch(spark)
+    token = _scopes.set((*_scopes.get(), scope))
+    try:
+        yield scope
+    finally:
+        _scopes.reset(token)

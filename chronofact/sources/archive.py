@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import inventory
+from ..session import scratch_path, scratch_scope
 from . import files
 
 # What a complete source archive holds.
@@ -94,7 +95,21 @@ def materialize(spark: SparkSession, root: str, output: str, expected_sha256: st
     one report row per archive. The error names every kind of violation;
     :func:`violations` has the archives.
     """
-    rows = members(spark, root, pattern)
+    with scratch_scope(spark) as scope:
+        try:
+            return _materialized(spark, _once(members(spark, root, pattern)), root, output, expected_sha256, pattern)
+        finally:
+            scope.release()
+
+
+def _once(member_rows: DataFrame) -> DataFrame:
+    """The members stored, so that checks and copies do not unzip the archives again."""
+    path = scratch_path(member_rows.sparkSession, "members")
+    member_rows.write.parquet(path)
+    return member_rows.sparkSession.read.schema(member_rows.schema).parquet(path)
+
+
+def _materialized(spark: SparkSession, rows: DataFrame, root: str, output: str, expected_sha256: str, pattern: str) -> DataFrame:
     broken = violations(rows, expected_sha256).select("violation").distinct().collect()
     if broken:
         raise ValueError("; ".join(sorted(b["violation"] for b in broken)))

@@ -198,3 +198,25 @@ def test_digests_of_any_key(spark):
     digest = lambda df: tuple(inventory.keyed_tree_digest(df, "k", F.col("k")).first())
     assert digest(named) == digest(named.repartition(7)) and digest(named)[1] == len(keys)
     assert digest(named.where("k <> '0'"))[0] != digest(named)[0]
+
+
+def test_stage_traces_count_every_stage_once(spark):
+    queries = spark.createDataFrame([("a",), ("b",), ("c",)], "query_id string")
+    found = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9), ("zz", 1)], "query_id string, item int")
+    chosen = spark.createDataFrame([("a", 1), ("a", 2)], "query_id string, item int")
+    traced = evaluation.stage_traces(queries, {"candidate": found, "selection": chosen}, {"candidate": 5})
+    watched, totals = evaluation.with_run_totals(traced, ["candidate", "selection"])
+    got = {r["query_id"]: (r["candidate_count"], r["selection_count"], r["candidate_limit"], r["truncated"], r["runtime_status"]) for r in watched.collect()}
+    assert got == {"a": (5, 2, 5, True, "completed_retrieval"), "b": (1, 0, 5, False, "completed_retrieval"), "c": (0, 0, 5, False, "no_result")}
+    assert totals.get == {"queries": 3, "no_result": 1, "truncated": 1, "candidate": 6, "selection": 2}
+    assert traced._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 3
+
+
+def test_rows_are_numbered_across_slices(spark):
+    from chronofact.operators.skew import number_rows
+
+    rows = spark.createDataFrame([(x,) for x in [5, 3, None, 9, 3, 7, None, 1]], "v int")
+    for bounds in ((), (3.0, 6.0)):
+        got = sorted((r["n"], r["v"]) for r in number_rows(rows, "v", bounds, "n").collect())
+        assert [n for n, _ in got] == list(range(8)) and [v for _, v in got] == [None, None, 1, 3, 3, 5, 7, 9]
+    assert number_rows(rows.limit(0), "v").count() == 0

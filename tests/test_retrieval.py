@@ -201,3 +201,30 @@ def test_index_of_odd_texts(spark, tmp_path):
     assert [tuple(r) for r in got] == [tuple(r) for r in lexical.bm25_search(docs, asked, key=["doc_id"], query_key="qid").collect()]
     with pytest.raises(ValueError, match="unique"):
         lexical.write_index(docs.unionByName(docs), none, key=["doc_id"])
+
+
+def test_clauses_of_a_span_equal_brute_force(spark):
+    rng = random.Random(8)
+    clauses = [(f"c{i % 40}", *sorted((rng.randrange(300), rng.randrange(300)))) for i in range(300)] + [("n", None, 5), ("m", 5, None), (None, 3, 9), ("e", 7, 7)]
+    clauses += [("all", 0, 300)]
+    rng.shuffle(clauses)
+    spans = [(a, a + rng.randrange(1, 80)) for a in range(0, 310, 7)]
+    df = spark.createDataFrame([(s, e, clauses) for s, e in spans] + [(1, 5, []), (1, 5, None)],
+                               "s int, e int, clauses array<struct<clause_id:string,span_start:int,span_end:int>>")
+    df = df.withColumn("i", chunking.clause_index(F.col("clauses"))).withColumns({
+        "a": F.transform("i", lambda c: c["a"]), "b": tx.running_maxima(F.transform("i", lambda c: c["b"]), block=16)})
+    for r in df.select("*", chunking.overlapping(F.col("i"), F.col("a"), F.col("b"), F.col("s"), F.col("e")).alias("got")).collect():
+        want = [c["clause_id"] for c in r["clauses"] or () if c["span_start"] is not None and c["span_end"] is not None
+                and c["span_start"] < r["e"] and c["span_end"] > r["s"]]
+        assert sorted(r["got"], key=lambda x: (x is None, x or "")) == sorted(want, key=lambda x: (x is None, x or ""))
+
+
+def test_a_document_of_many_clauses_ends_in_seconds(spark):
+    n = 100_000
+    text = " ".join(f"w{i}" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string").withColumn("clauses", F.transform(
+        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.cast("string").alias("clause_id"), (i * 6).alias("span_start"), (i * 6 + 6).alias("span_end"))))
+    start = time.time()
+    found = chunking.chunk_spans(df, clauses="clauses").agg(F.sum(F.size("clause_ids")), F.count("*")).first()
+    assert found[1] == 667 and found[0] > n
+    assert time.time() - start < 45

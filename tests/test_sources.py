@@ -215,3 +215,24 @@ def test_article_counts_and_single_document(spark, tmp_path):
     assert b"".join(p.read_bytes() for p in (tmp_path / "doc").glob("part-*")).decode() == '{"a":"é","b":1}\n'
     with pytest.raises(ValueError, match="exactly one row"):
         files.write_json(spark.range(2), str(tmp_path / "two"))
+
+
+def test_scratch_tables_go_when_the_caller_says_so(spark):
+    from pathlib import Path
+
+    from chronofact.session import scratch_path, scratch_scope
+
+    with scratch_scope(spark) as outer:
+        with scratch_scope(spark) as inner:
+            paths = [scratch_path(spark, "scope-test") for _ in range(3)]
+            for path in paths[:2]:
+                spark.range(3).write.parquet(path)
+        assert inner.paths == outer.paths == paths
+        inner.release(keep=paths[1:2])
+        there = [Path(p.removeprefix("file:")).exists() for p in paths]
+        assert there == [False, True, False] and inner.paths == paths[1:2]
+        assert spark.read.parquet(paths[1]).count() == 3
+    outside = scratch_path(spark, "scope-test")
+    assert outside not in outer.paths
+    outer.release()
+    assert not Path(paths[1].removeprefix("file:")).exists() and outer.paths == []
