@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from chronofact.llm import bpe, jaccard, mixing, quality, toxicity
 from chronofact.llm.columns import words
 from chronofact.llm.near import stored
+from chronofact.session import scratch_scope
 from chronofact.sources.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -62,10 +63,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stored in the shared folder before the next."""
+    """All stages over ``documents``, each stored in the shared folder before the next.
+
+    What a stage made on its way, and its input, is deleted once its result is
+    stored. The input of the last stage stays: the result is read from it.
+    """
     docs = table(spark, sf_dir, "documents")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{at}")
+    with scratch_scope(spark) as scope:
+        for at, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if at < len(STAGES) - 1:
+                docs = stored(docs, f"pipeline-{at}")
+                scope.release(keep=scope.paths[-1:])
     return docs
