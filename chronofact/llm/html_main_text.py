@@ -10,6 +10,7 @@ invented layouts filled with the words of the given ones.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -231,20 +232,18 @@ JUNK_NAMES = re.compile(
 MAIN_NAMES = re.compile(r"^(article|content|post|entry|story|main|body|text|prose)$")
 
 
-def _parts(block: Block) -> list[list[str]]:
-    return [p.split(".") for p in block.path]
-
-
-def _junk(block: Block) -> bool:
-    """The tag or a name of an element around the block says that it is no main text."""
-    return any(tag in JUNK or any(JUNK_NAMES.match(n) for n in names) for tag, *names in _parts(block))
+@functools.lru_cache(MEMORY)
+def _junk(path: tuple[str, ...]) -> bool:
+    """The tag or a name of an element around a block says that it is no main text."""
+    return any(tag in JUNK or any(JUNK_NAMES.match(n) for n in names) for tag, *names in (p.split(".") for p in path))
 
 
 def certain(page: Sequence[Block]) -> np.ndarray | None:
     """Labels where the markup leaves no doubt: a page with an article or main element, junk by tag or name."""
-    if not any(tag in ("article", "main") for b in page for tag, *_ in _parts(b)):
+    inside = [any(p.partition(".")[0] in ("article", "main") for p in b.path) for b in page]
+    if not any(inside):
         return None
-    return np.array([any(tag in ("article", "main") for tag, *_ in _parts(b)) and not _junk(b) for b in page], np.float32)
+    return np.array([main and not _junk(b.path) for main, b in zip(inside, page, strict=True)], np.float32)
 
 
 def only_article(page: Sequence[Block]) -> np.ndarray | None:
@@ -252,7 +251,7 @@ def only_article(page: Sequence[Block]) -> np.ndarray | None:
 
     Articles that are junk by tag or name, such as comments, do not count.
     """
-    fine = np.array([b.article if b.article and not _junk(b) else 0 for b in page], np.int64)
+    fine = np.array([b.article if b.article and not _junk(b.path) else 0 for b in page], np.int64)
     found = set(fine.tolist()) - {0}
     return fine > 0 if len(found) == 1 else None
 
