@@ -9,11 +9,14 @@ objects are walked element by element inside the row.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
+
 FINDING = "array<struct<path:string,problem:string,expected:string,found:string>>"
 
 
@@ -70,13 +73,11 @@ def _name(node: Node) -> str:
 
 def kind_of(value: Column) -> Column:
     """``object``, ``array``, ``string``, ``integer``, ``number``, ``boolean`` or ``null``; null where there is no value."""
-    shape = F.schema_of_variant(value)
-    starts = [("OBJECT", "object"), ("ARRAY", "array"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("VOID", "null"),
-              ("BIGINT", "integer"), ("INT", "integer"), ("SMALLINT", "integer"), ("TINYINT", "integer")]
-    found = F.when(shape.isNull(), F.lit(None).cast("string"))
-    for prefix, name in starts:
-        found = found.when(shape.startswith(prefix), name)
-    return found.otherwise("number")
+    names = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null",
+             "BIGINT": "integer", "INT": "integer", "SMALLINT": "integer", "TINYINT": "integer"}
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return let(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0),
+               lambda name: F.coalesce(F.try_element_at(table, name), F.when(name.isNotNull(), "number")))
 
 
 def _none() -> Column:
@@ -89,7 +90,6 @@ def _one(path: Column, problem: str, expected: str, found: Column) -> Column:
 
 def findings(value: Column, node: Node, path: Column) -> Column:
     """The findings of a variant that is there, as an array."""
-    kind = kind_of(value)
     want = _name(node).removesuffix(" or null")
     if isinstance(node, Text):
         text = F.try_variant_get(value, "$", "string")
@@ -109,10 +109,13 @@ def findings(value: Column, node: Node, path: Column) -> Column:
         inside = _record(value, node, path)
     else:
         raise TypeError("a tagged node stands in a record")
-    wrong = F.when(kind == want, inside)
-    if node.nullable:
-        wrong = wrong.when(kind == "null", _none())
-    return wrong.otherwise(_one(path, "type", _name(node), kind))
+
+    def judged(kind: Column) -> Column:
+        wrong = F.when(kind == want, inside)
+        if node.nullable:
+            wrong = wrong.when(kind == "null", _none())
+        return wrong.otherwise(_one(path, "type", _name(node), kind))
+    return let(kind_of(value), judged)
 
 
 def _record(value: Column, node: Record, path: Column) -> Column:
@@ -122,19 +125,23 @@ def _record(value: Column, node: Record, path: Column) -> Column:
         F.concat(path, F.lit("."), k).alias("path"), F.lit("unknown key").alias("problem"), F.lit("nothing").alias("expected"),
         F.lit("a value").alias("found"))).cast(FINDING)]
     for name, child in node.fields.items():
-        here, at = F.try_variant_get(value, f"$.{name}", "variant"), F.concat(path, F.lit(f".{name}"))
-        if isinstance(child, ByTag):
-            tag = F.try_variant_get(value, f"$.{child.tag}", "string")
-            inside = F.when(tag.isNull(), _none())
-            for label, case in child.cases.items():
-                inside = inside.when(tag == label, findings(here, case, at))
-            inside = inside.otherwise(_none())
-        else:
-            inside = findings(here, child, at)
-        parts.append(F.when(here.isNull(), _one(at, "missing", _name(child), F.lit(None))).otherwise(inside))
+        parts.append(let(F.try_variant_get(value, f"$.{name}", "variant"), functools.partial(_member, value, name, child, path)))
     return F.concat(*parts)
 
 
+def _member(value: Column, name: str, child: Node, path: Column, here: Column) -> Column:
+    at = F.concat(path, F.lit(f".{name}"))
+    if isinstance(child, ByTag):
+        tag = F.try_variant_get(value, f"$.{child.tag}", "string")
+        inside = F.when(tag.isNull(), _none())
+        for label, case in child.cases.items():
+            inside = inside.when(tag == label, findings(here, case, at))
+        inside = inside.otherwise(_none())
+    else:
+        inside = findings(here, child, at)
+    return F.when(here.isNull(), _one(at, "missing", _name(child), F.lit(None))).otherwise(inside)
+
+
 def schema_findings(documents: DataFrame, node: Record, *, json: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns with path, problem, expected and found, a row for each finding in each JSON text.
 
