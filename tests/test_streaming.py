@@ -78,3 +78,37 @@ def test_state_is_one_row_per_key():
         assert len(made) == 500 and not made["late"].any()
         assert len(state.held) == 6 and state.held[1] == (start + 499) * 10
     assert made["prior_micros"].iloc[0] == 4_990
+
+
+def test_keys_of_a_bucket_follow_each_other_apart(spark):
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    import pandas as pd
+
+    state, seen, calls = State(), [], 0
+    for start in range(0, 3_000, 1_000):  # of 900 keys in all most come again
+        rows = [(None if n % 5 == 0 else "L", None if n % 7 == 0 else f"k{n % 900}", f"r{n}", "a", n * 10, n, n, 0, "open", -1, None)
+                for n in range(start, start + 1_000)]
+        seen += [made for made in validate.look_back_bucket((1,), iter([pd.DataFrame(rows[::-1], columns=validate.NAMES)]), state)]
+        calls += 1
+    assert len(seen) == calls  # one table for a bucket, not one for a key
+    found = pd.concat(seen).sort_values("input_order")
+    last = {}
+    for row in found.itertuples(index=False):
+        key = (row.ledger_id, row.key)
+        assert not row.late and row.prior_micros == last.get(key, validate.NO_INSTANT)
+        last[key] = row.micros
+    assert len(found) == 3_000 and len(last) > 700
+
+
+def test_a_stream_is_grouped_by_buckets_of_keys(spark, tmp_path):
+    rows = broken(3)
+    frame, sources = frames(spark, rows)
+    frame.write.parquet(str(tmp_path / "in"))
+    found = validate.violations(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), sources)
+    plan = found._jdf.queryExecution().logical().toString()
+    assert "look_back_bucket(bucket#" in plan.replace(" ", "") or "[bucket#" in plan
