@@ -73,7 +73,7 @@ def event_records(events: DataFrame, bounds: Sequence[float] = ()) -> DataFrame:
 
 def ledger_records(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
-    return event_records(events, slice_bounds(events, "ts")).drop("user_id", "props", "prev", "ts")
+    return event_records(events, slice_bounds(events, "ts", keys=["user_id"])).drop("user_id", "props", "prev", "ts")
 
 
 VIEW = f"""
@@ -101,7 +101,7 @@ decisions AS (SELECT logical_fact_id, CASE WHEN n IS NULL THEN 'missing' WHEN n
 def view(spark: SparkSession, sf: str) -> DataFrame:
     """The as-of view; later events are left out in the scan, since no record depends on them."""
     events = table(spark, sf, "events")
-    records = event_records(events.where(F.col("ts") <= as_of()), slice_bounds(events, "ts"))
+    records = event_records(events.where(F.col("ts") <= as_of()), slice_bounds(events, "ts", keys=["user_id"]))
     return ledger.as_of_view(records.drop("user_id", "props", "prev", "ts"), as_of())
 
 
@@ -122,7 +122,7 @@ def next_change(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
     error = F.when(F.col("event_type") == "error", F.col("ts"))
     found = first_after(events, ["user_id"], ["ts", "event_id"], {"next_error": error, "next_ts": F.col("ts")},
-                        slice_bounds(events, "ts"))
+                        slice_bounds(events, "ts", keys=["user_id"]))
     return found.select("event_id", "next_error", "next_ts")
 
 
@@ -168,7 +168,7 @@ SELECT o_orderkey, known_as_of, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 TH
 def ledger_as_of_requests(spark: SparkSession, sf: str) -> DataFrame:
     """What was known of a user at the instant of each order's question."""
     events = table(spark, sf, "events")
-    bounds = slice_bounds(events, "ts")
+    bounds = slice_bounds(events, "ts", keys=["user_id"])
     records = event_records(events, bounds).drop("user_id", "props", "prev", "ts")
     minutes = (F.col("o_orderkey") * 7919 % 43200).cast("int")
     requests = table(spark, sf, "orders").select(
@@ -196,7 +196,7 @@ WHERE x.r IS NOT NULL AND (x.status <> y.status OR x.value IS DISTINCT FROM y.va
 def counterfactual_effects(spark: SparkSession, sf: str) -> DataFrame:
     """Per fact, the records without which its answer would be another."""
     events = table(spark, sf, "events")
-    records = event_records(events.where(F.col("ts") <= as_of()), slice_bounds(events, "ts")).drop("user_id", "props", "prev", "ts")
+    records = event_records(events.where(F.col("ts") <= as_of()), slice_bounds(events, "ts", keys=["user_id"])).drop("user_id", "props", "prev", "ts")
     return counterfactual.removal_effects(records, sources(spark)).drop("ledger_id")
 
 
@@ -289,7 +289,7 @@ SELECT ledger_id, violation, record_id, known_at, commit_seq FROM (SELECT *, row
   ORDER BY known_at, commit_seq, input_order, pos, c) AS n FROM found) WHERE n = 1""")
 def validate_ledger(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
-    bounds = slice_bounds(events, "ts")
+    bounds = slice_bounds(events, "ts", keys=["user_id"])
     return ledger.validate_ledger(faulted_records(events, bounds), sources(spark), bounds)
 
 
@@ -299,7 +299,7 @@ SELECT violation, count(*) AS n, count(DISTINCT ledger_id) AS ledgers FROM first
 def ledger_violations(spark: SparkSession, sf: str) -> DataFrame:
     """How often each rule is the first one that a record, or one of its closings and openings, breaks."""
     events = table(spark, sf, "events")
-    bounds = slice_bounds(events, "ts")
+    bounds = slice_bounds(events, "ts", keys=["user_id"])
     found = ledger.violations(faulted_records(events, bounds), sources(spark), bounds)
     return found.groupBy("violation").agg(F.count("*").alias("n"), F.countDistinct("ledger_id").alias("ledgers"))
 
@@ -319,7 +319,7 @@ UNION ALL SELECT ledger_id, NULL, record_id, known_at, NULL, violation FROM bad"
 def reduce_prefix(spark: SparkSession, sf: str) -> DataFrame:
     """The validated state of every ledger at the as-of time, or why a ledger has none; a quarter of the users break rules."""
     events = table(spark, sf, "events")
-    bounds = slice_bounds(events, "ts")
+    bounds = slice_bounds(events, "ts", keys=["user_id"])
     records = faulted_records(events, bounds, sound=F.col("user_id") % 4 != 0)
     current, rejected = ledger.reduce_prefix(records, sources(spark), as_of(), bounds)
     return current.select("ledger_id", "assertion_id", "record_id", "known_from", "known_to", F.lit(None).cast("string").alias("violation")).unionByName(

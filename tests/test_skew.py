@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from chronofact import session
 from chronofact.functions import instants
-from chronofact.operators.skew import fits_broadcast
+from chronofact.operators.skew import first_after, fits_broadcast, hot_buckets, last_before, lookup_join, slice_bounds
 
 
 def test_nested_content_is_measured(spark):
@@ -54,3 +54,38 @@ def test_utc_text_in_any_session_zone(spark, zone):
                              "2026-03-08T02:30:00.000000Z", "2026-03-08T02:30:00.000001Z", None]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_only_hot_keys_of_the_small_side_are_repeated(spark, how):
+    big = spark.range(3_000).select(F.when(F.col("id") < 2_000, 7).when(F.col("id") < 2_500, None).otherwise(F.col("id")).alias("k"), "id")
+    small = spark.range(2_900).select(F.col("id").cast("int").alias("k"), F.concat(F.lit("n"), "id").alias("name"))
+    assert len(hot_buckets(big, ["k"], 400)) == 2  # of the key 7 and of null
+    want = big.join(F.broadcast(small), ["k"], how)
+    for hot_rows in (400, 10_000):
+        got = lookup_join(big, small, ["k"], how, small_fits=False, salt=F.col("id"), hot_rows=hot_rows)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    if how != "left_semi":
+        plain = lookup_join(big, small, ["k"], how, small_fits=False, salt=F.col("id"))
+        assert "explode" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("hot_rows", [0, 150, 10_000])
+def test_neighbours_are_the_same_whichever_keys_are_cut(spark, hot_rows):
+    rows = spark.range(1_000).select(
+        F.col("id").alias("i"), F.when(F.col("id") % 2 == 0, 1).when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 40).alias("k"),
+        F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 500).alias("t"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("v")).localCheckpoint()
+    bounds = slice_bounds(rows, "t", 60)
+    assert len(bounds) > 10 and bool(slice_bounds(rows, "t", 60, ["k"], hot_rows)) is (hot_rows < 10_000)
+    for look in (last_before, first_after):
+        values = {"p": F.col("v"), "q": F.struct("i")}
+        want = look(rows, ["k"], ["t", "i"], values)
+        got = look(rows, ["k"], ["t", "i"], values, bounds, hot_rows)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rows_move_once_when_a_long_history_is_cut(spark):
+    rows = spark.range(1_000).select(F.col("id").alias("i"), (F.col("id") % 2).alias("k"), F.col("id").alias("t"))
+    found = last_before(rows, ["k"], ["t"], {"p": F.col("i")}, [250.0, 500.0], hot_rows=100)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and found.where("p = i - 2").count() == 998
