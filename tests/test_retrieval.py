@@ -4,6 +4,8 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +230,44 @@ def test_a_document_of_many_clauses_ends_in_seconds(spark):
     found = chunking.chunk_spans(df, clauses="clauses").agg(F.sum(F.size("clause_ids")), F.count("*")).first()
     assert found[1] == 667 and found[0] > n
     assert time.time() - start < 45
+
+
+@pytest.mark.parametrize("hits", [1, 50, 10**6])
+def test_a_task_holds_the_best_only(hits):
+    rng = random.Random(hits)
+    terms, queries = 12, 5
+    flat = sorted((t, q, rng.random()) for q in range(queries) for t in rng.sample(range(terms), 6))
+    starts = np.searchsorted([f[0] for f in flat], np.arange(terms + 1))
+    scorer = lexical.TaskScorer(starts, np.array([f[1] for f in flat]), np.array([f[2] for f in flat]), queries, 9.0, ["id"], 4, 1.2, 0.75, hits)
+    docs = [{"id": i, "_p": [{"_t": t, "_tf": rng.randint(1, 3), "_len": 5 + i % 4} for t in sorted(rng.sample(range(terms), rng.randint(1, 8)))]}
+            for i in range(300)]
+    kind = pa.schema([("id", pa.int64()), ("_p", pa.list_(pa.struct([("_t", pa.int32()), ("_tf", pa.int64()), ("_len", pa.int64())])))])
+    batches = pa.Table.from_pylist(docs, schema=kind).to_batches(max_chunksize=70)
+    assert all(len(q) <= max(hits, 30) for batch in batches for _, q, _ in scorer.parts(batch))
+    got = sorted((r["_q"], -r["score"], r["id"]) for b in scorer(iter(batches)) for r in b.to_pylist())
+    want = []
+    for q in range(queries):
+        weight = {t: w for t, p, w in flat if p == q}
+        scored = sorted((-round(sum(weight[e["_t"]] * e["_tf"] * 2.2 / (e["_tf"] + 1.2 * (0.25 + 0.75 * e["_len"] / 9.0))
+                                    for e in d["_p"] if e["_t"] in weight), 9), d["id"]) for d in docs)
+        want += [(q, s, i) for s, i in scored[:4]]
+    assert [(q, i) for q, _, i in got] == [(q, i) for q, _, i in want]
+    assert all(abs(a[1] - b[1]) < 1e-8 for a, b in zip(got, want, strict=True))
+
+
+def test_repeated_and_null_keys_are_searched_alike_by_either_way(spark):
+    texts = random_texts(3, 40, 12, "abcd")
+    docs = [(None if i % 9 == 0 else i % 30, None if i % 11 == 0 else t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame([(1, "a b"), (2, "b a"), (None, "c"), (4, "a a b"), (4, "zz")], "qid long, text string")
+    one, other = ([tuple(r) for r in lexical.bm25_search(d, q, key=["doc_id"], query_key="qid", top_k=6, allowed=F.col("doc_id").isNull() | (F.col("doc_id") % 3 != 1),
+                                                         broadcast_rows=n).collect()] for n in (lexical.BROADCAST_ROWS, 0))
+    assert len(one) > 18 and sorted(map(str, one)) == sorted(map(str, other))
+
+
+def test_pairs_of_query_and_document_are_not_rows(spark):
+    d = spark.createDataFrame(list(enumerate(random_texts(2, 50, 20))), "doc_id long, text string")
+    q = spark.createDataFrame([(1, "a b"), (2, "a b c")], "qid long, text string")
+    found = lexical.bm25_search(d, q, key=["doc_id"], query_key="qid")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not re.search(r"Aggregate \[[^\]]*query_id", plan)
