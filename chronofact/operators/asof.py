@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import scratch_path
 from . import ledger
 from .skew import fits_broadcast, first_after, lookup_join, with_slices
 
@@ -96,6 +97,12 @@ def open_at(intervals: DataFrame, asked: DataFrame, at: str = "known_as_of", key
     return asks.join(kept, [*keys, "_node"]).where(holds).drop("_node")
 
 
+def _stored(rows: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def answer_requests(intervals: DataFrame, sources: DataFrame, requests: DataFrame, at: str = "known_as_of",
                     per_cell: int = PER_CELL) -> DataFrame:
     """``requests`` with status, value, authority rank and support of their fact at their own instant ``at``.
@@ -105,8 +112,9 @@ def answer_requests(intervals: DataFrame, sources: DataFrame, requests: DataFram
     ``missing``.
     """
     keys = [*FACT, at]
-    asked = requests.select(*keys).distinct()
+    # Each is read several times, to count, to measure and to join.
+    intervals, asked = _stored(intervals, "intervals"), _stored(requests.select(*keys).distinct(), "asked")
     decided = ledger.decide(open_at(intervals, asked, at, per_cell=per_cell), sources, asked, keys)
-    known = decided.where("status <> 'missing'")
+    known = _stored(decided.where("status <> 'missing'"), "decided")
     found = lookup_join(requests, known, keys, "left", small_fits=fits_broadcast(known), salt=F.struct(*requests.columns))
     return found.withColumns({"status": F.coalesce("status", F.lit("missing")), "support": F.coalesce("support", F.lit(0).cast("bigint"))})
