@@ -131,3 +131,23 @@ def test_a_rejected_ledger_without_id_has_no_state(spark):
     frame, sources = frames(spark, rows)
     state, rejected = ledger.reduce_prefix(frame, sources, F.lit(day(9)).cast("timestamp_ntz"))
     assert [r["ledger_id"] for r in state.collect()] == ["L"] and [r["ledger_id"] for r in rejected.collect()] == [None]
+
+
+def test_intervals_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passing(text):
+        seen.add(1)
+        return text
+
+    intervals = spark.range(50).select(
+        F.lit("L").alias("ledger_id"), passing((F.col("id") % 5).cast("string")).alias("logical_fact_id"), F.col("id").cast("string").alias("assertion_id"),
+        F.lit("a").alias("source_id"), F.lit("1").alias("object"), F.lit("2024-01-01").cast("timestamp_ntz").alias("known_from"),
+        F.lit(None).cast("timestamp_ntz").alias("known_to"))
+    sources = spark.sql("SELECT 'a' AS source_id, 1 AS authority_rank")
+    requests = spark.range(6).select(F.lit("L").alias("ledger_id"), F.col("id").cast("string").alias("logical_fact_id"),
+                                     F.lit("2024-02-01").cast("timestamp_ntz").alias("known_as_of"))
+    got = {r["logical_fact_id"]: (r["status"], r["support"]) for r in asof.answer_requests(intervals, sources, requests).collect()}
+    assert got == {**{str(i): ("accepted", 10) for i in range(5)}, "5": ("missing", 0)}
+    assert seen.value == 50
