@@ -271,3 +271,34 @@ def test_pairs_of_query_and_document_are_not_rows(spark):
     found = lexical.bm25_search(d, q, key=["doc_id"], query_key="qid")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and not re.search(r"Aggregate \[[^\]]*query_id", plan)
+
+
+def test_a_search_moves_no_posting_and_sorts_none_by_document(spark):
+    d = spark.createDataFrame(list(enumerate(random_texts(2, 50, 20))), "doc_id long, text string")
+    q = spark.createDataFrame([(1, "a b"), (2, "a b c")], "qid long, text string")
+    plan = lexical.bm25_search(d, q, key=["doc_id"], query_key="qid")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):plan.index("FileScan")]
+    assert not re.search(r"Exchange|Sort|Aggregate|Join", below)
+
+
+def test_equal_scores_in_many_tasks_go_by_key(spark):
+    docs = [(f"{i * 7919 % 1000:03d}", None if i % 50 == 0 else i % 3, "a b" if i % 2 else "a b b") for i in range(1000)]
+    d = spark.createDataFrame(docs, "doc_id string, part int, text string").repartition(7)
+    q = spark.createDataFrame([(1, "a"), (2, "b")], "qid long, text string")
+    got, want = ([tuple(r) for r in lexical.bm25_search(d, q, key=["part", "doc_id"], query_key="qid", top_k=30, broadcast_rows=n).orderBy("query_id", "rank").collect()]
+                 for n in (lexical.BROADCAST_ROWS, 0))
+    assert got == want and len(got) == 60 and [r[1] for r in got[30:]] == [None] * 20 + [0] * 10
+    nested = d.select(F.struct("part", "doc_id").alias("k"), "text")
+    assert [(r["k"]["part"], r["k"]["doc_id"], r["rank"]) for r in lexical.bm25_search(nested, q, key=["k"], query_key="qid", top_k=30).orderBy("query_id", "rank").collect()] \
+        == [(r[1], r[2], r[4]) for r in want]
+
+
+def test_rows_of_repeated_keys_are_added_up_in_parts(spark):
+    texts = random_texts(4, 400, 12, "abcd")
+    docs = [(0 if i < 300 else None if i < 320 else i, t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame([(1, "a b"), (2, "c d d")], "qid long, text string")
+    found = lexical.bm25_search(d, q, key=["doc_id"], query_key="qid")
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    other = lexical.bm25_search(d, q, key=["doc_id"], query_key="qid", broadcast_rows=0)
+    assert sorted(map(str, found.collect())) == sorted(map(str, other.collect())) and found.where("rank = 1 and doc_id = 0").count() == 2
