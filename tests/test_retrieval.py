@@ -302,3 +302,22 @@ def test_rows_of_repeated_keys_are_added_up_in_parts(spark):
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
     other = lexical.bm25_search(d, q, key=["doc_id"], query_key="qid", broadcast_rows=0)
     assert sorted(map(str, found.collect())) == sorted(map(str, other.collect())) and found.where("rank = 1 and doc_id = 0").count() == 2
+
+
+@pytest.mark.parametrize("broadcast_rows", [lexical.BROADCAST_ROWS, 0])
+def test_an_index_keeps_a_document_once_and_moves_a_posting_once(spark, tmp_path, broadcast_rows):
+    path = str(tmp_path / "index")
+    texts = random_texts(12, 300, 25, "abcdeß")
+    docs = [(i % 7, f"{i:03d}", None if i % 31 == 0 else i % 3, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "a int, b string, c int, text string").repartition(5)
+    lexical.write_index(frame, path, key=["a", "b"], carry=["c"], block_docs=8)
+    assert spark.read.parquet(f"{path}/postings").columns == ["term", "_block", "_max_tf", "_min_len", "_places", "_tfs", "_bucket"]
+    stored = spark.read.parquet(f"{path}/documents").select(F.size("_docs").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    assert tuple(stored) == (300, 8)
+    asked = spark.createDataFrame([(1, "a b c"), (2, "c b a"), (3, "dd aa a"), (4, "")], "qid long, text string")
+    found = lexical.search_index(spark, path, asked, key=["a", "b"], query_key="qid", allowed=F.col("c") != 1, broadcast_rows=broadcast_rows)
+    if broadcast_rows:
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Aggregate \[[^\]]*query_id|Join[^\n]*_w#", plan)
+    want = lexical.bm25_search(frame, asked, key=["a", "b"], query_key="qid", allowed=F.col("c") != 1)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() == 30
