@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from chronofact.operators import lexical
 from chronofact.plans import load
 
 FOLDER = "/root/testdata/sf0.001"
@@ -64,6 +65,28 @@ def test_terms_are_counted_before_they_travel(spark, name):
             assert "term" not in below and "_tf" not in below
 
 
+SEARCHES = ["bm25_chunk_lineage"]
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_a_task_of_a_search_holds_no_share_of_the_texts(spark, monkeypatch, name):
+    """What is sorted, gathered or joined by document takes memory that grows with the texts."""
+    plans, search = [], lexical.bm25_search
+
+    def noted(*args, **named):
+        found = search(*args, **named)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(lexical, "bm25_search", noted)
+    QUERIES[name](spark, FOLDER)
+    assert plans
+    for plan in plans:
+        assert "MapInArrow" in plan
+        below = plan[plan.index("MapInArrow"):]
+        assert not re.search(r"Sort|Aggregate|Join", below[:below.index("FileScan")])
+
+
 @pytest.mark.parametrize("name", ["validate_ledger", "ledger_violations"])
 def test_validation_looks_back_once(spark, name):
     plan = plan_of(spark, name)
