@@ -65,7 +65,7 @@ def test_terms_are_counted_before_they_travel(spark, name):
             assert "term" not in below and "_tf" not in below
 
 
-SEARCHES = ["bm25_chunk_lineage", "bm25_topk"]
+SEARCHES = ["bm25_chunk_lineage", "bm25_topk", "evidence_recall"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
