@@ -65,7 +65,7 @@ def test_terms_are_counted_before_they_travel(spark, name):
             assert "term" not in below and "_tf" not in below
 
 
-SEARCHES = ["bm25_chunk_lineage", "bm25_topk", "evidence_recall", "missing_roles", "pin_fallback", "query_completeness"]
+SEARCHES = ["bm25_chunk_lineage", "bm25_topk", "evidence_recall", "missing_roles", "pin_fallback", "query_completeness", "retrieval_traces"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
