@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import time
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronofact.functions import text as tx
 from chronofact.operators import catalog, chunking, lexical
+from chronofact.session import scratch_scope
 from test_text import python_terms
 
 
@@ -321,3 +323,29 @@ def test_an_index_keeps_a_document_once_and_moves_a_posting_once(spark, tmp_path
         assert not re.search(r"Aggregate \[[^\]]*query_id|Join[^\n]*_w#", plan)
     want = lexical.bm25_search(frame, asked, key=["a", "b"], query_key="qid", allowed=F.col("c") != 1)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() == 30
+
+
+def test_a_task_packs_the_postings_of_a_few_blocks_at_a_time(spark, tmp_path, monkeypatch):
+    held, pack = [], lexical.BlockMaker.packed
+    monkeypatch.setattr(lexical, "PACK_BYTES", 20_000)
+    monkeypatch.setattr(lexical, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Of", (), {"partitionId": lambda self: 3})())}))
+    monkeypatch.setattr(lexical.BlockMaker, "packed", staticmethod(lambda rows, shape: (held.append([r.nbytes for r in rows]), pack(rows, shape))[1]))
+    rng = random.Random(3)
+    docs = [{"id": i, "_t": None if i % 40 == 0 else [f"w{rng.randrange(300)}" for _ in range(rng.randrange(60))]} for i in range(2_000)]
+    batches = pa.Table.from_pylist(docs, schema=pa.schema([("id", pa.int64()), ("_t", pa.list_(pa.string()))])).to_batches(max_chunksize=700)
+    made = pa.Table.from_batches(list(lexical.BlockMaker(["id"], 16)(iter(batches))))
+    assert len(held) > 20 and all(sum(sizes[:-1]) < 20_000 for sizes in held)
+    ids = {r["_block"]: [d["id"] for d in r["_docs"]] for r in made.select(["_block", "_docs"]).to_pylist() if r["_docs"] is not None}
+    packed = made.filter(pa.compute.is_valid(made["_packed"])).select(["_bucket", "_packed"])
+    assert all(len(b) < 20_000 for b in packed["_packed"].to_pylist())
+    rows = pa.Table.from_batches(list(lexical._unpacked(packed.to_batches()))).to_pylist()
+    got = sorted((ids[r["_block"]][p], r["term"], tf) for r in rows for p, tf in zip(r["_places"], r["_tfs"], strict=True))
+    assert got == sorted((d["id"], t, n) for d in docs for t, n in Counter(d["_t"] or ()).items())
+    wanted = spark.createDataFrame([(r["_bucket"], r["term"]) for r in rows], "b int, term string").where(lexical._bucket("term") != F.col("b"))
+    assert wanted.isEmpty()
+
+
+def test_an_index_leaves_nothing_but_itself(spark, tmp_path):
+    with scratch_scope(spark) as scope:
+        lexical.write_index(spark.createDataFrame([(1, "a b"), (2, "é a")], "doc_id long, text string"), str(tmp_path / "index"), key=["doc_id"])
+    assert scope.paths and not any(os.path.exists(path) for path in scope.paths)
