@@ -349,3 +349,31 @@ def test_an_index_leaves_nothing_but_itself(spark, tmp_path):
     with scratch_scope(spark) as scope:
         lexical.write_index(spark.createDataFrame([(1, "a b"), (2, "é a")], "doc_id long, text string"), str(tmp_path / "index"), key=["doc_id"])
     assert scope.paths and not any(os.path.exists(path) for path in scope.paths)
+
+
+@pytest.mark.parametrize("room,turn", [(0, 3), (1, 500_000)])
+def test_common_and_rare_terms_are_searched_alike(spark, monkeypatch, room, turn):
+    monkeypatch.setattr(lexical, "PAIRS_PER_ROW", room)
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", turn)
+    texts = random_texts(21, 60, 12, "abcdeß") + [f"fleet n{i % 9}" for i in range(40)]
+    docs = [(None if i % 19 == 0 else i % 80, None if i % 23 == 0 else t) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    asked = [(i, f"fleet n{i}") for i in range(12)] + [(50, "a b"), (51, "b a"), (None, "c fleet"), (52, "a a b"), (52, "zz"), (53, None), (54, "zz")]
+    q = spark.createDataFrame(asked, "qid long, text string")
+    allowed = F.col("doc_id").isNull() | (F.col("doc_id") % 5 != 1)
+    rows = q.count() + 8  # more than there are terms, fewer than there are terms of queries
+    want, by_table, by_join = ([(r[0], r[1], round(r[2], 8), r[3]) for r in lexical.bm25_search(
+        d, q, key=["doc_id"], query_key="qid", top_k=4, allowed=allowed, broadcast_rows=n).collect()] for n in (10**6, rows, 0))
+    assert len(want) > 50 and sorted(map(str, by_table)) == sorted(map(str, by_join)) == sorted(map(str, want))
+
+
+def test_many_queries_with_a_common_word_do_not_become_pairs(spark):
+    d = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("fleet n"), "id").alias("text"))
+    q = spark.range(300).select(F.col("id").alias("qid"), F.concat(F.lit("fleet n"), "id").alias("text"))
+    with scratch_scope(spark) as scope:
+        found = lexical.bm25_search(d, q, key=["doc_id"], query_key="qid", top_k=3, broadcast_rows=0)
+        assert not re.search(r"Aggregate \[[^\]]*query_id", found._jdf.queryExecution().optimizedPlan().toString())
+        got = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in found.collect())
+    others = lambda i: [j for j in range(3) if j != i][:2]
+    assert got == [(i, n, k) for i in range(300) for n, k in enumerate([i, *others(i)], 1)]
+    assert scope.paths and max(spark.read.parquet(path).count() for path in scope.paths) < 0.05 * 300 * 600
